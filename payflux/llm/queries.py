@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from payflux.llm import secrets
+from payflux.llm.mixing import op10_mixing
 from payflux.llm.packing import op5_packing
 from payflux.llm.sharding import op6_sharding
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
     "op5_packing": op5_packing,
     "op6_sharding": op6_sharding,
+    "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_secret_scan": secrets.OP1_SQL,
+}
