@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from payflux.llm import secrets
+from payflux.llm import chat, embedding_dedup, neighbours, secrets
 from payflux.llm.mixing import op10_mixing
 from payflux.llm.packing import op5_packing
 from payflux.llm.sharding import op6_sharding
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
+    "op3_chat_formatting": chat.op3_chat_formatting,
     "op5_packing": op5_packing,
     "op6_sharding": op6_sharding,
+    "op7_nearest_neighbours": neighbours.op7_nearest_neighbours,
     "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_secret_scan": secrets.OP1_SQL,
+    "op2_embedding_dedup": embedding_dedup.OP2_SQL,
+    "op3_chat_formatting": chat.OP3_SQL,
+    "op7_nearest_neighbours": neighbours.OP7_SQL,
 }
