@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from payflux.llm import chat, embedding_dedup, neighbours, secrets
+from payflux.llm import chat, embedding_dedup, jaccard, neighbours, quality, secrets
 from payflux.llm.mixing import op10_mixing
 from payflux.llm.packing import op5_packing
 from payflux.llm.sharding import op6_sharding
@@ -14,6 +14,8 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_sharding": op6_sharding,
     "op7_nearest_neighbours": neighbours.op7_nearest_neighbours,
+    "op8_quality_classifier": quality.op8_quality_classifier,
+    "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op10_mixing": op10_mixing,
 }
 
