@@ -199,16 +199,27 @@ def plan(
     )
 
 
-def mixed(df: DataFrame, **options) -> DataFrame:
+def mixed(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
     """df's rows as the mix has them: each as often as the mix draws it, whole, with the output shard and the place in it.
 
     A document of which the mix takes only the words that its target still lacked is whole here too: at most one for each source.
+    Texts don't take part in the planning; draws find them by key, source and a hash of the text, and repeated rows by their number.
     """
-    shard, place = unused(df.columns, "shard", "place")
-    planned = plan(df, **options)
+    shard, place, digest, nth, at = unused(df.columns, "shard", "place", "digest", "nth", "draw")
+    rows = df.withColumn(digest, F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    slim = rows.select(key, source, digest, text)
+    planned = plan(slim, source, keep=[key, source, digest], **options)
     draws = planned.columns[-1]
-    rows = planned.select(*df.columns, F.explode(draws).alias(draws))
-    return rows.select(*df.columns, F.col(f"{draws}.shard").alias(shard), F.col(f"{draws}.place").alias(place))
+    same = [key, source, digest]
+    number = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))
+    planned = planned.select(*same, number.alias(nth), F.col(draws).alias(at)).where(F.size(at) > 0)
+    planned = planned.toDF("k0", "k1", "k2", "k3", "draws")
+    rows = rows.withColumn(nth, number)
+    alike = F.lit(True)
+    for k, c in enumerate([*same, nth]):
+        alike = alike & rows[c].eqNullSafe(planned[f"k{k}"])
+    out = rows.join(planned, alike).select(*(rows[c] for c in df.columns), F.explode("draws").alias(at))
+    return out.select(*df.columns, F.col(f"{at}.shard").alias(shard), F.col(f"{at}.place").alias(place))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,13 +189,13 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Weights
     return fitted([r["text"].encode() for r in rows], np.array([r["quality"] for r in rows], np.float64))
 
 
-def _scored(w: Weights, at: int):
+def _scored(w: Weights, at: int, shown: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for i, j, data, bounds in blocks_of(batch.column(at), 1 << 18):
                 out[i:j] = scores(data, bounds, w)
-            yield pa.RecordBatch.from_arrays([*(c for k, c in enumerate(batch.columns) if k != at), pa.array(out)], names=[*(n for k, n in enumerate(batch.schema.names) if k != at), "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:shown], pa.array(out)], names=[*batch.schema.names[:shown], "score"])
 
     return run
 
@@ -203,10 +203,17 @@ def _scored(w: Weights, at: int):
 def score(docs: DataFrame, weights: Weights, keep: list[str] | None = None, text: str = "text") -> DataFrame:
     """docs (or its columns keep) with score."""
     keep = docs.columns if keep is None else keep
-    out, read = unused(keep, "score", "the_text")
-    rows = docs.select(*keep, F.col(text).alias(read))
-    ddl = ", ".join([*(f"`{c}` {k}" for c, k in rows.dtypes[:-1]), f"`{out}` double"])
-    return rows.mapInArrow(_scored(weights, len(keep)), ddl)
+    (out,) = unused(keep, "score")
+    rows = docs.select(*keep, *([] if text in keep else [text]))
+    plain = [f"c{k}" for k in range(len(rows.columns))]
+    ddl = ", ".join([*(f"{p} {k}" for p, (_, k) in zip(plain, rows.dtypes[: len(keep)], strict=False)), "score double"])
+    return rows.toDF(*plain).mapInArrow(_scored(weights, rows.columns.index(text), len(keep)), ddl).toDF(*keep, out)
+
+
+def good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """docs whose score reaches the threshold, by a network that learned from them and the labels."""
+    scored = score(docs, learned(docs.select("doc_id", "text"), labels))
+    return scored.where(F.col(scored.columns[-1]) >= threshold).select(*docs.columns)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

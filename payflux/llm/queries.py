@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from payflux.llm import chat, embedding_dedup, jaccard, neighbours, quality, secrets
+from payflux.llm import chat, embedding_dedup, jaccard, neighbours, quality, secrets, substring_dedup
 from payflux.llm.mixing import op10_mixing
 from payflux.llm.packing import op5_packing
 from payflux.llm.sharding import op6_sharding
@@ -11,6 +11,7 @@ QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
     "op3_chat_formatting": chat.op3_chat_formatting,
+    "op4_substring_dedup": substring_dedup.op4_substring_dedup,
     "op5_packing": op5_packing,
     "op6_sharding": op6_sharding,
     "op7_nearest_neighbours": neighbours.op7_nearest_neighbours,
@@ -23,5 +24,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_secret_scan": secrets.OP1_SQL,
     "op2_embedding_dedup": embedding_dedup.OP2_SQL,
     "op3_chat_formatting": chat.OP3_SQL,
+    "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op7_nearest_neighbours": neighbours.OP7_SQL,
 }
