@@ -182,9 +182,13 @@ def fitted(texts: list[bytes], labels: np.ndarray, seed: int = 0) -> Weights:
 
 
 def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Weights:
-    """Weights learned from docs (doc_id, text) and labels (doc_id, quality)."""
+    """Weights learned from docs (doc_id, text) and labels (doc_id, quality).
+
+    The sample is drawn among the labels; so it is small, and texts are not shuffled to find theirs.
+    """
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("its_id"), "quality")
-    rows = docs.join(known, docs["doc_id"] == known["its_id"]).where(F.octet_length("text") <= SAMPLE_BYTES).select("its_id", "text", "quality")
+    known = known.orderBy(F.xxhash64("its_id"), "its_id", "quality").limit(sample)
+    rows = docs.join(F.broadcast(known), docs["doc_id"] == known["its_id"]).where(F.octet_length("text") <= SAMPLE_BYTES).select("its_id", "text", "quality")
     rows = rows.orderBy(F.xxhash64("its_id"), "its_id", F.xxhash64("text"), "quality").limit(sample).collect()
     return fitted([r["text"].encode() for r in rows], np.array([r["quality"] for r in rows], np.float64))
 
