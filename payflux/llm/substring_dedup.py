@@ -334,37 +334,36 @@ def _cut(at: int):
     return run
 
 
-def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, rid (a hash of id and text) -> starts, ends: intervals of words that go, as lists of lists."""
-    n = 4 * partitions(docs.sparkSession)
-    rows = _keyed(docs, doc_id, text)
-    found = rows.mapInArrow(_find(n), FOUND).repartition("bucket").sortWithinPartitions("bucket")
-    places = found.mapInArrow(_share, PLACES).groupBy("id", "rid").agg(F.flatten(F.collect_list("pos")).alias("pos"))
-    asked = rows.join(places, ["id", "rid"]).select("id", "rid", "text", "pos")
-    segments = asked.mapInArrow(_segments(n), SEGMENTS).repartition("shard").sortWithinPartitions("shard")
-    return segments.mapInArrow(_search, REMOVED).groupBy("id", "rid").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
+def _keyed(docs: DataFrame, doc_id: str, text: str, keep: list[str]) -> DataFrame:
+    """id and rid (a hash of id and text), which tell documents apart; text; columns kept, as c0, c1, ..."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    number = F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("id")
+    return docs.select(number, F.xxhash64(F.col(doc_id), t).alias("rid"), t.alias("text"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(keep)))
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    t = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias("id"), F.xxhash64(F.col(doc_id), t).alias("rid"), t.alias("text"))
+def removed(rows: DataFrame) -> DataFrame:
+    """id, rid -> starts, ends: intervals of words that go, as lists of lists. rows: id, rid, text.
+
+    Other columns of rows are taken along to where texts meet their anchors, so that Spark sees
+    the same shuffle there as where texts meet their intervals, and does it once.
+    """
+    n = 4 * partitions(rows.sparkSession)
+    found = rows.select("id", "rid", "text").mapInArrow(_find(n), FOUND).repartition("bucket").sortWithinPartitions("bucket")
+    places = found.mapInArrow(_share, PLACES).groupBy("id", "rid").agg(F.flatten(F.collect_list("pos")).alias("pos"))
+    segments = rows.join(places, ["id", "rid"]).mapInArrow(_segments(n), SEGMENTS).repartition("shard").sortWithinPartitions("shard")
+    return segments.mapInArrow(_search, REMOVED).groupBy("id", "rid").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs (or its columns keep) with the kept words, joined by a space, as text, and n_words and n_removed."""
     keep = docs.columns if keep is None else keep
-    gone = removed(docs, doc_id, text)
-    a, b, s, e, total, less, out = unused(keep, "its_id", "its_rid", "starts", "ends", "n_words", "n_removed", text)
-    if text in keep:
-        out = text
+    total, less = unused(keep, "n_words", "n_removed")
     rest = [c for c in keep if c != text]
-    rows = docs.select(*rest, F.coalesce(F.col(text), F.lit("")).alias(out), F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID)).alias(a), F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit(""))).alias(b))
-    both = rows.join(gone, (F.col(a) == F.col("id")) & (F.col(b) == F.col("rid")), "left").select(*(rows[c] for c in [*rest, out]), gone["starts"].alias("starts"), gone["ends"].alias("ends"))
-    plain = [f"c{k}" for k in range(len(rest) + 1)]
-    kinds = [k for _, k in both.dtypes[: len(plain)]]
-    ddl = ", ".join([*(f"{c} {k}" for c, k in zip(plain, kinds, strict=True)), "n_words bigint", "n_removed bigint"])
-    cut = both.toDF(*plain, "starts", "ends").mapInArrow(_cut(len(rest)), ddl)
-    return cut.toDF(*rest, out, total, less).select(*keep, *([] if text in keep else [out]), total, less)
+    rows = _keyed(docs, doc_id, text, rest)
+    both = rows.join(removed(rows), ["id", "rid"], "left").select("text", *(f"c{k}" for k in range(len(rest))), "starts", "ends")
+    kinds = [k for _, k in both.dtypes[: len(rest) + 1]]
+    ddl = ", ".join([*(f"c{k} {kind}" for k, kind in enumerate(kinds)), "n_words bigint", "n_removed bigint"])
+    return both.mapInArrow(_cut(0), ddl).toDF(text, *rest, total, less).select(*(c for c in [*rest, text] if c in keep or c == text), total, less)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
