@@ -5,8 +5,8 @@ bytes, and chunks overlap by half, so the whole text is covered, whatever its le
 outputs are max-pooled over each chunk; a small layer turns them into the chunk's badness, and
 the mean and the maximum over all chunks into one probability that the label is 1.
 
-Byte embeddings, filters and layers are learned on the driver, by Adam, from a bounded sample:
-at most SAMPLE labelled rows of at most SAMPLE_BYTES bytes, those whose hashes are least. Only
+Byte embeddings, filters and layers are learned in one task, by Adam, from a bounded sample: at
+most SAMPLE labelled rows, those whose hashes are least, of at most SAMPLE_BYTES bytes. Only
 rows outside the held-out third (crc32 of the id as text, modulo 3, is 1) are used, and of them
 text and label alone. Scoring reads whole texts of all documents in Arrow batches, without a
 shuffle; the weights (under 100 KB) travel with the function.
@@ -19,6 +19,7 @@ An empty table gives no rows. Other columns are returned as they are.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from payflux.llm.common import blocks_of, ranges, unused
 
 WINDOW, CELL, CHUNK, STEP = 6, 64, 4, 2
 EMBEDDED, FILTERS, HIDDEN = 8, 32, 16
-SAMPLE, SAMPLE_BYTES = 4000, 32_768
+SAMPLE, SAMPLE_BYTES = 4000, 16_384
 STEPS, BATCH, RATE = 500, 48, 0.01
 
 Weights = dict[str, np.ndarray]
@@ -189,8 +190,19 @@ def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Weights
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("its_id"), "quality")
     known = known.orderBy(F.xxhash64("its_id"), "its_id", "quality").limit(sample)
     rows = docs.join(F.broadcast(known), docs["doc_id"] == known["its_id"]).where(F.octet_length("text") <= SAMPLE_BYTES).select("its_id", "text", "quality")
-    rows = rows.orderBy(F.xxhash64("its_id"), "its_id", F.xxhash64("text"), "quality").limit(sample).collect()
-    return fitted([r["text"].encode() for r in rows], np.array([r["quality"] for r in rows], np.float64))
+    rows = rows.orderBy(F.xxhash64("its_id"), "its_id", F.xxhash64("text"), "quality").limit(sample).select("text", "quality").coalesce(1)
+    packed = rows.mapInArrow(_fit, "weights binary").first()
+    return dict(np.load(io.BytesIO(packed[0]))) if packed else fitted([], np.zeros(0))
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts, labels = [], []
+    for batch in batches:
+        texts += [t.encode() for t in batch.column("text").to_pylist()]
+        labels += batch.column("quality").to_pylist()
+    out = io.BytesIO()
+    np.savez(out, **fitted(texts, np.array(labels, np.float64)))
+    yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["weights"])
 
 
 def _scored(w: Weights, at: int, shown: int):
