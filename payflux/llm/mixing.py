@@ -26,6 +26,8 @@ gives no rows. Columns of the input keep their names; clashing new ones get unde
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -57,33 +59,43 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return s.select("source", "source_size", "weight", F.coalesce(F.least(F.col("limit"), F.col("a_unit") * F.col("weight")), F.col("limit")).alias("target"))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once: in a plan, a column that is used twice is written twice."""
+    return F.transform(F.array(value), f)[0]
+
+
 def drawn(of: Column, marked: Column, draws: Column, u: Column) -> Column:
     """How many of `draws` balls taken from `of` balls are among the `marked` ones: the quantile u of the hypergeometric distribution.
 
     Within ten deviations of the mean; each probability follows from the one before.
     """
-    of_, m, d = (x.cast("double") for x in (of, marked, draws))
-    mean = F.when(of_ > 0, d * m / of_).otherwise(0.0)
-    wide = 10 * F.sqrt(mean * F.when(of_ > 1, (1 - m / of_) * (of_ - d) / (of_ - 1)).otherwise(0.0)) + 2
-    low = F.greatest(F.lit(0), draws - (of - marked), F.floor(mean - wide)).cast("long")
-    high = F.least(marked, draws, F.ceil(mean + wide)).cast("long")
-    start = F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("sum"), low.alias("x"))
-
-    def ahead(a: Column, x: Column) -> Column:
-        """p of x+1, from that of x."""
-        v = x.cast("double")
-        return a["p"] * (m - v) * (d - v) / ((v + 1) * (of_ - m - d + v + 1))
-
-    xs = F.sequence(low, F.greatest(low, high))
-    total = F.aggregate(xs, start, lambda a, x: F.struct(ahead(a, x).alias("p"), (a["sum"] + a["p"]).alias("sum"), x.alias("x")), lambda a: a["sum"])
-    return F.aggregate(
-        xs,
-        F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("sum"), low.alias("x"), (u * total).alias("to")),
-        lambda a, x: F.struct(
-            ahead(a, x).alias("p"), (a["sum"] + a["p"]).alias("sum"), F.when(a["sum"] <= a["to"], x).otherwise(a["x"]).alias("x"), a["to"].alias("to")
-        ),
-        lambda a: a["x"],
-    )
+    given = F.struct(*(c.cast("double").alias(n) for n, c in (("n", of), ("m", marked), ("d", draws), ("u", u))))
+    return let(given, lambda g: let(_moments(g), lambda s: let(_bounds(s), _quantile)))
+
+
+def _moments(g: Column) -> Column:
+    n, m, d = g["n"], g["m"], g["d"]
+    mean = F.when(n > 0, d * m / n).otherwise(0.0)
+    rest = F.when(n > 1, (1 - m / n) * (n - d) / (n - 1)).otherwise(0.0)
+    return F.struct(n.alias("n"), m.alias("m"), d.alias("d"), g["u"].alias("u"), mean.alias("mean"), rest.alias("rest"))
+
+
+def _bounds(s: Column) -> Column:
+    wide = 10 * F.sqrt(s["mean"] * s["rest"]) + 2
+    low = F.greatest(F.lit(0.0), s["d"] - (s["n"] - s["m"]), F.floor(s["mean"] - wide).cast("double")).cast("long")
+    high = F.least(s["m"], s["d"], F.ceil(s["mean"] + wide).cast("double")).cast("long")
+    return F.struct(s["n"].alias("n"), s["m"].alias("m"), s["d"].alias("d"), s["u"].alias("u"), low.alias("low"), F.greatest(low, high).alias("high"))
+
+
+def _quantile(s: Column) -> Column:
+    def step(a: Column, x: Column, at: Column) -> Column:
+        """p is that of x, then of x + 1."""
+        ahead = a["p"] * (s["m"] - x) * (s["d"] - x) / ((x + 1.0) * (s["n"] - s["m"] - s["d"] + x + 1.0))
+        return F.struct(ahead.alias("p"), (a["sum"] + a["p"]).alias("sum"), at.alias("x"))
+
+    xs, start = F.sequence(s["low"], s["high"]), F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("sum"), s["low"].alias("x"))
+    total = F.aggregate(xs, start, lambda a, x: step(a, x, x), lambda a: a["sum"])
+    return let(s["u"] * total, lambda to: F.aggregate(xs, start, lambda a, x: step(a, x, F.when(a["sum"] <= to, x).otherwise(a["x"])), lambda a: a["x"]))
 
 
 def shard_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = 1) -> DataFrame:
@@ -132,7 +144,7 @@ def shard_quotas(quotas: DataFrame, shards: int = SHARDS, seed: int = 1) -> Data
 
 def _drawn_one(a: Column, x: Column, low: int, high: int, seed: int) -> Column:
     got = drawn(a["of"], x["n"], a["draws"], unit(F.lit(seed), F.lit(low), F.lit(high), x["i"]))
-    return F.struct((a["of"] - x["n"]).alias("of"), (a["draws"] - got).alias("draws"), F.array_append(a["out"], got).alias("out"))
+    return let(got, lambda g: F.struct((a["of"] - x["n"]).alias("of"), (a["draws"] - g).alias("draws"), F.array_append(a["out"], g).alias("out")))
 
 
 def plan(
