@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def moment_columns(columns: list[str]) -> list[Column]:
+    return [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
+
+
 def moments(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: mean_c and std_c of each column."""
-    return df.agg(*(f(c).alias(f"{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_pop))))
+    return df.agg(*moment_columns(columns))
 
 
 def scaled(c: Column, mean: Column, std: Column) -> Column:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from payflux.config import PreprocessConfig
 from payflux.functions.scalars import category, hash_unit, number, seconds_between, time_parts, timestamp
-from payflux.functions.scaling import scaled, standardised
+from payflux.functions.scaling import moment_columns, scaled, standardised
 
 
 def parsed(df: DataFrame, config: PreprocessConfig = PreprocessConfig()) -> DataFrame:
@@ -36,9 +37,6 @@ def numeric_features(df: DataFrame, columns: list[str]) -> DataFrame:
 def category_codes(df: DataFrame, column: str, unknown: str = "UNKNOWN", edge_id: str = "edge_id") -> DataFrame:
     """value and code of a column's categories, from 0 in the order in which they first appear."""
     firsts = df.groupBy(category(F.col(column), unknown).alias("value")).agg(F.min(edge_id).alias("first_edge"))
-    # ranks by a self-join would be quadratic; a window over one row for each category is small
-    from pyspark.sql.window import Window
-
     return firsts.select("value", (F.row_number().over(Window.orderBy("first_edge")) - 1).cast("long").alias("code"))
 
 
@@ -58,11 +56,12 @@ def encoding_info(codes: DataFrame, unknown: str = "UNKNOWN", samples: int = 10)
     )
 
 
-def with_category_features(df: DataFrame, columns: list[str], config: PreprocessConfig = PreprocessConfig()) -> tuple[DataFrame, list[str]]:
-    """df with vectors (or codes) of its categories, and the names of the new columns."""
+def with_category_features(df: DataFrame, columns: list[str], config: PreprocessConfig = PreprocessConfig(), base: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """df with vectors (or codes) of its categories, and the names of the new columns. base: a simpler table with the same edge_id and categories."""
     names: list[str] = []
+    base = (base or df).select("edge_id", *columns)  # not what earlier joins have made of it: the plan would double each time
     for c in columns:
-        codes = category_codes(df, c, config.unknown)
+        codes = category_codes(base, c, config.unknown)
         if config.encode_categories == "embedding":
             table = category_vectors(codes, c, config.embedding_dim).drop("code")
             names += [f"{c}_emb_{i}" for i in range(config.embedding_dim)]
@@ -108,19 +107,25 @@ def delay_statistics(df: DataFrame) -> DataFrame:
     )
 
 
-def with_scaled_delay(df: DataFrame) -> DataFrame:
-    """df with delay_scaled: missing delays are the median (0 if there is none), then scaled.
+def _delay_moments() -> list[Column]:
+    return [
+        F.coalesce(F.percentile("delay", F.lit(0.5)), F.lit(0.0)).alias("delay_mid"), F.count("delay").alias("delay_n"), F.count("*").alias("delay_all"),
+        F.coalesce(F.avg("delay"), F.lit(0.0)).alias("delay_m"), F.coalesce(F.var_pop("delay"), F.lit(0.0)).alias("delay_v"),
+    ]
 
-    Moments after the filling follow from those before it, so one pass gives them all.
-    """
-    stats = df.agg(
-        F.coalesce(F.percentile("delay", F.lit(0.5)), F.lit(0.0)).alias("mid"),
-        F.count("delay").alias("n"), F.count("*").alias("all"), F.coalesce(F.avg("delay"), F.lit(0.0)).alias("m"), F.coalesce(F.var_pop("delay"), F.lit(0.0)).alias("v"),
-    )
-    share = F.col("n") / F.greatest(F.col("all"), F.lit(1))
-    stats = stats.select("mid", (share * F.col("m") + (1 - share) * F.col("mid")).alias("mean"), F.sqrt(share * F.col("v") + share * (1 - share) * F.pow(F.col("m") - F.col("mid"), 2)).alias("std"))
-    joined = df.crossJoin(F.broadcast(stats))
-    return joined.withColumn("delay_scaled", scaled(F.coalesce("delay", "mid"), F.col("mean"), F.col("std"))).drop("mid", "mean", "std")
+
+def _scaled_delay() -> Column:
+    """The delay, or the median, scaled by the moments that the column has once it is filled; these follow from those before it."""
+    share, away = F.col("delay_n") / F.greatest(F.col("delay_all"), F.lit(1)), F.col("delay_m") - F.col("delay_mid")
+    mean = share * F.col("delay_m") + (1 - share) * F.col("delay_mid")
+    std = F.sqrt(share * F.col("delay_v") + share * (1 - share) * away * away)
+    return scaled(F.coalesce("delay", "delay_mid"), mean, std)
+
+
+def with_scaled_delay(df: DataFrame) -> DataFrame:
+    """df with delay_scaled: missing delays are the median (0 if there is none), then scaled. One pass gives all moments."""
+    joined = df.crossJoin(F.broadcast(df.agg(*_delay_moments())))
+    return joined.select(*df.columns, _scaled_delay().alias("delay_scaled"))
 
 
 def edge_features(df: DataFrame, config: PreprocessConfig = PreprocessConfig()) -> tuple[DataFrame, list[str]]:
@@ -130,12 +135,17 @@ def edge_features(df: DataFrame, config: PreprocessConfig = PreprocessConfig())
     """
     m = config.columns
     rows = with_delay(parsed(df, config), config)
-    rows = numeric_features(rows, list(m.numeric)) if m.numeric else rows
-    rows, categories = with_category_features(rows, list(m.categorical), config)
     rows, parts = with_time_parts(rows, [m.event_time, m.storage_time])
-    rows = with_scaled_delay(standardised(rows, parts))
+    numeric = [*m.numeric, *parts]
+    rows = rows.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in m.numeric}).select("edge_id", *m.categorical, *numeric, "delay")
+    # one row with all moments
+    stats = rows.agg(*_delay_moments(), *moment_columns(numeric))
+    joined = rows.crossJoin(F.broadcast(stats))
+    new = {c: scaled(F.col(c), F.col(f"mean_{c}"), F.col(f"std_{c}")) for c in numeric} | {"delay_scaled": _scaled_delay()}
+    flat = joined.select("edge_id", *m.categorical, *(v.alias(c) for c, v in new.items()))
+    out, categories = with_category_features(flat, list(m.categorical), config, rows)
     names = [*m.numeric, *categories, *parts, "delay_scaled"]
-    return rows.select("edge_id", *names), names
+    return out.select("edge_id", *names), names
 
 
 def feature_array(df: DataFrame, names: list[str], key: str = "edge_id") -> DataFrame:
