@@ -74,7 +74,7 @@ class TrainConfig:
     optimizer: str = "adam"
     patience: int = 20
     grad_clip: float = 1.0
-    #: Larger graphs are refused: training runs on the driver.
+    #: Of training.collected only, which takes a graph as arrays; training in Spark has no limits.
     max_nodes: int = 200_000
     max_edges: int = 2_000_000
 

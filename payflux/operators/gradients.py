@@ -1,0 +1,173 @@
+"""Forward and backward passes of graph layers as joins and groupings; dense layers in Arrow batches.
+
+Links are distinct (src_id, dst_id) with n, how many edges they stand for, and w, the weight of a
+convolution; both are arrays of one double. What a pass needs again of nodes is computed once by `keep`;
+vectors of links are never kept. Gradients of weights are summed in each partition, then by
+chunks, so that the driver sees one array of each weight's size.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from payflux.operators.graph import inverse_sqrt
+from payflux.operators.message_passing import lists, matrix, with_loops
+
+Keep = Callable[[DataFrame], DataFrame]
+SLOPE = 0.2
+#: Values of a gradient that travel in one row.
+CHUNK = 8192
+
+
+def dense(df: DataFrame, keys: list[str], vectors: list[str], f: Callable, out: list[str]) -> DataFrame:
+    """keys as they are, and the matrices that f makes of the vectors' matrices, batch by batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                made = f(*(matrix(batch.column(v)) for v in vectors))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(lists(x) for x in made)], names=[*keys, *out])
+
+    ddl = ", ".join([*(f"{k} bigint" for k in keys), *(f"{o} array<double>" for o in out)])
+    return df.select(*keys, *vectors).mapInArrow(run, ddl)
+
+
+def at_first(value: float, n: int) -> np.ndarray:
+    """A column of n rows that sums to value."""
+    out = np.zeros((n, 1))
+    out[0] = value
+    return out
+
+
+def partial_sums(df: DataFrame, vectors: list[str], f: Callable) -> DataFrame:
+    """name, chunk and v: for each partition the sums of the arrays that f makes of its batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            if batch.num_rows:
+                for name, value in f(*(matrix(batch.column(v)) for v in vectors)).items():
+                    total[name] = total[name] + value if name in total else value
+        yield from _chunks({(name, k): v for name, x in total.items() for k, v in enumerate(np.array_split(x.ravel(), -(-x.size // CHUNK)))})
+
+    return df.select(*vectors).mapInArrow(run, "name string, chunk int, v array<double>")
+
+
+def _chunks(rows: dict[tuple[str, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for (name, k), v in rows.items():
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int32()), lists(v[None, :])], names=["name", "chunk", "v"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[tuple[str, int], np.ndarray] = {}
+    for batch in batches:
+        for name, k, v in zip(*(batch.column(i).to_pylist() for i in (0, 1)), batch.column(2), strict=True):
+            value = v.values.to_numpy()
+            total[name, k] = total[name, k] + value if (name, k) in total else value
+    yield from _chunks(total)
+
+
+def totals(parts: list[DataFrame]) -> dict[str, np.ndarray]:
+    """Each name's sums, flat."""
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    found: dict[str, list] = {}
+    for r in rows.repartition("name", "chunk").mapInArrow(_added, "name string, chunk int, v array<double>").collect():
+        found.setdefault(r["name"], []).append((r["chunk"], r["v"]))
+    return {name: np.concatenate([v for _, v in sorted(x)]) for name, x in found.items()}
+
+
+def summed_by(df: DataFrame, key: str, **widths: int) -> DataFrame:
+    """node_id and the sums of vectors, component by component, with map-side sums."""
+    sums = df.groupBy(key).agg(*(F.sum(F.col(c)[k]).alias(f"{c}_{k}") for c, n in widths.items() for k in range(n)))
+    return sums.select(F.col(key).alias("node_id"), *(F.array(*(f"{c}_{k}" for k in range(n))).alias(c) for c, n in widths.items()))
+
+
+def links_of(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    links = with_loops(edges, nodes).groupBy("src_id", "dst_id").agg(F.count("*").cast("double").alias("n"))
+    inverse = links.groupBy("dst_id").agg(inverse_sqrt(F.sum("n")).alias("d"))
+    links = links.join(inverse, "dst_id").join(inverse.select(F.col("dst_id").alias("src_id"), F.col("d").alias("d_src")), "src_id")
+    return links.select("src_id", "dst_id", F.array("n").alias("n"), F.array(F.col("n") * F.col("d") * F.col("d_src")).alias("w"))
+
+
+def at(end: str, states: DataFrame, *columns: str) -> DataFrame:
+    return states.select(F.col("node_id").alias(f"{end}_id"), *columns)
+
+
+# --- convolution -------------------------------------------------------------------------------
+
+
+def spread(states: DataFrame, column: str, width: int, links: DataFrame, start: str = "src", end: str = "dst") -> DataFrame:
+    """node_id and the sum of the neighbours' column, by the weights of a convolution. From dst to src it goes backward."""
+    sent = links.join(at(start, states, F.col(column).alias("m")), f"{start}_id")
+    return summed_by(sent.select(f"{end}_id", F.transform("m", lambda x: x * F.col("w")[0]).alias(column)), f"{end}_id", **{column: width})
+
+
+# --- attention ---------------------------------------------------------------------------------
+
+
+def _attention(n, ls, ld, top, den):
+    raw = ls + ld
+    return raw, n * np.exp(np.where(raw >= 0, raw, SLOPE * raw) - top) / den
+
+
+def attention_forward(p: dict[str, np.ndarray], states: DataFrame, links: DataFrame, keep: Keep) -> tuple[DataFrame, DataFrame]:
+    """node_id and total (neighbours' projections by attention); what the backward pass needs of nodes."""
+    (heads, width), w, a_src, a_dst = p["a_src"].shape, p["w"], p["a_src"], p["a_dst"]
+
+    def project(h):
+        z = (h @ w).reshape(len(h), heads, width)
+        return z.reshape(len(h), -1), (z * a_src).sum(-1), (z * a_dst).sum(-1)
+
+    z = keep(dense(states, ["node_id"], ["h"], project, ["z", "ls", "ld"]))
+    leaky = lambda x: F.when(x >= 0, x).otherwise(x * SLOPE)
+    e = links.join(at("src", z, "ls"), "src_id").join(at("dst", z, "ld"), "dst_id").select("dst_id", "n", F.zip_with("ls", "ld", lambda a, b: leaky(a + b)).alias("e"))
+    top = e.groupBy("dst_id").agg(F.array(*(F.max(F.col("e")[k]) for k in range(heads))).alias("top"))
+    each = e.join(top, "dst_id")
+    den = each.groupBy("dst_id").agg(F.array(*(F.sum(F.col("n")[0] * F.exp(F.col("e")[k] - F.col("top")[k])) for k in range(heads))).alias("den"))
+    norms = top.join(den, "dst_id").withColumnRenamed("dst_id", "node_id")
+    nodes = keep(z.join(norms, "node_id"))
+
+    def message(n, z, ls, ld, top, den):
+        _, alpha = _attention(n, ls, ld, top, den)
+        return ((alpha[..., None] * z.reshape(len(z), heads, width)).reshape(len(z), -1),)
+
+    met = links.join(at("src", nodes, "z", "ls"), "src_id").join(at("dst", nodes, "ld", "top", "den"), "dst_id")
+    return summed_by(dense(met, ["dst_id"], ["n", "z", "ls", "ld", "top", "den"], message, ["total"]), "dst_id", total=heads * width), nodes
+
+
+def attention_backward(p: dict[str, np.ndarray], name: str, inputs: DataFrame, nodes: DataFrame, g: DataFrame, links: DataFrame, keep: Keep) -> tuple[DataFrame, DataFrame]:
+    """inputs: node_id, h. g: node_id, gp (gradient of what is passed on), t (its product with total, by heads). Gradient of h; partial sums of the weights'."""
+    (heads, width), w, a_src, a_dst = p["a_src"].shape, p["w"], p["a_src"], p["a_dst"]
+
+    def back(wide: bool):
+        def run(n, z, ls, ld, top, den, gp, t):
+            raw, alpha = _attention(n, ls, ld, top, den)
+            gp = gp.reshape(len(gp), heads, width)
+            d_raw = alpha * ((gp * z.reshape(gp.shape)).sum(-1) - t) * np.where(raw >= 0, 1, SLOPE)
+            return ((alpha[..., None] * gp).reshape(len(gp), -1), d_raw) if wide else (d_raw,)
+
+        return run
+
+    met = links.join(at("src", nodes, "z", "ls"), "src_id").join(at("dst", nodes.join(g, "node_id"), "ld", "top", "den", "gp", "t"), "dst_id")
+    used = ["n", "z", "ls", "ld", "top", "den", "gp", "t"]
+    sent = summed_by(dense(met, ["src_id"], used, back(True), ["m", "ds"]), "src_id", m=heads * width, ds=heads)
+    got = summed_by(dense(met, ["dst_id"], used, back(False), ["dd"]), "dst_id", dd=heads)
+    both = nodes.select("node_id", "z").join(inputs.select("node_id", "h"), "node_id").join(sent, "node_id").join(got, "node_id")
+
+    def through(m, ds, dd):
+        return (m.reshape(len(m), heads, width) + ds[..., None] * a_src + dd[..., None] * a_dst).reshape(len(m), -1)
+
+    both = keep(both)
+
+    def weights(h, z, m, ds, dd):
+        z = z.reshape(len(z), heads, width)
+        return {f"{name}.w": h.T @ through(m, ds, dd), f"{name}.a_src": (ds[..., None] * z).sum(axis=0), f"{name}.a_dst": (dd[..., None] * z).sum(axis=0)}
+
+    return dense(both, ["node_id"], ["m", "ds", "dd"], lambda m, ds, dd: (through(m, ds, dd) @ w.T,), ["g"]), partial_sums(both, ["h", "z", "m", "ds", "dd"], weights)

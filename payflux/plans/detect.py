@@ -29,9 +29,8 @@ def run(spark: SparkSession, config: MainConfig = MainConfig()) -> dict:
     """Trains on the graph under config.preprocessed_dir and writes scores, tables and a summary to a new directory."""
     graph = load_graph(spark, config.preprocessed_dir)
     edges = graph.edges.where(~F.col("is_loop"))
-    x, src, dst = training.collected(graph.node_features, edges, config.train)
-    model = training.build(config.model, x.shape[1], config.seed)
-    history = training.train(model, x, src, dst, config.train, config.seed)
+    model = training.build(config.model, len(graph.node_features.first()["features"]), config.seed)
+    history = training.fit(model, graph.node_features, edges, config.train, config.seed)
     out = config.run_dir()
     node_scores, edge_scores, text = detect(model, graph.node_features, edges, config)
     p = config.anomaly.threshold_percentile

@@ -547,9 +547,8 @@ def _trained(spark: SparkSession, d: str, epochs: int = 30):
     features = node_table(spark, d, NATIONS).join(nodes, "account").select("node_id", F.array(*_NODE[: 2 * len(FEATURES)]).alias("features"))
     features, edges = materialised(features), materialised(edges)
     config = ModelConfig(encoder_type="gcn", decoder_type="gcn", hidden_channels=16, out_channels=8)
-    x, src, dst = training.collected(features, edges)
-    model = training.build(config, x.shape[1])
-    history = training.train(model, x, src, dst, TrainConfig(epochs=epochs))
+    model = training.build(config, 2 * len(FEATURES))
+    history = training.fit(model, features, edges, TrainConfig(epochs=epochs))
     return model, history, features, edges
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from payflux.config import ModelConfig, TrainConfig
+from payflux.operators import gradients as G
 from payflux.operators.masking import masked
 from payflux.operators.message_passing import coefficients
 from payflux.plans import training as T
@@ -100,3 +101,35 @@ def test_masking_counts(spark):
     assert all(r["masked"] == [-1.0] for r in out if r["kind"] == "token")
     few = masked(df.limit(6)).collect()  # too few for noise: none, and no error
     assert not [r for r in few if r["kind"] == "noise"]
+
+
+@pytest.mark.parametrize("config", CONFIGS, ids=lambda c: f"{c.encoder_type}-{c.decoder_type}")
+def test_spark_gradients_agree_with_numpy(spark, config):
+    """The same draw gives the same loss and gradients by joins as by arrays."""
+    features, edges = graph(spark)
+    x, src, dst = T.collected(features, edges)
+    model = T.build(config, x.shape[1])
+    links = G.links_of(edges, features)
+    batch = T.drawn(features, 5, config, 7, lambda df: df.localCheckpoint())
+    value, grads = T.spark_gradients(model, batch, links, 2, lambda df: df.localCheckpoint())
+    rows = batch.orderBy("node_id").collect()
+    order, tokens = (np.flatnonzero([r[c][0] for r in rows]) for c in ("is_masked", "is_token"))
+    seen = np.array([r["seen"] for r in rows])
+    seen[tokens] = model.params[-1]["token"]
+    out, backward = T.forward(model, seen, src, dst, order)
+    expected, g_masked = T.loss_of(config.loss_fn, out[order], x[order], config.alpha)
+    g = np.zeros_like(out)
+    g[order] = g_masked
+    own, dx = backward(g)
+    assert len(order) == 2 and value == pytest.approx(expected)
+    for got, want in zip(grads, [*own, {"token": dx[tokens].sum(axis=0, keepdims=True)}], strict=True):
+        assert got.keys() == want.keys()
+        for name in want:
+            np.testing.assert_allclose(got[name], want[name], atol=1e-9)
+
+
+def test_fit_has_no_limit(spark):
+    features, edges = graph(spark)
+    model = T.build(CONFIGS[1], 3)
+    history = T.fit(model, features, edges, TrainConfig(epochs=2, max_nodes=4, max_edges=1))
+    assert [e for e, _ in history] == [0, 1] and np.isfinite([v for _, v in history]).all()
