@@ -15,9 +15,12 @@ share one; such a run of windows with its words is a segment.
    belongs to the least document among its occurrences.
 4. Intervals of removed words go back to their documents.
 
-So a passage that a third of all documents have is a few rows for each batch, not for each
-document, and no task gets more than the segments of its anchors. Shards are as many as shuffle
-partitions times four. Texts are compared by 64-bit hashes of each of the 13 words.
+So the inside of a passage that a third of all documents have is a few rows for each batch. The
+segments at its edges hold each document's own words too and all differ. Therefore anchors are
+counted first: segments of those with more than a sixteenth of a shard's mean share (hot ones) are
+cut into their windows, and these are dealt out by the hash of their words. Equal windows still
+meet, and others of the same anchor do not. Shards are as many as shuffle partitions times four,
+or as the words ask for (SHARD_WORDS), if that is more. Texts are compared by 64-bit hashes of each of the 13 words.
 
 Windows are judged on the input. Null texts and those of fewer words lose nothing. A null id
 counts as less than any other; rows with the same id don't remove each other's words. Equal rows
@@ -39,6 +42,10 @@ from payflux.llm.fm_index import FMIndex
 
 LENGTH, GRAM = 13, 5
 NULL_ID = -(1 << 63)
+#: Words of the input for each shard, at most, on average.
+SHARD_WORDS = 2 << 20
+#: Hot anchors have so many segments at least; those with fewer than COUNTED in a block of texts are not counted there.
+HOT, COUNTED = 1024, 4
 FOUND = "known boolean, bucket int, anchor array<int>, doc array<int>, pos array<int>, ids array<bigint>, rids array<bigint>"
 SEGMENTS = "shard int, texts binary, lengths array<int>, owner array<int>, pos array<int>, ids array<bigint>, rids array<bigint>"
 PLACES = "id bigint, rid bigint, pos array<int>"
@@ -170,9 +177,37 @@ def _share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _by_document(names, ids, rids, doc[shared], pos[shared])
 
 
-def _segments(shards: int):
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments of each frequent anchor; of a null one, all segments and words."""
+    for batch in batches:
+        for _, _, data, bounds in blocks_of(batch.column("text")):
+            starts, ends, first = spans_of_words(data, bounds)
+            found, n = np.unique(anchors(hashed_words(data, starts, ends), first)[1], return_counts=True)
+            total, often = int(n.sum()), n >= COUNTED
+            columns = [pa.array([None, *found[often].view(np.int64).tolist()], pa.int64()), pa.array([total, *n[often].tolist()], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(starts)] + [0] * int(often.sum()), pa.int64())], names=["anchor", "n", "words"])
+
+
+def hot_anchors(rows: DataFrame, least: int = HOT) -> tuple[int, np.ndarray]:
+    """How many shards to deal to, and the anchors with more than a sixteenth of the mean segments of one (and least)."""
+    counts = rows.select("text").mapInArrow(_count, "anchor bigint, n bigint, words bigint").groupBy("anchor").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    counts = counts.persist()
+    try:
+        total = counts.where("anchor is null").first()
+        shards = max(4 * partitions(rows.sparkSession), -(-(total["words"] if total else 0) // SHARD_WORDS))
+        most = max(least, total["n"] // (16 * shards)) if total else least
+        # at most 16 for each shard
+        hot = [r["anchor"] for r in counts.where(F.col("anchor").isNotNull() & (F.col("n") > most)).select("anchor").collect()]
+    finally:
+        counts.unpersist()
+    return shards, np.array(hot, np.int64).view(np.uint64)
+
+
+def _segments(shards: int, hot: np.ndarray):
     """Segments of the shared anchors of a batch, dealt out to shards; of equal ones that of the least document.
 
+    Those of hot anchors are cut into windows.
+
     Rows without a shard's text hold what is removed already: places and lengths of whole segments.
     """
 
@@ -190,6 +225,10 @@ def _segments(shards: int):
                 doc, anchor, low, high = doc[mine], anchor[mine], low[mine], high[mine] + LENGTH
                 if not len(doc):
                     continue
+                split = np.isin(anchor, hot)
+                n = np.where(split, high - low - LENGTH + 1, 1)
+                low, high = ranges(low, n), np.where(np.repeat(split, n), ranges(low, n) + LENGTH, np.repeat(high, n))
+                doc, anchor, split = (np.repeat(x, n) for x in (doc, anchor, split))
                 size = high - low
                 at = ranges(low, size)
                 edge = np.cumsum(size) - size
@@ -197,6 +236,7 @@ def _segments(shards: int):
                 content = mix64(np.add.reduceat(terms, edge) + size.astype(np.uint64))
                 own = ids[doc + i]
                 order = np.lexsort((own, content))
+                anchor = np.where(split, content, anchor)
                 doc, anchor, low, high, size, content, own = (x[order] for x in (doc, anchor, low, high, size, content, own))
                 new = np.concatenate([[True], content[1:] != content[:-1]])
                 head = np.flatnonzero(new)[np.cumsum(new) - 1]
@@ -347,10 +387,10 @@ def removed(rows: DataFrame) -> DataFrame:
     Other columns of rows are taken along to where texts meet their anchors, so that Spark sees
     the same shuffle there as where texts meet their intervals, and does it once.
     """
-    n = 4 * partitions(rows.sparkSession)
+    n, hot = hot_anchors(rows)
     found = rows.select("id", "rid", "text").mapInArrow(_find(n), FOUND).repartition("bucket").sortWithinPartitions("bucket")
     places = found.mapInArrow(_share, PLACES).groupBy("id", "rid").agg(F.flatten(F.collect_list("pos")).alias("pos"))
-    segments = rows.join(places, ["id", "rid"]).mapInArrow(_segments(n), SEGMENTS).repartition("shard").sortWithinPartitions("shard")
+    segments = rows.join(places, ["id", "rid"]).mapInArrow(_segments(n, hot), SEGMENTS).repartition("shard").sortWithinPartitions("shard")
     return segments.mapInArrow(_search, REMOVED).groupBy("id", "rid").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
 
 

@@ -131,6 +131,23 @@ def test_passages(docs, empty):
     assert substring_dedup.without_repeats(empty).count() == 0
 
 
+def test_passage_of_many_documents(spark, monkeypatch):
+    """The edges of a shared passage differ in each document and must not meet in one shard."""
+    passage = " ".join(f"p{k}" for k in range(16))
+    rows = [(i, " ".join(f"a{i}x{k}" for k in range(14)) + f" {passage} " + " ".join(f"b{i}x{k}" for k in range(14))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    keyed = substring_dedup._keyed(docs, "doc_id", "text", [])
+    shards, hot = substring_dedup.hot_anchors(keyed, 100)
+    assert shards == 16 and len(hot)
+    everywhere = keyed.select("id", "rid", "text", F.transform(F.sequence(F.lit(0), F.lit(39)), lambda x: x.cast("int")).alias("pos"))
+    sent = lambda hot: [r[0] for r in everywhere.mapInArrow(substring_dedup._segments(16, hot), substring_dedup.SEGMENTS).where("octet_length(texts) > 0").groupBy("shard").agg(F.sum(F.size("pos")).alias("n")).select("n").collect()]
+    before, after = sent(hot[:0]), sent(hot)
+    assert max(after) / sum(after) < 0.12 < max(before) / sum(before)
+    monkeypatch.setattr(substring_dedup.hot_anchors, "__defaults__", (100,))
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in substring_dedup.without_repeats(docs).collect()), key=str)
+    assert got == brute_passages(rows)
+
+
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=60), min_size=1, max_size=8))
 @settings(max_examples=40, deadline=None)
 def test_repeats_of_a_shard(texts):
