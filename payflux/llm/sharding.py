@@ -1,7 +1,7 @@
 """Range sharding by sampled splitters, with sizes of the shards as near equal as whole rows allow.
 
 1. A sample of keys is drawn, each row with a chance in proportion to its size; quantiles of the
-   sample are the splitters of fine ranges.
+   sample are the splitters of fine ranges. A key that repeats among them is a range of its own.
 2. The bytes of each range are counted exactly. Ranges that hold more than twice the mean are
    subdivided in the order of (key, tie): by the place of the key between the least and the
    greatest key of the range, or, in a range of one key, by the tie, a hash.
@@ -16,6 +16,8 @@ Null texts have no bytes. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +29,7 @@ SHARDS = 8
 SAMPLE_PER_RANGE = 64
 #: A range of more than so many times the mean is subdivided.
 OVERFULL = 2
+GREATEST = (1 << 63) - 1
 
 
 def shard(df: DataFrame, key: str, size: Column, shards: int = SHARDS, keep: list[str] | None = None, fine: int | None = None) -> DataFrame:
@@ -48,7 +51,9 @@ def shard(df: DataFrame, key: str, size: Column, shards: int = SHARDS, keep: lis
     chance = F.col(sz) * (SAMPLE_PER_RANGE * fine / max(total, 1))
     at = [k / fine for k in range(1, fine)]
     splitters = rows.where(unit(F.lit("sample"), F.col(uid)) < chance).agg(F.percentile_approx(key, at, 10_000)).first()[0] or []
-    splitters = sorted({int(x) for x in splitters})
+    counted = Counter(int(x) for x in splitters)
+    # behind a key that repeats (a hot one) a splitter follows, so that no other key shares its range
+    splitters = sorted({*counted, *(x + 1 for x, k in counted.items() if k > 1 and x < GREATEST)})
     found = F.size(F.filter(F.lit(splitters) if splitters else F.array().cast("array<long>"), lambda x: x <= F.col(key)))
     rows = rows.withColumn(rng, F.when(F.col(key).isNull(), F.lit(-1)).otherwise(found))
     # one row for each range

@@ -300,6 +300,21 @@ def test_sharding(spark, docs, empty):
     assert len(none) == len(table()) and none.groupby("shard")["slot"].nunique().sum() == len(table())
 
 
+def test_hot_key_beside_others(spark, monkeypatch):
+    """A key with a third of the rows is cut though greater keys follow before the next splitter."""
+    cells = []
+
+    def seen(rows, groups, cell, *more):
+        cells.extend(r["count"] for r in rows.groupBy(cell).count().collect())
+        return common.with_sums_before(rows, groups, cell, *more)
+
+    monkeypatch.setattr(sharding, "with_sums_before", seen)
+    keys = [*range(0, 1000), *[1000] * 1000, *range(1001, 2001)]
+    out = shards_of(spark.createDataFrame([(k, "same") for k in keys], "doc_id bigint, text string"))
+    assert sum(cells) == len(out) == 3000 and max(cells) < 400
+    assert out.sort_values("doc_id")["shard"].is_monotonic_increasing and out.groupby("shard").size().max() - out.groupby("shard").size().min() <= 2
+
+
 def test_shard_files(spark, docs, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "out"), shards=3)
     back = spark.read.parquet(str(tmp_path / "out"))
