@@ -12,13 +12,28 @@ from payflux.functions.names import unused
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by checkpoint(), in the folder that spark.checkpoint.dir names; a temporary one only where it is unset."""
+    """df cut from its lineage by checkpoint(), in the folder that spark.checkpoint.dir names.
+
+    Only a session on one machine (tests) may leave it unset and then gets a temporary folder; on a cluster executors would each write to their own disk.
+    """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
+def discarded(df: DataFrame) -> None:
+    """Deletes the files of a result of materialised() that nothing reads any more."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with the place of each row, from 0, in this order.
 

@@ -31,7 +31,7 @@ def overview(df: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def tensor_quality(df: DataFrame, columns: list[str]) -> DataFrame:
-    """name, n_nan, n_inf, n_zero, least, greatest and mean (of what is no NaN), and whether there is neither NaN nor infinity."""
+    """name, n_nan, n_inf, n_zero, least, greatest and mean (of what is no NaN; infinite where a value is), and whether there is neither NaN nor infinity."""
     aggregates = {}
     for c in columns:
         x = F.col(c).cast("double")

@@ -37,7 +37,8 @@ def test_read(spark, path):
         T.column_by_index(df, 99)
     missing = {r["name"]: r["missing"] for r in profile.missing_values(df).collect()}
     assert missing == {"credit_amount": 9}
-    assert profile.dtypes(df)["col_1_uetr"] == "string"
+    assert df.columns == [*COLUMNS, "edge_id"]  # the number is added last, so that positions are those of the file
+    assert profile.dtypes(df)["col_0_uetr"] == "string"
 
 
 def test_numbered_is_gapless_and_ordered(spark):
