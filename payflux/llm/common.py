@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,33 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from payflux.functions.names import unused
+from payflux.functions.numbering import materialised
+
 #: A word is a run of anything but space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def unused(columns: Iterable[str], *wanted: str) -> list[str]:
-    """The wanted names, each with underscores added until no column has it (Spark ignores case)."""
-    taken, out = {c.lower() for c in columns}, []
-    for name in wanted:
-        while name.lower() in taken:
-            name = f"_{name}"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
-def materialised(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by checkpoint(), in the folder that the cluster names in spark.checkpoint.dir.
-
-    Only where that is unset (tests on one machine) a temporary folder is taken.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -91,8 +70,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-#: Words of more bytes than this are hashed one by one.
-_LONG = 256
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -140,16 +117,12 @@ def hashed_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     lengths = ends - starts
     h = mix64(lengths.astype(np.uint64) + _C1)
     h = mix64(h ^ ((eight[starts] & _MASK[np.minimum(lengths, 8)]) * _C1))
-    long = np.flatnonzero((lengths > 8) & (lengths <= _LONG))
+    long = np.flatnonzero(lengths > 8)
     k = 8
     while len(long):
         h[long] = mix64(h[long] ^ ((eight[starts[long] + k] & _MASK[np.minimum(lengths[long] - k, 8)]) * _C1))
         k += 8
         long = long[lengths[long] > k]
-    for i in np.flatnonzero(lengths > _LONG):
-        import xxhash
-
-        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
     return h
 
 

@@ -5,16 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from payflux.llm.common import materialised
+from payflux.functions.numbering import materialised
+from payflux.llm.common import partitions
 
 #: Rounds grow as the logarithm of the longest path; so many are never needed.
 MOST_ROUNDS = 64
+#: A node with fewer edges is never dealt out over tasks.
+HUB = 64
 
 
-def _stars(both: DataFrame) -> DataFrame:
-    """both (u, v) with the least of u and its neighbours v. A join, so that a hub's edges can be split over tasks."""
-    least = both.groupBy(F.col("u").alias("hub")).agg(F.min("v").alias("m"))
-    return both.join(least, both["u"] == least["hub"]).select("u", "v", F.least("m", "u").alias("m"))
+def dealt(both: DataFrame, edges: int) -> tuple[DataFrame, DataFrame]:
+    """both (u, v; so many rows at most) with salt, and u, salt and m: the least v of each u. Joined on u and salt, no task gets a hub whole.
+
+    A hub has more than a mean share of all edges, so there are fewer hubs than partitions, and they can be broadcast.
+    Their edges are dealt out by the other end, and their least neighbour is sent to each part.
+    """
+    parts = partitions(both.sparkSession)
+    least = materialised(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+    share = max(HUB, -(-edges // parts))
+    pieces = F.least(F.ceil(F.col("n") / share), F.lit(parts)).cast("int")
+    hubs = least.where(F.col("n") > share).select(F.col("u").alias("hub"), pieces.alias("pieces"))
+    salted = both.join(F.broadcast(hubs), both["u"] == hubs["hub"], "left")
+    salted = salted.select("u", "v", F.coalesce(F.pmod(F.xxhash64("v"), F.col("pieces")), F.lit(0)).cast("int").alias("salt"))
+    each = F.when(F.col("n") > share, F.sequence(F.lit(0), pieces - 1)).otherwise(F.array(F.lit(0)))
+    return salted, least.select(F.col("u").alias("its_u"), F.explode(each).alias("its_salt"), "m")
+
+
+def _stars(both: DataFrame, edges: int) -> DataFrame:
+    """both (u, v) with the least of u and its neighbours v."""
+    salted, least = dealt(both, edges)
+    joined = salted.join(least, (salted["u"] == least["its_u"]) & (salted["salt"] == least["its_salt"]))
+    return joined.select("u", "v", F.least("m", "u").alias("m"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,19 +46,21 @@ def components(edges: DataFrame) -> DataFrame:
     checksum. Loops and repeated edges do no harm. No edges give no rows.
     """
     now = materialised(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    state = None
-    for _ in range(MOST_ROUNDS):
+    look = lambda: tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    state = look()
+    for _ in range(MOST_ROUNDS if state[0] else 0):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _stars(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = _stars(large)
+        # one row for each edge; what repeats goes at the end of the round
+        large = materialised(_stars(both, 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = _stars(large, state[0])
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         now = materialised(small.where("u <> v").distinct())
-        new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if new == state:
+        before, state = state, look()
+        if state == before:
             break
-        state = new
     else:
-        raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
+        if state[0]:
+            raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )

@@ -3,18 +3,22 @@
 1. Equal vectors of a label become one, with a count.
 2. A rotation of the leading principal axes is learned on a bounded sample so that the signs of
    the rotated components, 64 bits, lose as little as they can (iterative quantisation).
-3. The 64 bits are eight substrings; a table for each pair of substrings deals vectors out by
-   the label and the 16 bits of the pair. Two codes that differ in at most six bits agree in two
-   substrings at least, so they meet; most of those that differ in seven to ten do too.
-4. Where two vectors meet in several tables, the first one counts. Codes that differ in more than
-   MOST_BITS bits are no candidates. The rest is decided by the cosine of the original vectors
-   in double precision: no link below the threshold is ever returned.
-5. Tasks return, for each vector, how many it is linked with and the first of its part of the
-   graph there, never pairs; components are joined from these.
-
-A bucket of more than BLOCK vectors is split into blocks, and each pair of blocks is a tile of
-its own, so a bucket of any size is spread over tasks with bounded memory. Measured against all
-pairs, recall is over 0.99 (see tests and README).
+3. The bits are cut into substrings; a table for each pair of substrings deals codes out by the
+   label and the bits of the pair. So with m substrings, codes that differ in at most m - 2 bits
+   always meet, and most of those that differ in some more. How many substrings it takes, and in
+   how many bits linked vectors differ (the radius), is learned as well: sample vectors are turned
+   by exactly the angle of the threshold, and their codes compared.
+4. Only codes go through the tables, each distinct one of a label once. A code stays in a table if
+   another within the radius is there that it meets in no earlier table. Vectors are sent to the
+   tables in which their code stays, and nowhere else.
+5. There the cosine of the original vectors in double precision decides: no link below the
+   threshold is ever returned. Tasks return, for each vector, how many it is linked with and the
+   first of its part of the graph there, never pairs; components are joined from these.
+
+A bucket of more than BLOCK codes or vectors is split into blocks, and each pair of blocks is a
+tile of its own, so a bucket of any size is spread over tasks with bounded memory. Measured against
+all pairs, recall is over 0.99 (see tests and README). The exact way is substrings=0 with
+radius=64: a label is then one bucket, of which all pairs of blocks are compared.
 
 Null labels, and vectors that are null, empty, zero or hold null or non-finite components, link
 with nothing: no links, and their own component. Vectors of different lengths don't link. Equal
@@ -23,7 +27,8 @@ rows link with each other. An empty table gives no rows. Other columns are not u
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -31,22 +36,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from payflux.llm.common import materialised
+from payflux.functions.numbering import materialised
 from payflux.llm.components import components
 from payflux.llm.vectors import cosines, matrix, unit_rows, usable
 
 THRESHOLD = 0.98
-BITS, SUBSTRINGS = 64, 8
-WIDTH = BITS // SUBSTRINGS
-TABLES = list(combinations(range(SUBSTRINGS), 2))
-MOST_BITS = 16
+BITS = 64
+#: The first of these with which RECALL of the pairs at the very threshold meet is taken.
+SUBSTRINGS, RECALL = (8, 10, 12, 16), 0.97
 BLOCK = 1024
-#: Vectors that the rotation is learned from.
-SAMPLE = 8192
+#: Vectors that the rotation is learned from, at most, and turned vectors at least.
+SAMPLE, PROBES = 8192, 8192
 ROUNDS = 40
 
+Model = tuple[np.ndarray, np.ndarray]
+
 
-def learned(x: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def learned(x: np.ndarray, seed: int = 0) -> Model:
     """mean and a matrix: the signs of (x - mean) @ matrix are the code of x.
 
     Vectors of fewer than 64 components get random directions for the bits that are left.
@@ -69,7 +75,35 @@ def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def _coded(models: dict[int, tuple[np.ndarray, np.ndarray]]):
+def turned(x: np.ndarray, threshold: float, seed: int = 1) -> np.ndarray:
+    """Unit vectors at exactly the angle of the threshold from the unit vectors x."""
+    r = np.random.default_rng(seed).standard_normal(x.shape)
+    r -= (r * x).sum(axis=1, keepdims=True) * x
+    length = np.sqrt((r * r).sum(axis=1, keepdims=True))
+    return threshold * x + math.sqrt(max(0.0, 1 - threshold * threshold)) * r / np.maximum(length, 1e-300)
+
+
+def substring_bits(difference: np.ndarray, m: int) -> np.ndarray:
+    """Which of the m substrings agree, for codes that differ in these bits."""
+    width = BITS // m
+    return ((difference[:, None] >> (np.arange(m, dtype=np.uint64) * np.uint64(width))) & np.uint64((1 << width) - 1)) == 0
+
+
+def geometry(samples: list[np.ndarray], models: list[Model], threshold: float) -> tuple[int, int]:
+    """Substrings to take, and the radius."""
+    parts = [np.zeros(1, np.uint64)]
+    for x, model in zip(samples, models, strict=True):
+        x = np.tile(x, (-(-PROBES // len(x)), 1))
+        parts.append(codes(x, *model) ^ codes(turned(x, threshold), *model))
+    difference = np.concatenate(parts)
+    radius = min(BITS, int(np.bitwise_count(difference).max()) + 2)
+    for m in SUBSTRINGS:
+        if (substring_bits(difference, m).sum(axis=1) >= 2).mean() >= RECALL:
+            break
+    return m, radius
+
+
+def _coded(models: dict[int, Model]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             code = np.zeros(batch.num_rows, np.uint64)
@@ -84,108 +118,161 @@ def _coded(models: dict[int, tuple[np.ndarray, np.ndarray]]):
     return run
 
 
-def met(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Rows sorted by tile: for each that is linked in its tile, the weight of those it is linked with, and the first of them all."""
-    tile, uid, weight = (batch.column(k).to_numpy() for k in ("tile", "uid", "weight"))
-    code, table, block = batch.column("code").to_numpy().view(np.uint64), batch.column("table").to_numpy(), batch.column("block").to_numpy()
-    mixed = batch.column("mixed").to_numpy(zero_copy_only=False)
-    column, (low, high) = batch.column("v"), np.array(TABLES).T
-    n = len(tile)
-    left, right = [], []
+def _candidates(batch: pa.RecordBatch, m: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of a tile whose codes are within the radius and share no earlier table. Rows are sorted by tile."""
+    bucket, low, high, table, block = (batch.column(k).to_numpy() for k in ("bucket", "low", "high", "table", "block"))
+    code = batch.column("code").to_numpy().view(np.uint64)
+    first, second = np.array(list(combinations(range(m), 2)) or [(0, 0)]).T
+    n = len(bucket)
     active = np.arange(n - 1)
     for d in range(1, n):
         active = active[active + d < n]
-        active = active[tile[active + d] == tile[active]]
+        b = active + d
+        active = active[(bucket[b] == bucket[active]) & (low[b] == low[active]) & (high[b] == high[active])]
         if not len(active):
             break
         a, b = active, active + d
-        fits = ~mixed[a] | (block[a] != block[b])
+        fits = (low[a] == high[a]) | (block[a] != block[b])  # pairs inside a block belong to another tile
         x = code[a] ^ code[b]
-        fits &= np.bitwise_count(x) <= MOST_BITS
+        fits &= np.bitwise_count(x) <= radius
         a, b, x = a[fits], b[fits], x[fits]
-        same = ((x[:, None] >> np.arange(0, BITS, WIDTH, dtype=np.uint64)) & np.uint64(2**WIDTH - 1)) == 0
-        order = np.cumsum(same, axis=1)
-        t = table[a]
-        first = same[np.arange(len(a)), high[t]] & (order[np.arange(len(a)), low[t]] == 1) & (order[np.arange(len(a)), high[t]] == 2)
-        left.append(a[first])
-        right.append(b[first])
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-    linked = np.zeros(len(a), bool)
-    for i in range(0, len(a), 1 << 16):  # bounded memory
-        part = slice(i, i + (1 << 16))
-        linked[part] = cosines(*(matrix(column.take(pa.array(k[part]))) for k in (a, b))) >= THRESHOLD
-    a, b = a[linked], b[linked]
-    total = np.bincount(a, weight[b], n) + np.bincount(b, weight[a], n)
-    first, before = np.arange(n), None
-    while before is None or (first != before).any():
-        before = first.copy()
-        np.minimum.at(first, a, before[b])
-        np.minimum.at(first, b, before[a])
-        first = np.minimum(first, first[first])
-    at = np.flatnonzero(total > 0)
-    return pa.RecordBatch.from_arrays([pa.array(uid[at]), pa.array(total[at].astype(np.int64)), pa.array(uid[first[at]])], names=["uid", "weight", "first"])
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A tile may go on in the next batch; it has two blocks at most."""
-    rest: pa.Table | None = None
-    for batch in batches:
-        rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-        tile = rest.column("tile").to_numpy()
-        cut = int(np.searchsorted(tile, tile[-1])) if len(tile) else 0
-        if cut:
-            yield met(rest.slice(0, cut).combine_chunks().to_batches()[0])
-            rest = rest.slice(cut)
-    if rest is not None and rest.num_rows:
-        yield met(rest.combine_chunks().to_batches()[0])
-
-
-def tiled(items: DataFrame) -> DataFrame:
-    """items (uid, label, width, weight, code, v) -> rows of tiles of every bucket that holds two or more."""
-    sub = lambda k: F.shiftrightunsigned("code", WIDTH * k).bitwiseAND((1 << WIDTH) - 1)
-    keys = F.array(*(F.struct(F.lit(t).alias("table"), (F.shiftleft(sub(a), WIDTH) + sub(b)).alias("key")) for t, (a, b) in enumerate(TABLES)))
-    rows = items.select("uid", "label", "width", F.inline(keys))
+        if not m:
+            yield a, b
+            continue
+        same = substring_bits(x, m)
+        order, at, t = np.cumsum(same, axis=1), np.arange(len(a)), table[a]
+        own = same[at, second[t]] & (order[at, first[t]] == 1) & (order[at, second[t]] == 2)
+        yield a[own], b[own]
+
+
+def _stay(m: int, radius: int):
+    """Codes that have a candidate in the tile; those of several vectors have one in the first table."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        stays = (batch.column("n").to_numpy() > 1) & (batch.column("table").to_numpy() == 0)
+        for a, b in _candidates(batch, m, radius):
+            stays[a] = stays[b] = True
+        at = pa.array(np.flatnonzero(stays))
+        return pa.RecordBatch.from_arrays([batch.column(k).take(at) for k in ("bucket", "code", "n")], names=["bucket", "code", "n"])
+
+    return run
+
+
+def _met(m: int, radius: int, threshold: float):
+    """Of each vector that is linked in its tile, the weight of those it is linked with, and the first of them all."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        uid, weight, column, n = batch.column("uid").to_numpy(), batch.column("weight").to_numpy(), batch.column("v"), batch.num_rows
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in _candidates(batch, m, radius):
+            for i in range(0, len(a), 1 << 15):  # bounded memory
+                x, y = a[i : i + (1 << 15)], b[i : i + (1 << 15)]
+                near = cosines(*(matrix(column.take(pa.array(k))) for k in (x, y))) >= threshold
+                left.append(x[near])
+                right.append(y[near])
+        a, b = np.concatenate(left), np.concatenate(right)
+        total = np.bincount(a, weight[b], n) + np.bincount(b, weight[a], n)
+        first, before = np.arange(n), None
+        while before is None or (first != before).any():
+            before = first.copy()
+            np.minimum.at(first, a, before[b])
+            np.minimum.at(first, b, before[a])
+            first = np.minimum(first, first[first])
+        at = np.flatnonzero(total > 0)
+        return pa.RecordBatch.from_arrays([pa.array(uid[at]), pa.array(total[at].astype(np.int64)), pa.array(uid[first[at]])], names=["uid", "weight", "first"])
+
+    return run
+
+
+def _by_tile(f: Callable[[pa.RecordBatch], pa.RecordBatch]):
+    """f of whole tiles. A tile may go on in the next batch; it has two blocks at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            changes = np.zeros(rest.num_rows - 1, bool)
+            for k in ("bucket", "low", "high"):
+                changes |= np.diff(rest.column(k).to_numpy()) != 0
+            cut = int(np.flatnonzero(changes)[-1]) + 1 if changes.any() else 0
+            if cut:
+                yield f(rest.slice(0, cut).combine_chunks().to_batches()[0])
+                rest = rest.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield f(rest.combine_chunks().to_batches()[0])
+
+    return run
+
+
+def _tiles(rows: DataFrame, name: str) -> DataFrame:
+    """rows (bucket, blocks and more) with block, low and high, once for each tile; name tells them apart."""
+    rows = rows.withColumn("block", F.pmod(F.xxhash64(name, "bucket"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "blocks")
+    tile = ["bucket", "low", "high"]
+    return rows.repartition(*tile).sortWithinPartitions(*tile)
+
+
+def staying(coded: DataFrame, m: int, radius: int) -> DataFrame:
+    """coded (label, width, code, n: vectors) -> bucket, label, width, table, code, n: where codes stay."""
+    width = BITS // m if m else BITS
+    sub = lambda k: F.shiftrightunsigned("code", width * k).bitwiseAND((1 << width) - 1)
+    keys = [F.struct(F.lit(t).alias("table"), (F.shiftleft(sub(a), width) + sub(b)).alias("key")) for t, (a, b) in enumerate(combinations(range(m), 2))]
+    keys = F.array(*(keys or [F.struct(F.lit(0).alias("table"), F.lit(0).cast("long").alias("key"))]))
+    rows = coded.select("label", "width", "code", "n", F.inline(keys))
     bucket = ["label", "width", "table", "key"]
-    sizes = rows.groupBy(*bucket).count().where("count > 1").withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("long"))
-    rows = rows.join(sizes, bucket).withColumn("block", F.pmod(F.xxhash64("uid", "key"), "blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other).withColumn("mixed", F.col("other") != F.col("block"))
-    pair = (F.least("block", "other"), F.greatest("block", "other"))
-    tile = F.xxhash64(*bucket, *pair)
-    rows = rows.select("uid", "table", F.col("block").cast("int").alias("block"), "mixed", tile.alias("tile"))
-    return rows.join(items.select("uid", "weight", "code", "v"), "uid")
+    sizes = rows.groupBy(*bucket).agg(F.count("*").alias("codes"), F.max("n").alias("most"))
+    sizes = sizes.where((F.col("codes") > 1) | ((F.col("most") > 1) & (F.col("table") == 0)))
+    sizes = materialised(sizes.select(F.monotonically_increasing_id().alias("bucket"), *bucket, F.ceil(F.col("codes") / BLOCK).cast("long").alias("blocks")))
+    rows = rows.join(sizes, bucket).select("bucket", "table", "code", "n", "blocks")
+    stay = _tiles(rows, "code").select("bucket", "low", "high", "table", "block", "code", "n").mapInArrow(_by_tile(_stay(m, radius)), "bucket bigint, code bigint, n bigint")
+    return stay.distinct().join(sizes.drop("blocks", "key"), "bucket")
 
 
-def linked(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
+def linked(
+    df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD, substrings: int | None = None, radius: int | None = None
+) -> DataFrame:
     """vec_id, n_links, component_id and kept, a row for each row of df."""
     rows = df.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("v"), F.col(label).alias("label"))
     good = F.col("label").isNotNull() & usable(F.col("v"))
     apart = rows.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     rows = rows.where(good)
+    digest = [F.xxhash64("v").alias("d0"), F.xxhash64(F.lit("second"), "v").alias("d1")]
     classes = rows.groupBy("label", "v").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"))
     classes = materialised(classes.select(F.monotonically_increasing_id().alias("uid"), "label", F.size("v").alias("width"), "weight", "least", "v"))
     sample = classes.orderBy(F.xxhash64("v"), "uid").limit(SAMPLE).select("v", "width").toPandas()
-    models = {}
-    for w, part in sample.groupby("width"):
-        models[int(w)] = learned(unit_rows(np.array([np.asarray(x, np.float64) for x in part["v"]])))
+    samples = {int(w): unit_rows(np.array([np.asarray(x, np.float64) for x in part["v"]])) for w, part in sample.groupby("width")}
+    models = {w: learned(x) for w, x in samples.items()}
+    m, r = geometry(list(samples.values()), list(models.values()), threshold)
+    m, r = m if substrings is None else substrings, radius or r
     kinds = dict(classes.dtypes)
     coded = ", ".join(f"{c} {kinds[c]}" for c in classes.columns) + ", code bigint"
     items = materialised(classes.mapInArrow(_coded(models), coded).select("uid", "label", "width", "weight", "code", "v"))
-    pairs = tiled(items).repartition("tile").sortWithinPartitions("tile").select("tile", "uid", "weight", "code", "table", "block", "mixed", "v")
-    found = materialised(pairs.mapInArrow(_meet, "uid bigint, weight bigint, first bigint"))
+    stay = materialised(staying(items.groupBy("label", "width", "code").agg(F.count("*").alias("n")), m, r))
+    sizes = stay.groupBy("bucket").agg(F.ceil(F.sum("n") / BLOCK).cast("long").alias("blocks"))
+    members = stay.join(sizes, "bucket").select("bucket", "label", "width", "table", "code", "blocks").join(items, ["label", "width", "code"])
+    members = _tiles(members.select("bucket", "table", "uid", "weight", "code", "v", "blocks"), "uid")
+    found = members.select("bucket", "low", "high", "table", "block", "uid", "weight", "code", "v").mapInArrow(_by_tile(_met(m, r, threshold)), "uid bigint, weight bigint, first bigint")
+    found = materialised(found)
     counts = found.groupBy("uid").agg(F.sum("weight").alias("others"))
     parts = components(found.select(F.col("uid").alias("u"), F.col("first").alias("v")))
-    parts = classes.select("uid", "least").join(parts, classes["uid"] == parts["id"]).select("uid", "component", "least")
+    slim = classes.select("uid", "label", "weight", "least", *digest)
+    parts = slim.select("uid", "least").join(parts, slim["uid"] == parts["id"]).select("uid", "component", "least")
     least = parts.groupBy("component").agg(F.min("least").alias("component_id"))
     named = parts.select("uid", "component").join(least, "component").select("uid", "component_id")
-    classes = classes.select("uid", "label", "v", "weight", "least").join(counts, "uid", "left").join(named, "uid", "left")
-    classes = classes.select(
+    slim = slim.join(counts, "uid", "left").join(named, "uid", "left")
+    # vectors don't travel once more: two hashes of 64 bits find the class of a row
+    slim = slim.select(
         F.col("label").alias("its_label"),
-        F.col("v").alias("its_v"),
+        F.col("d0").alias("its_d0"),
+        F.col("d1").alias("its_d1"),
         (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"),
         F.coalesce("component_id", "least").alias("component_id"),
     )
-    out = rows.join(classes, (rows["label"] == classes["its_label"]) & (rows["v"] == classes["its_v"]))
+    keyed = rows.select("vec_id", "label", *digest)
+    out = keyed.join(slim, (keyed["label"] == slim["its_label"]) & (keyed["d0"] == slim["its_d0"]) & (keyed["d1"] == slim["its_d1"]))
     return out.select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept")).unionByName(apart)
 
 

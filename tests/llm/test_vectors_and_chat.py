@@ -34,10 +34,14 @@ def cosine(a, b):
     return a @ b / np.sqrt((a @ a) * (b @ b))
 
 
-@pytest.mark.parametrize("block", [1024, 8])
-def test_embedding_links(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,mean", [(1024, 0.0), (8, 0.0), (1024, 16.0)])
+def test_embedding_links(spark, monkeypatch, block, mean):
+    """Also of vectors with a large common mean, whose codes differ in many more bits at the threshold."""
     monkeypatch.setattr(embedding_dedup, "BLOCK", block)
     rows = vectors()
+    if mean:
+        shift = np.random.default_rng(3).standard_normal(24) * mean / np.sqrt(24)
+        rows = [(i, [float(np.float32(x + s)) for x, s in zip(v, shift, strict=True)] if v and len(v) == 24 and good(v) else v, *rest) for i, v, *rest in rows]
     links, root = {r[0]: 0 for r in rows}, {r[0]: r[0] for r in rows}
     use = [r for r in rows if r[2] is not None and good(r[1])]
     for i, a in enumerate(use):
@@ -55,6 +59,23 @@ def test_embedding_links(spark, monkeypatch, block):
         assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in out} == {k: (links[k], root[k], root[k] == k) for k in links}
 
 
+def test_exact_parameters(spark):
+    """Without substrings, everything that is linked is found."""
+    rows = [r for r in vectors(120, 8, 20)]
+    use = [r for r in rows if r[2] is not None and good(r[1])]
+    want = {r[0]: sum(a[0] != r[0] and a[2] == r[2] and len(a[1]) == len(r[1]) and cosine(a[1], r[1]) >= 0.5 for a in use) if r in use else 0 for r in rows}
+    out = embedding_dedup.linked(spark.createDataFrame(rows, KIND), threshold=0.5, substrings=0, radius=64).collect()
+    assert {r["vec_id"]: r["n_links"] for r in out} == want
+
+
+def test_hub_is_dealt_out(spark):
+    """No key of the join holds the edges of a hub whole."""
+    both = spark.createDataFrame([(0, k) for k in range(1, 4001)] + [(k, 0) for k in range(1, 4001)], "u bigint, v bigint")
+    salted, least = components.dealt(both, 8000)
+    sizes = [r["count"] for r in salted.groupBy("u", "salt").count().collect()]
+    assert sum(sizes) == 8000 and max(sizes) < 2 * 8000 / 4 and least.count() == 4000 + 2
+
+
 def test_no_embeddings(spark):
     none = spark.createDataFrame([], KIND)
     assert embedding_dedup.linked(none).count() == 0
