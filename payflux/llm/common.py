@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,44 @@ def unit(*of: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*of), 11)).cast("double") / F.lit(float(1 << 53))
 
 
+def place(*of: Column | str | int) -> Column:
+    """A whole number under 2**60, drawn from md5 of the arguments, so that SQL of other engines can draw it too."""
+    parts = [p if isinstance(p, Column) else F.lit(str(p)) for p in of]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 15), 16, 10).cast("long")
+
+
+def place_sql(*of: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join(of)})), 1, 15))::bigint"
+
+
+def row_key(columns: Iterable[Column]) -> Column:
+    """md5 of the columns as text: rows of equal columns, and only they, have equal keys."""
+    return F.md5(F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("-")) for c in columns)).cast("binary"))
+
+
+def told_apart(rows: DataFrame, key: str) -> DataFrame:
+    """rows, checkpointed, with key|n in place of the key: n numbers the rows of equal key from 0.
+
+    So what is drawn from it depends neither on how files are split nor on the cluster. Where a key repeats,
+    its rows are numbered in the part of the table that they come in, after a count of the parts before:
+    a key of any size is spread over tasks as its rows were. Without repeats nothing is joined.
+    """
+    uid, part, before, n, its_key, its_part = unused(rows.columns, "uid", "part", "before", "n", "its_key", "its_part")
+    out = [c for c in rows.columns if c != key]
+    rows = materialised(rows.withColumn(uid, F.monotonically_increasing_id())).withColumn(part, F.shiftright(uid, 33))
+    counts = rows.groupBy(key, part).agg(F.count("*").alias(n))
+    repeated = materialised(counts.groupBy(key).agg(F.sum(n).alias(n)).where(F.col(n) > 1).select(F.col(key).alias(its_key)))
+    if repeated.isEmpty():
+        return rows.select(*out, F.concat(key, F.lit("|0")).alias(key))
+    again = counts.join(repeated, counts[key] == repeated[its_key], "left_semi")
+    earlier = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    again = again.select(F.col(key).alias(its_key), F.col(part).alias(its_part), F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    rows = rows.join(again, (rows[key] == again[its_key]) & (rows[part] == again[its_part]), "left")
+    inside = F.row_number().over(Window.partitionBy(key, part).orderBy(uid)) - 1
+    number = F.when(F.col(before).isNull(), F.lit(0)).otherwise(F.col(before) + inside)
+    return rows.select(*out, F.concat_ws("|", F.col(key), number.cast("string")).alias(key))
+
+
 def with_sums_before(
     df: DataFrame, groups: list[str], cell: str, order: list[Column], values: dict[str, str], cell_order: list[Column] | None = None
 ) -> DataFrame:

@@ -17,10 +17,11 @@ the shards; they sum to the quotas of the sources exactly. Shards get the blocks
 after the other in the drawn order, hence disjoint; inside a shard rows are shuffled by hash.
 
 The driver sees only counts of one row for each source in one array, so there may be thousands
-of sources, not billions. Everything drawn comes from hashes: reruns agree.
+of sources, not billions. Everything drawn comes from hashes of the rows themselves: reruns
+agree, however the table is split into files and whatever the cluster.
 
 Null sources are one source, the last. Null and empty texts have no words and are never taken.
-Equal rows are told apart by their number in the input, fixed by a checkpoint. An empty table
+Equal rows are numbered, and it doesn't matter which of them is which. An empty table
 gives no rows. Columns of the input keep their names; clashing new ones get underscores in front.
 """
 
@@ -32,7 +33,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from payflux.llm.common import materialised, unit, unused, with_sums_before, word_count
+from payflux.functions.names import unused
+from payflux.functions.numbering import materialised
+from payflux.llm.common import place, place_sql, row_key, told_apart, unit, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -161,80 +164,92 @@ def plan(
 ) -> DataFrame:
     """df (or its columns keep) with size, source_size, target, taken (words) and draws: (pass, words, shard, place) of each time the mix takes it."""
     keep = df.columns if keep is None else keep
-    sz, whole, target, taken, draws, uid, src, block, before = unused(keep, "size", "source_size", "target", "taken", "draws", "uid", "src", "block", "before")
-    first = list(dict.fromkeys([*keep, source]))
-    rows = materialised(
-        df.select(*first, (size if size is not None else word_count(F.col("text"))).cast("long").alias(sz)).withColumn(uid, F.monotonically_increasing_id())
-    )
-    sizes = rows.groupBy(F.col(source).alias("source")).agg(F.sum(sz).alias("source_size"))
-    goals = materialised(targets(sizes, weights, share, most))
-    goal = F.round("target").cast("long")
+    new = ["size", "source_size", "target", "taken", "draws"]
+    got = _planned(df, source, size, keep, weights, share, most, blocks, shards, seed)
+    return got.select(*(f"c{i}" for i in range(len(keep))), *new).toDF(*keep, *unused(keep, *new))
+
+
+def _planned(df: DataFrame, source: str, size: Column | None, keep: list[str], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = 1) -> DataFrame:
+    """As plan; the columns kept are c0, c1, ..., and id is a row's key and number."""
+    inner = [f"c{i}" for i in range(len(keep))]
+    words = size if size is not None else word_count(F.col("text"))
+    rows = df.select(*(F.col(c).alias(i) for c, i in zip(keep, inner, strict=True)), F.col(source).alias("src"), words.cast("long").alias("size"), row_key(df[c] for c in df.columns).alias("id"))
+    rows = materialised(told_apart(rows, "id"))
+    goals = materialised(targets(rows.groupBy(F.col("src").alias("source")).agg(F.sum("size").alias("source_size")), weights, share, most))
 
     # a row for each document, with its block
     s = goals.select(F.col("source").alias("the_source"), "source_size", "target")
-    rows = rows.join(s, rows[source].eqNullSafe(s["the_source"])).select(
-        *(rows[c] for c in [*keep, sz, uid]),
-        s["the_source"].alias(src),
-        s["source_size"].alias(whole),
-        s["target"].alias(target),
-        F.pmod(F.xxhash64(F.lit(seed), rows[uid]), F.lit(blocks)).alias(block),
-    )
+    rows = rows.withColumn("block", F.pmod(place("block", seed, F.col("id")), F.lit(blocks)))
     # a row for each block and pass: what the mix takes of it, and its number among the source's blocks that are taken
-    dealt = rows.groupBy(src, block).agg(F.sum(sz).alias("words"), F.first(whole).alias("whole"), F.first(target).alias("target"))
-    dealt = dealt.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
-    in_turn = Window.partitionBy(src).orderBy("pass", F.xxhash64(F.lit(seed), F.col("pass"), F.col(block)), block)
+    dealt = rows.groupBy("src", "block").agg(F.sum("size").alias("words"))
+    dealt = dealt.join(s, dealt["src"].eqNullSafe(s["the_source"])).withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+    in_turn = Window.partitionBy("src").orderBy("pass", place("turn", seed, F.col("pass").cast("string"), F.col("block").cast("string")), "block")
     earlier = F.coalesce(F.sum("words").over(in_turn.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    dealt = dealt.select(
-        src, block, "pass", F.least(F.col("words"), F.greatest(F.lit(0), goal - earlier)).alias("take"), (F.row_number().over(in_turn) - 1).alias("number")
-    ).where("take > 0")
-    dealt = materialised(dealt)
-    quotas = shard_quotas(dealt.groupBy(F.col(src).alias("source")).agg(F.count("*").alias("quota")), shards, seed)
-    placed = dealt.join(quotas, dealt[src].eqNullSafe(quotas["source"])).select(
-        dealt["*"], F.size(F.filter("ends", lambda e: e <= F.col("number"))).alias("shard")
-    )
-    placed = placed.groupBy(F.col(src).alias("its_source"), F.col(block).alias("its_block")).agg(
-        F.array_sort(F.collect_list(F.struct("pass", "take", "shard"))).alias("takes")
-    )
-    rows = with_sums_before(rows, [src], block, [F.xxhash64(F.lit(seed), F.lit("in block"), F.col(uid)), F.col(uid)], {sz: before})
-    # sums before in the source, less those before the block: first row of a block by a window over the same partitioning
-    start = F.min(before).over(Window.partitionBy(src, block))
-    rows = rows.withColumn(before, F.col(before) - start)
-    got = rows.join(placed, rows[src].eqNullSafe(placed["its_source"]) & (rows[block] == placed["its_block"]), "left")
-    words = lambda t: F.least(F.col(sz), F.greatest(F.lit(0).cast("long"), t["take"] - F.col(before)))
+    take = F.least(F.col("words"), F.greatest(F.lit(0), F.round("target").cast("long") - earlier))
+    dealt = materialised(dealt.select("src", "block", "pass", take.alias("take"), (F.row_number().over(in_turn) - 1).alias("number")).where("take > 0"))
+    quotas = shard_quotas(dealt.groupBy(F.col("src").alias("source")).agg(F.count("*").alias("quota")), shards, seed)
+    placed = dealt.join(quotas, dealt["src"].eqNullSafe(quotas["source"])).select(dealt["*"], F.size(F.filter("ends", lambda e: e <= F.col("number"))).alias("shard"))
+    placed = placed.groupBy(F.col("src").alias("its_source"), F.col("block").alias("its_block")).agg(F.array_sort(F.collect_list(F.struct("pass", "take", "shard"))).alias("takes"))
+    rows = rows.withColumn("order", place("order", seed, F.col("id")))
+    # sums before in the block alone
+    inside = Window.partitionBy("src", "block").orderBy("order", "id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    got = rows.join(placed, rows["src"].eqNullSafe(placed["its_source"]) & (rows["block"] == placed["its_block"]), "left").join(s, F.col("src").eqNullSafe(F.col("the_source")))
+    words = lambda t: F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), t["take"] - F.col("before")))
     each = F.transform(
         F.coalesce("takes", F.array().cast("array<struct<pass:int,take:bigint,shard:int>>")),
-        lambda t: F.struct(t["pass"].alias("pass"), words(t).alias("words"), t["shard"].alias("shard"), F.xxhash64(F.lit(seed), t["pass"], F.col(uid)).alias("place")),
-    )
-    each = F.filter(each, lambda t: t["words"] > 0)
-    return got.withColumn(draws, each).select(
-        *keep, sz, whole, target, F.aggregate(draws, F.lit(0).cast("long"), lambda a, t: a + t["words"]).alias(taken), draws
+        lambda t: F.struct(t["pass"].alias("pass"), words(t).alias("words"), t["shard"].alias("shard"), F.xxhash64(F.lit(seed), t["pass"], F.col("id")).alias("place")),
     )
+    got = got.withColumn("draws", F.filter(each, lambda t: t["words"] > 0))
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, t: a + t["words"])
+    return got.select("id", *inner, "size", "source_size", "target", taken.alias("taken"), "draws")
 
 
-def mixed(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
+def mixed(df: DataFrame, source: str = "source", text: str = "text", **options) -> DataFrame:
     """df's rows as the mix has them: each as often as the mix draws it, whole, with the output shard and the place in it.
 
     A document of which the mix takes only the words that its target still lacked is whole here too: at most one for each source.
-    Texts don't take part in the planning; draws find them by key, source and a hash of the text, and repeated rows by their number.
+    Rows meet their draws by a hash of all their columns, and repeated rows by their number.
     """
-    shard, place, digest, nth, at = unused(df.columns, "shard", "place", "digest", "nth", "draw")
-    rows = df.withColumn(digest, F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    slim = rows.select(key, source, digest, text)
-    planned = plan(slim, source, keep=[key, source, digest], **options)
-    draws = planned.columns[-1]
-    same = [key, source, digest]
-    number = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))
-    planned = planned.select(*same, number.alias(nth), F.col(draws).alias(at)).where(F.size(at) > 0)
-    planned = planned.toDF("k0", "k1", "k2", "k3", "draws")
-    rows = rows.withColumn(nth, number)
-    alike = F.lit(True)
-    for k, c in enumerate([*same, nth]):
-        alike = alike & rows[c].eqNullSafe(planned[f"k{k}"])
-    out = rows.join(planned, alike).select(*(rows[c] for c in df.columns), F.explode("draws").alias(at))
-    return out.select(*df.columns, F.col(f"{at}.shard").alias(shard), F.col(f"{at}.place").alias(place))
+    inner = [f"c{i}" for i in range(len(df.columns))]
+    planned = _planned(df, source, word_count(F.col(text)), [], **options)
+    planned = materialised(planned.select(F.col("id").alias("its_id"), "draws"))
+    rows = df.select(*(F.col(c).alias(i) for c, i in zip(df.columns, inner, strict=True)), row_key(df[c] for c in df.columns).alias("id"))
+    if planned.where(~F.col("its_id").endswith("|0")).isEmpty():
+        rows = rows.withColumn("id", F.concat("id", F.lit("|0")))
+    else:
+        rows = told_apart(rows, "id")
+    planned = planned.where(F.size("draws") > 0)
+    out = rows.join(planned, rows["id"] == planned["its_id"]).select(*inner, F.explode("draws").alias("draw"))
+    return out.select(*inner, F.col("draw.shard").alias("shard"), F.col("draw.place").alias("place")).toDF(*df.columns, *unused(df.columns, "shard", "place"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, with the words that the mix takes of each."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
     return plan(docs, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP10_SQL = f"""
+with keyed as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as size,
+    md5(concat_ws('|', coalesce(doc_id::varchar, '-'), coalesce(source, '-'), coalesce(text, '-'))) as k from documents),
+docs as (select *, k || '|' || (row_number() over (partition by k) - 1) as id from keyed),
+sources as (
+  select *, 2.0 * source_size as most, sum(source_size) over () as everything, [3.0, 1.0, 2.0][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight
+  from (select source, sum(size)::bigint as source_size from docs group by source)),
+units as (
+  select *, row_number() over (order by most / weight, source nulls last) as i,
+    ({SHARE} * everything - coalesce(sum(most) over (order by most / weight, source nulls last rows between unbounded preceding and 1 preceding), 0))
+      / sum(weight) over (order by most / weight, source nulls last rows between current row and unbounded following) as a_unit
+  from sources),
+goals as (select source, source_size, coalesce(least(most, (select arg_min(a_unit, i) from units where most >= a_unit * weight) * weight), most) as target from units),
+placed as (select *, {place_sql("'block'", "'1'", "id")} % {BLOCKS} as block, {place_sql("'order'", "'1'", "id")} as place from docs),
+dealt as (
+  select b.source, block, pass, words, source_size, target, coalesce(sum(words) over (
+    partition by b.source order by pass, {place_sql("'turn'", "'1'", "pass::varchar", "block::varchar")}, block rows between unbounded preceding and 1 preceding), 0) as earlier
+  from (select source, block, sum(size) as words from placed group by 1, 2) b join goals g on g.source is not distinct from b.source cross join unnest(range({MOST})) p(pass)),
+sums as (select *, coalesce(sum(size) over (partition by source, block order by place, id rows between unbounded preceding and 1 preceding), 0) as before from placed)
+select doc_id, size, source_size, target, sum(least(size, greatest(0, least(words, greatest(0, round(target) - earlier)) - before)))::bigint as taken
+from sums s join dealt d on d.source is not distinct from s.source and d.block = s.block group by doc_id, id, size, source_size, target
+"""
