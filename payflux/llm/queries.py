@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from payflux.llm import chat, embedding_dedup, jaccard, neighbours, quality, secrets, substring_dedup
-from payflux.llm.mixing import op10_mixing
-from payflux.llm.packing import op5_packing
+from payflux.llm.mixing import OP10_SQL, op10_mixing
+from payflux.llm.packing import OP5_SQL, op5_packing
 from payflux.llm.sharding import op6_sharding
 
 QUERIES = {
@@ -25,5 +25,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_embedding_dedup": embedding_dedup.OP2_SQL,
     "op3_chat_formatting": chat.OP3_SQL,
     "op4_substring_dedup": substring_dedup.OP4_SQL,
+    "op5_packing": OP5_SQL,
     "op7_nearest_neighbours": neighbours.OP7_SQL,
+    "op10_mixing": OP10_SQL,
 }

@@ -405,5 +405,41 @@ def test_packing(spark, docs, empty):
     assert packing.pack(docs).count() == len(table()) and packing.pack(empty).count() == 0
 
 
+def test_bounds_are_lengths_of_documents(spark):
+    """Also where there are too many lengths to take one by one."""
+    lengths = [int(x) for x in np.random.default_rng(0).integers(0, 200_000, 3000)]
+    df = spark.createDataFrame([(n,) for n in lengths], "n bigint")
+    exact, counts = packing.histogram(df, "n")
+    assert exact.tolist() == sorted(set(lengths)) and counts.sum() == 3000
+    coarse, counts = packing.histogram(df, "n", exact=10)
+    assert set(coarse) <= set(lengths) and coarse.max() == max(lengths) and counts.sum() == 3000 and len(coarse) < len(exact)
+
+
+def test_draws_do_not_depend_on_file_splits(spark):
+    """Equal rows, a third of all, are numbered; which of them is which doesn't matter."""
+    rows = [(i if i % 3 else 7, "s" if i % 3 else "t", prose(i, 1 + i % 50) if i % 3 else "a b c") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    for f in (
+        lambda d: mixing.plan(d, keep=["doc_id"]).select("doc_id", "size", "taken"),
+        lambda d: mixing.mixed(d).select("doc_id", "shard", "place"),
+        lambda d: packing.pack(d, budget=200, keep=["doc_id"]),
+    ):
+        a, b, c = (sorted(map(tuple, f(d).collect()), key=str) for d in (df.repartition(3), df.repartition(7), df.coalesce(1)))
+        assert a == b == c and len(a) > 500
+
+
+def test_inner_names_may_be_taken(spark):
+    """Columns of the input that are called as those that operators use inside."""
+    taken = ["id", "src", "size", "block", "order", "before", "takes", "draws", "draw", "words", "number", "pass", "n", "at", "one", "cell", "rank", "most", "bound", "uid", "key", "c0", "c1", "times", "its_id", "nth", "digest", "its_digest", "__text", "base", "weak", "blank", "more", "findings", "score", "starts", "ends", "pos", "rid", "target", "source_size", "k", "s", "h", "part", "range", "sub", "tie", "every", "text_crc32", "grown_shard"]
+    df = spark.createDataFrame([(i, f"w{i % 3} token=abcdef{i % 3}", "en", *["mine"] * len(taken)) for i in range(9)], "doc_id bigint, text string, source string, " + ", ".join(f"`{t}` string" for t in taken))
+    for f in (
+        mixing.mixed, mixing.plan, packing.pack, jaccard.deduplicated, secrets.scan, secrets.redacted, substring_dedup.without_repeats,
+        lambda d: quality.score(d, {"constant": np.float64(0.5)}), lambda d: sharding.shard(d, "doc_id", F.octet_length("text")),
+    ):
+        out = f(df)
+        assert set(df.columns) <= set(out.columns) and out.count() > 0
+        assert {r[0] for r in out.select(*taken[:1]).distinct().collect()} == {"mine"}
+
+
 def test_digest_is_sha256():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
