@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,11 @@ def unit(*of: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*of), 11)).cast("double") / F.lit(float(1 << 53))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once: in a plan, a column that is used twice is written twice."""
+    return F.transform(F.array(value), f)[0]
+
+
 def place(*of: Column | str | int) -> Column:
     """A whole number under 2**60, drawn from md5 of the arguments, so that SQL of other engines can draw it too."""
     parts = [p if isinstance(p, Column) else F.lit(str(p)) for p in of]

@@ -258,7 +258,10 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each component: the one with the least id. Texts without words stay, all of them."""
-    stay = joined(docs, doc_id, text).where("kept").groupBy("id", "digest").count().withColumnsRenamed({"id": "its_id", "digest": "its_digest", "count": "times"})
-    same = F.col("its_id").eqNullSafe(docs[doc_id]) & (F.col("its_digest") == digest(text))
-    nth = Window.partitionBy("its_id", "its_digest").orderBy("its_id")
-    return docs.join(stay, same).withColumn("nth", F.row_number().over(nth)).where("nth <= times").select(*(docs[c] for c in docs.columns))
+    stay = joined(docs, doc_id, text).where("kept").groupBy("id", "digest").count()
+    stay = stay.select(F.col("id").alias("its_id"), F.col("digest").alias("its_digest"), F.col("count").alias("times"))
+    inner = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.select(*(F.col(c).alias(i) for c, i in zip(docs.columns, inner, strict=True)), F.col(doc_id).alias("id"), digest(text))
+    rows = rows.join(stay, F.col("its_id").eqNullSafe(F.col("id")) & (F.col("its_digest") == F.col("digest")))
+    nth = Window.partitionBy("id", "digest").orderBy("id")
+    return rows.withColumn("nth", F.row_number().over(nth)).where("nth <= times").select(*inner).toDF(*docs.columns)

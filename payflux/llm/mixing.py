@@ -27,15 +27,13 @@ gives no rows. Columns of the input keep their names; clashing new ones get unde
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from payflux.functions.names import unused
 from payflux.functions.numbering import materialised
-from payflux.llm.common import place, place_sql, row_key, told_apart, unit, word_count
+from payflux.llm.common import let, place, place_sql, row_key, told_apart, unit, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -62,11 +60,6 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return s.select("source", "source_size", "weight", F.coalesce(F.least(F.col("limit"), F.col("a_unit") * F.col("weight")), F.col("limit")).alias("target"))
 
 
-def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value), with value computed once: in a plan, a column that is used twice is written twice."""
-    return F.transform(F.array(value), f)[0]
-
-
 def drawn(of: Column, marked: Column, draws: Column, u: Column) -> Column:
     """How many of `draws` balls taken from `of` balls are among the `marked` ones: the quantile u of the hypergeometric distribution.
 

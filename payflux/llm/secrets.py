@@ -23,7 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from payflux.llm.common import materialised, unused
+from payflux.functions.names import unused
+from payflux.functions.numbering import materialised
+from payflux.llm.common import let
 
 KINDS = ("assign", "access", "hex", "id", "key", "endpoint")
 VALUE = r"""["']?\x20*[:=]\x20*["']?"""
@@ -106,26 +108,24 @@ def linked(rows: DataFrame) -> DataFrame:
     return hits.groupBy("digest").agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end"))).cast(SPAN).alias("more"))
 
 
-def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None, once: bool = False) -> DataFrame:
+def scan(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """df (or its columns keep) with base and findings: arrays of (start, kind, end), kind as a number in KINDS.
 
-    once: spans are kept by a checkpoint, so that texts are searched once; keep should then leave out the texts.
+    Each text is searched once: what is found is kept by a checkpoint, with the columns kept.
     """
     keep = df.columns if keep is None else keep
-    base, findings, weak, blank, digest = unused([*keep, "more"], "base", "findings", "weak", "blank", "digest")
-    t = F.coalesce(F.col(text), F.lit(""))
-    found = candidates(t)
-    rows = df.select(*keep, t.alias("__text"), *(c.alias(n) for n, c in zip((base, weak, blank), found.values(), strict=True)))
-    # a text without weak candidates links to nothing; its key only spreads the rows
-    key = F.when(F.size(weak) > 0, F.sha2("__text", 256)).otherwise(F.concat(F.lit("-"), F.xxhash64("__text", *keep[:1]).cast("string")))
-    rows = rows.select(*keep, base, weak, blank, key.alias(digest))
-    if once:
-        rows = materialised(rows)
-    more = linked(rows.select(F.col(digest).alias("digest"), F.col(base).alias("base"), F.col(weak).alias("weak"), F.col(blank).alias("blank")))
-    out = rows.join(more, rows[digest] == more["digest"], "left")
-    return out.select(
-        *(rows[c] for c in [*keep, base]), F.array_sort(F.concat(rows[base], F.coalesce(more["more"], F.array().cast(SPAN)))).alias(findings)
-    )
+    # columns of the input have names of our own on the way
+    inner = [f"c{i}" for i in range(len(keep))]
+    rows = df.select(*(F.col(c).alias(i) for c, i in zip(keep, inner, strict=True)), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.select(*inner, "text", *(c.alias(n) for n, c in candidates(F.col("text")).items()))
+    rows = materialised(rows.select(*inner, "base", "weak", "blank", F.when(F.size("weak") > 0, F.sha2("text", 256)).alias("digest")))
+    # a text without weak candidates links to nothing, and stays where it is
+    alone, some = rows.where(F.col("digest").isNull()), rows.where(F.col("digest").isNotNull())
+    more = linked(some.select("digest", "base", "weak", "blank")).withColumnRenamed("digest", "its_digest")
+    some = some.join(more, some["digest"] == more["its_digest"], "left")
+    findings = F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(SPAN))))
+    out = some.select(*inner, "base", findings.alias("findings")).unionByName(alone.select(*inner, "base", F.col("base").alias("findings")))
+    return out.toDF(*keep, *unused(keep, "base", "findings"))
 
 
 def listed(found: Column) -> Column:
@@ -134,27 +134,47 @@ def listed(found: Column) -> Column:
     return F.concat_ws(",", F.transform(found, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))))
 
 
+def masked(text: Column, found: Column, mark: str) -> Column:
+    """text with mark in place of each finding, overlapping ones as one.
+
+    In chunks of findings, each with its own piece of the text: else each finding would count characters from the start.
+    """
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / _CHUNK).cast("int")), lambda k: F.slice(found, k * _CHUNK + 1, F.lit(_CHUNK)))
+
+    def reaches(cs: Column) -> Column:
+        """Where the chunks up to each one end, from 0."""
+        tops = F.transform(cs, lambda c: F.array_max(F.transform(c, lambda s: s["end"])))
+        return F.aggregate(tops, F.array(F.lit(0)), lambda a, top: F.array_append(a, F.greatest(F.element_at(a, -1), top)))
+
+    def piece_of(c: Column, begin: Column, end: Column) -> Column:
+        return let(F.substring(text, begin + 1, end - begin), lambda piece: F.aggregate(
+            c,
+            F.struct(begin.alias("to"), F.array().cast("array<string>").alias("out")),
+            lambda a, s: F.when(
+                s["start"] >= a["to"],
+                F.struct(s["end"].alias("to"), F.concat(a["out"], F.array(F.substring(piece, a["to"] - begin + 1, s["start"] - a["to"]), F.lit(mark))).alias("out")),
+            ).otherwise(F.struct(F.greatest(a["to"], s["end"]).alias("to"), a["out"].alias("out"))),
+            lambda a: F.concat_ws("", a["out"]),
+        ))
+
+    def whole(given: Column) -> Column:
+        pieces = F.transform(given["chunks"], lambda c, k: piece_of(c, F.get(given["at"], k), F.get(given["at"], k + 1)))
+        return F.concat(F.concat_ws("", pieces), F.substring(text, F.element_at(given["at"], -1) + 1, F.length(text)))
+
+    return let(chunks, lambda cs: let(F.struct(cs.alias("chunks"), reaches(cs).alias("at")), whole))
+
+
 def redacted(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """df with each finding in the text replaced by mark; overlapping findings by one."""
     rows = scan(df, text)
     found = rows.columns[-1]
-    t = F.col(text)
-    merged = F.aggregate(
-        found,
-        F.struct(F.lit(0).alias("to"), F.array().cast("array<string>").alias("out")),
-        lambda a, s: F.when(
-            (s["start"] >= a["to"]) & ((s["start"] > 0) | (F.size(a["out"]) == 0)),
-            F.struct(s["end"].alias("to"), F.concat(a["out"], F.array(F.substring(t, a["to"] + 1, s["start"] - a["to"]), F.lit(mark))).alias("out")),
-        ).otherwise(F.struct(F.greatest(a["to"], s["end"]).alias("to"), a["out"].alias("out"))),
-    )
-    whole = F.concat(F.concat_ws("", merged["out"]), F.substring(t, merged["to"] + 1, F.length(t)))
-    return rows.withColumn(text, F.when(F.size(found) > 0, whole).otherwise(t)).select(*df.columns)
+    return rows.withColumn(text, F.when(F.size(found) > 0, masked(F.col(text), F.col(found), mark)).otherwise(F.col(text))).select(*df.columns)
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their base spans and those that linking adds."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows = scan(docs, keep=["doc_id"], once=True)
+    rows = scan(docs, keep=["doc_id"])
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return rows.select(
         "doc_id",

@@ -94,6 +94,12 @@ def test_secret_spans(spark):
     assert found[6] == {"key", "endpoint"} and found[7] == {""}
 
 
+def test_masking_of_many_findings(spark):
+    text = "".join(f"é{i} token=abcdef{i}\n\n" for i in range(1500))
+    got = secrets.redacted(spark.createDataFrame([(text,)], "text string")).first()[0]
+    assert got == "".join(f"é{i} [SECRET]\n\n" for i in range(1500))
+
+
 def test_secret_masking(spark, docs):
     df = spark.createDataFrame([(1, "a token=abcdefgh b deadbeef"), (2, "clean"), (3, None), (4, "password=" + "a1" * 20)], "base bigint, text string")
     got = {r["base"]: r["text"] for r in secrets.redacted(df).collect()}
