@@ -7,10 +7,12 @@
 3. Texts that agree in a band meet. Each is linked with the first of its bucket only, so rows
    grow with the texts, not with pairs; connected components of these links are the groups that
    may hold similar pairs.
-4. The n-gram sets of grouped texts, read once more, are compared in full inside the groups.
-   A group of more than BLOCK texts is split into blocks, each pair of blocks a tile of its own,
-   so tasks have bounded memory. In a tile, columns of the incidence matrix that are equal are
-   one with a weight, and one matrix product counts what all pairs share.
+4. The n-gram sets of grouped texts, read once more, are compared in full inside the groups, or
+   inside the buckets of a group where that sends fewer sets (a chance band now and then can chain
+   templated pages to one large group whose buckets are small). What has more than BLOCK texts is
+   split into blocks, each pair of blocks a tile of its own, so tasks have bounded memory. In a
+   tile, columns of the incidence matrix that are equal are one with a weight, and one matrix
+   product counts what all pairs share.
 5. A tile returns, for each text, how many it is similar to and the first of its part of the
    graph, never pairs; components are joined from these. So a link is returned only if the full
    sets say so, and lost only if no band agrees along the whole group.
@@ -32,7 +34,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from payflux.llm.common import blocks_of, hashed_words, materialised, mix64, ranges, spans_of_words, unused
+from payflux.functions.numbering import materialised
+from payflux.llm.common import WORD, blocks_of, hashed_words, mix64, ranges, spans_of_words
 from payflux.llm.components import components
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
@@ -40,6 +43,9 @@ MOST_HASHES = 256
 BLOCK = 512
 #: Columns of an incidence matrix at a time.
 COLUMNS = 2048
+#: Texts to compare that are broadcast to where the texts are read, at most; more of them are joined by a shuffle.
+MOST_BROADCAST = 200_000
+TILE = ("a", "band", "low", "high")
 
 
 def bands_for(threshold: float, recall: float, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -120,8 +126,8 @@ def _sets(n: int):
                 ends = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(grams)))]).astype(np.int32)
                 rest = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [*(rest.column(c) for c in ("uid", "weight", "cluster", "blocks")), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))],
-                    names=["uid", "weight", "cluster", "blocks", "grams"],
+                    [*(rest.column(c) for c in ("uid", "weight", "homes", "bands")), pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))],
+                    names=["uid", "weight", "homes", "bands", "grams"],
                 )
 
     return run
@@ -167,17 +173,25 @@ def least_reached(near: np.ndarray) -> np.ndarray:
     return first
 
 
+def in_earlier_band(bands: np.ndarray, band: int) -> np.ndarray:
+    """Which pairs of rows share a band before this one."""
+    out = np.zeros((len(bands), len(bands)), bool)
+    for k in range(band):
+        out |= bands[:, k, None] == bands[None, :, k]
+    return out
+
+
 def _verified(threshold: float):
     def one(tile: pa.Table) -> pa.RecordBatch:
         tile = tile.combine_chunks()
-        if len(once := np.unique(tile.column("uid").to_numpy(), return_index=True)[1]) < tile.num_rows:
-            tile = tile.take(pa.array(np.sort(once))).combine_chunks()
         uid, weight = tile.column("uid").to_numpy(), tile.column("weight").to_numpy()
         sets = tile.column("grams").chunk(0)
         near = similar(sets.flatten().to_numpy(), np.diff(sets.offsets.to_numpy()), threshold)
-        if tile.column("mixed")[0].as_py():  # pairs inside a block belong to another tile
+        if tile.column("low")[0].as_py() != tile.column("high")[0].as_py():  # pairs inside a block belong to another tile
             block = tile.column("block").to_numpy()
             near &= block[:, None] != block[None, :]
+        if (band := tile.column("band")[0].as_py()) > 0:
+            near &= ~in_earlier_band(tile.column("bands").chunk(0).flatten().to_numpy().reshape(len(uid), -1), band)
         total, first = near @ weight, least_reached(near)
         at = np.flatnonzero(total > 0)
         return pa.RecordBatch.from_arrays([pa.array(uid[at]), pa.array(total[at].astype(np.int64)), pa.array(uid[first[at]])], names=["uid", "weight", "first"])
@@ -185,13 +199,22 @@ def _verified(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             table = pa.Table.from_batches([batch])
             rest = table if rest is None else pa.concat_tables([rest, table])
-            edges = np.flatnonzero(np.diff(rest.column("tile").to_numpy())) + 1
-            done = [one(rest.slice(a, b - a)) for a, b in zip([0, *edges[:-1]], edges, strict=False)]
-            if len(edges):
-                rest = rest.slice(edges[-1])
-                yield pa.Table.from_batches(done).combine_chunks().to_batches(max_chunksize=None)[0] if sum(x.num_rows for x in done) else done[0]
+            new = np.zeros(rest.num_rows, bool)
+            new[0] = True
+            for c in TILE:
+                new[1:] |= np.diff(rest.column(c).to_numpy()) != 0
+            once = new.copy()
+            once[1:] |= np.diff(rest.column("uid").to_numpy()) != 0
+            if not once.all():  # repeated rows of the input
+                rest, new = rest.filter(pa.array(once)), new[once]
+            edges = np.flatnonzero(new)
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                yield one(rest.slice(a, b - a))
+            rest = rest.slice(edges[-1])
         if rest is not None and rest.num_rows:
             yield one(rest)
 
@@ -211,6 +234,34 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     )
 
 
+def homes_of(members: DataFrame, bands: DataFrame) -> DataFrame:
+    """members (uid, band, hash: of texts that share a bucket with others) -> uid, homes: where the text is compared, and bands if these are buckets.
+
+    A home is a whole group, of which all pairs of blocks are compared, or a bucket of it, where pairs
+    that share an earlier band are left out. Of each group that way is taken which sends fewer sets:
+    a group is cheaper where all are alike, its buckets where chains of a few common bands made it large.
+    """
+    heads = materialised(members.groupBy("band", "hash").agg(F.min("uid").alias("head"), F.count("*").alias("n")).where("n > 1"))
+    heads = heads.withColumn("its_blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
+    met = materialised(members.join(heads, ["band", "hash"]).select("uid", "band", "hash", "head", "its_blocks"))
+    groups = materialised(components(met.where("uid <> head").select(F.col("uid").alias("u"), F.col("head").alias("v"))))
+    sizes = groups.groupBy("component").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
+    # small groups are one tile; buckets are looked at for the others
+    large = materialised(sizes.where("blocks > 1"))
+    by_bucket = heads.join(groups, heads["head"] == groups["id"]).join(large.select("component"), "component", "left_semi")
+    by_bucket = by_bucket.groupBy("component").agg(F.sum(F.col("n") * F.col("its_blocks")).alias("sent"))
+    split = large.join(by_bucket, "component").where(F.col("sent") < F.col("n") * F.col("blocks")).select(F.col("component").alias("split"))
+    split = materialised(split)
+    placed = groups.join(sizes, "component").join(split, F.col("component") == F.col("split"), "left")
+    home = lambda a, b, blocks: F.struct(F.col(a).alias("a"), b.cast("int").alias("band"), F.col(blocks).alias("blocks"))
+    whole = placed.where(F.col("split").isNull()).select(F.col("id").alias("uid"), F.array(home("component", F.lit(-1), "blocks")).alias("homes"), F.lit(None).cast("array<bigint>").alias("bands"))
+    if split.isEmpty():
+        return whole
+    parts = met.join(placed.where(F.col("split").isNotNull()).select(F.col("id").alias("uid")), "uid", "left_semi")
+    parts = parts.groupBy("uid").agg(F.collect_list(home("hash", F.col("band"), "its_blocks")).alias("homes"))
+    return whole.unionByName(parts.join(bands, "uid").select("uid", "homes", "bands"))
+
+
 def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """A row for each document: id, digest (of its text), n_links (documents similar to it), component_id (the least id that links reach) and kept (true for one row of each component)."""
     rows = materialised(signatures(docs, doc_id, text, n, threshold, recall).withColumn("uid", F.monotonically_increasing_id()))
@@ -218,22 +269,21 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     rows = rows.where("grams > 0")
     # a row for each text; its uid is that of the first row with the least id
     classes = rows.groupBy("k0", "k1").agg(F.count("*").alias("weight"), F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "uid", "digest")).alias("first"))
-    classes = classes.select("k0", "k1", "weight", "first.uid", "first.id", "first.digest")
-    members = rows.join(classes.select("uid"), "uid", "left_semi").select("uid", F.posexplode("bands").alias("band", "hash"))
-    heads = members.groupBy("band", "hash").agg(F.min("uid").alias("head"), F.count("*").alias("n")).where("n > 1")
-    edges = members.join(heads, ["band", "hash"]).where("uid <> head").select(F.col("uid").alias("u"), F.col("head").alias("v"))
-    groups = components(edges)
-    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    groups = groups.join(sizes, "component").select(F.col("id").alias("uid"), F.col("component").alias("cluster"), "blocks")
-    chosen = classes.join(groups, "uid").select("uid", "weight", "cluster", "blocks", F.col("id").alias("its_id"), F.col("digest").alias("its_digest"))
+    classes = materialised(classes.select("k0", "k1", "weight", "first.uid", "first.id", "first.digest"))
+    own = rows.join(classes.select("uid"), "uid", "left_semi").select("uid", "bands")
+    homes = homes_of(own.select("uid", F.posexplode("bands").alias("band", "hash")), own)
+    chosen = classes.join(homes, "uid").select("uid", "weight", "homes", "bands", F.col("id").alias("its_id"), F.col("digest").alias("its_digest"))
+    chosen = materialised(chosen)
     # read these texts once more; repeated rows come several times here, once in a tile
     texts = docs.select(F.col(doc_id).alias("doc"), digest(text), F.col(text).alias("text"))
-    texts = chosen.join(texts, (F.col("its_digest") == F.col("digest")) & F.col("its_id").eqNullSafe(F.col("doc")))
-    sets = texts.select("uid", "weight", "cluster", "blocks", "text").mapInArrow(_sets(n), "uid bigint, weight bigint, cluster bigint, blocks bigint, grams array<bigint>")
+    small = F.broadcast(chosen) if chosen.count() <= MOST_BROADCAST else chosen
+    texts = texts.join(small, (F.col("its_digest") == F.col("digest")) & F.col("its_id").eqNullSafe(F.col("doc")))
+    kinds = "uid bigint, weight bigint, homes array<struct<a:bigint,band:int,blocks:bigint>>, bands array<bigint>, grams array<bigint>"
+    sets = texts.select("uid", "weight", "homes", "bands", "text").mapInArrow(_sets(n), kinds)
+    sets = sets.select("uid", "weight", "bands", "grams", F.inline("homes"))
     sets = sets.withColumn("block", F.pmod(F.xxhash64("uid"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tile = F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other"))
-    tiles = sets.select(tile.alias("tile"), "uid", "weight", "block", (F.col("block") != F.col("other")).alias("mixed"), "grams")
-    found = tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(_verified(threshold), "uid bigint, weight bigint, first bigint")
+    tiles = sets.select("a", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "uid", "weight", "block", "bands", "grams")
+    found = tiles.repartition(*TILE).sortWithinPartitions(*TILE, "uid").mapInArrow(_verified(threshold), "uid bigint, weight bigint, first bigint")
     found = materialised(found)
     counts = found.groupBy("uid").agg(F.sum("weight").alias("others"))
     parts = components(found.select(F.col("uid").alias("u"), F.col("first").alias("v"))).withColumnRenamed("id", "uid")
@@ -258,10 +308,26 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each component: the one with the least id. Texts without words stay, all of them."""
-    stay = joined(docs, doc_id, text).where("kept").groupBy("id", "digest").count()
-    stay = stay.select(F.col("id").alias("its_id"), F.col("digest").alias("its_digest"), F.col("count").alias("times"))
     inner = [f"c{i}" for i in range(len(docs.columns))]
-    rows = docs.select(*(F.col(c).alias(i) for c, i in zip(docs.columns, inner, strict=True)), F.col(doc_id).alias("id"), digest(text))
-    rows = rows.join(stay, F.col("its_id").eqNullSafe(F.col("id")) & (F.col("its_digest") == F.col("digest")))
-    nth = Window.partitionBy("id", "digest").orderBy("id")
-    return rows.withColumn("nth", F.row_number().over(nth)).where("nth <= times").select(*inner).toDF(*docs.columns)
+    rows = docs.select(*(F.col(c).alias(i) for c, i in zip(docs.columns, inner, strict=True)), F.col(doc_id).alias("id"), digest(text), F.coalesce(F.col(text).rlike(WORD), F.lit(False)).alias("has_words"))
+    stay = joined(docs, doc_id, text).where("kept").select(F.col("id").alias("its_id"), F.col("digest").alias("its_digest")).distinct()
+    some = rows.where("has_words").join(stay, F.col("its_id").eqNullSafe(F.col("id")) & (F.col("its_digest") == F.col("digest")))
+    # repeated rows: one of them, picked before they are sent
+    nth = F.row_number().over(Window.partitionBy("id", "digest").orderBy("id"))
+    some = some.withColumn("nth", nth).where("nth = 1")
+    return some.select(*inner).unionByName(rows.where("not has_words").select(*inner)).toDF(*docs.columns)
+
+
+OP9_SQL = f"""
+with recursive w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+grams as (
+  select distinct doc_id, g from (select doc_id, unnest(list_transform(range(greatest(len(w) - {WORDS - 1}, 1)), lambda i: w[i + 1 : i + {WORDS}])) as g from w where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from grams group by doc_id),
+common as (select a.doc_id as a, b.doc_id as b, count(*) as c from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where c >= {THRESHOLD} * (x.n + y.n - c) - 1e-6),
+reached as (select a as id, a as other from links union select r.id, l.b from reached r join links l on l.a = r.other),
+least as (select id, min(other) as component_id from reached group by id),
+counts as (select a as id, count(*) as n_links from links group by a)
+select doc_id, coalesce(n_links, 0) as n_links, coalesce(component_id, doc_id) as component_id, coalesce(component_id, doc_id) = doc_id as kept
+from documents left join least on least.id = doc_id left join counts on counts.id = doc_id
+"""

@@ -27,5 +27,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op5_packing": OP5_SQL,
     "op7_nearest_neighbours": neighbours.OP7_SQL,
+    "op9_ngram_jaccard": jaccard.OP9_SQL,
     "op10_mixing": OP10_SQL,
 }

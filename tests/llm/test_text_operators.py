@@ -229,6 +229,23 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
     assert {(r["n_links"], r["component_id"]) for r in out} == {(49, 0)}
 
 
+def test_chained_group_is_compared_by_bucket(spark, monkeypatch):
+    """A group that chance bands chain together is large, its buckets are small; results are the same."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    base = prose(1, 2600, 9000).split()
+    rows = [(i, " ".join(base[8 * i : 8 * i + 120])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets = [grams(t) for _, t in rows]
+    want = {rows[i][0]: sum(j != i and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for j in range(len(rows))) for i in range(len(rows))}
+    homes = []
+    real = jaccard.homes_of
+    monkeypatch.setattr(jaccard, "homes_of", lambda *a: homes.append(real(*a)) or homes[-1])
+    monkeypatch.setattr(jaccard, "MOST_BROADCAST", 0)
+    out = jaccard.joined(df).collect()
+    assert {r["id"]: r["n_links"] for r in out} == want and min(want.values()) > 0
+    assert homes[0].where("bands is not null").count() > 0
+
+
 def test_bands():
     bands, rows = jaccard.bands_for(0.8, 0.9999)
     assert bands * rows <= jaccard.MOST_HASHES and 1 - (1 - 0.8**rows) ** bands >= 0.9999
