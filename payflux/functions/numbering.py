@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,26 +13,31 @@ from payflux.functions.names import unused
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by checkpoint(), in the folder that spark.checkpoint.dir names.
+    """df cut from its lineage by a table written to the folder that spark.checkpoint.dir names.
 
-    Only a session on one machine (tests) may leave it unset and then gets a temporary folder; on a cluster executors would each write to their own disk.
+    Unlike after checkpoint(), Spark then knows the size of what was written: there it keeps the product of the
+    sizes of all that was joined, a number whose digits double with each join of results of joins.
+    Only a session on one machine (tests) may leave the folder unset and then gets a temporary one; on a cluster
+    executors would each write to their own disk.
     """
-    context = df.sparkSession.sparkContext
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not (context.master == "local" or context.master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    path = f"{context._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))  # names may be equal but for their case
+    plain.write.parquet(path)
+    return spark.read.schema(plain.schema).parquet(path).toDF(*df.columns)
 
 
 def discarded(df: DataFrame) -> None:
     """Deletes the files of a result of materialised() that nothing reads any more."""
-    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
-    if file.isDefined():
-        context = df.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(file.get())
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    context = df.sparkSession.sparkContext
+    for file in df.inputFiles():
+        path = context._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, False)
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
