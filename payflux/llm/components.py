@@ -21,7 +21,7 @@ def dealt(both: DataFrame, edges: int) -> tuple[DataFrame, DataFrame]:
     Their edges are dealt out by the other end, and their least neighbour is sent to each part.
     """
     parts = partitions(both.sparkSession)
-    least = materialised(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))  # one shuffle, for both uses
     share = max(HUB, -(-edges // parts))
     pieces = F.least(F.ceil(F.col("n") / share), F.lit(parts)).cast("int")
     hubs = least.where(F.col("n") > share).select(F.col("u").alias("hub"), pieces.alias("pieces"))
@@ -42,7 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
     """edges (u, v: whole numbers) -> id, component: for each end of an edge the least number that it is connected with.
 
     Large stars and small stars in turn until nothing changes: each node ends up linked to the
-    least of its component alone. Each round is checkpointed; the driver sees counts and a
+    least of its component alone. Each round is written to a table; the driver sees counts and a
     checksum. Loops and repeated edges do no harm. No edges give no rows.
     """
     now = materialised(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
@@ -51,7 +51,7 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS if state[0] else 0):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # one row for each edge; what repeats goes at the end of the round
-        large = materialised(_stars(both, 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        large = _stars(both, 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = _stars(large, state[0])
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         now = materialised(small.where("u <> v").distinct())

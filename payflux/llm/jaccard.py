@@ -244,10 +244,13 @@ def homes_of(members: DataFrame, bands: DataFrame) -> DataFrame:
     heads = materialised(members.groupBy("band", "hash").agg(F.min("uid").alias("head"), F.count("*").alias("n")).where("n > 1"))
     heads = heads.withColumn("its_blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
     met = materialised(members.join(heads, ["band", "hash"]).select("uid", "band", "hash", "head", "its_blocks"))
-    groups = materialised(components(met.where("uid <> head").select(F.col("uid").alias("u"), F.col("head").alias("v"))))
+    groups = components(met.where("uid <> head").select(F.col("uid").alias("u"), F.col("head").alias("v")))
     sizes = groups.groupBy("component").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
     # small groups are one tile; buckets are looked at for the others
-    large = materialised(sizes.where("blocks > 1"))
+    large = sizes.where("blocks > 1")
+    if large.isEmpty():
+        home = F.struct(F.col("component").alias("a"), F.lit(-1).alias("band"), F.lit(1).cast("long").alias("blocks"))
+        return groups.select(F.col("id").alias("uid"), F.array(home).alias("homes"), F.lit(None).cast("array<bigint>").alias("bands"))
     by_bucket = heads.join(groups, heads["head"] == groups["id"]).join(large.select("component"), "component", "left_semi")
     by_bucket = by_bucket.groupBy("component").agg(F.sum(F.col("n") * F.col("its_blocks")).alias("sent"))
     split = large.join(by_bucket, "component").where(F.col("sent") < F.col("n") * F.col("blocks")).select(F.col("component").alias("split"))
