@@ -8,11 +8,11 @@ share one; such a run of windows with its words is a segment.
    with all their windows. Of each batch of documents an anchor is sent for one or two; where
    several documents of the batch have it, that is known already.
 2. The segments of the other anchors are dealt out to shards by the anchor, so equal windows meet
-   in a shard. Of each batch, equal segments are sent once, for the least document; the other
-   documents' windows are removed without asking.
-3. Each shard builds an FM-index over its different segments and streams their windows through it:
-   backward search ends where what is matched occurs only once; a window that is matched in full
-   belongs to the least document among its occurrences.
+   in a shard. Of each batch, the text of equal segments is sent once, with the places of all; of
+   many copies most go in chunks to other shards, each led by the one of the least document.
+3. Each shard builds an FM-index over its different segments and streams their words through it: one
+   pass of backward search gives the matching statistics, how far the words from each place on occur
+   elsewhere. Where that is a window or more, the window belongs to the least document that has it.
 4. Intervals of removed words go back to their documents.
 
 So the inside of a passage that a third of all documents have is a few rows for each batch. The
@@ -46,6 +46,9 @@ NULL_ID = -(1 << 63)
 SHARD_WORDS = 2 << 20
 #: Hot anchors have so many segments at least; those with fewer than COUNTED in a block of texts are not counted there.
 HOT, COUNTED = 1024, 4
+#: So many copies of a segment in a batch go to its shard; more of them in chunks of COPIES to other shards, each with the text.
+TOGETHER, COPIES = 64, 1024
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 FOUND = "known boolean, bucket int, anchor array<int>, doc array<int>, pos array<int>, ids array<bigint>, rids array<bigint>"
 SEGMENTS = "shard int, texts binary, lengths array<int>, owner array<int>, pos array<int>, ids array<bigint>, rids array<bigint>"
 PLACES = "id bigint, rid bigint, pos array<int>"
@@ -207,8 +210,6 @@ def _segments(shards: int, hot: np.ndarray):
     """Segments of the shared anchors of a batch, dealt out to shards; of equal ones that of the least document.
 
     Those of hot anchors are cut into windows.
-
-    Rows without a shard's text hold what is removed already: places and lengths of whole segments.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,19 +241,28 @@ def _segments(shards: int, hot: np.ndarray):
                 doc, anchor, low, high, size, content, own = (x[order] for x in (doc, anchor, low, high, size, content, own))
                 new = np.concatenate([[True], content[1:] != content[:-1]])
                 head = np.flatnonzero(new)[np.cumsum(new) - 1]
-                sent = own == own[head]
-                shard = np.where(sent, anchor % np.uint64(shards), mix64(rids[doc + i].view(np.uint64)) % np.uint64(shards)).astype(np.int32)
-                for kind in (True, False):
-                    k = np.flatnonzero(sent == kind)
-                    if len(k):
-                        k = k[np.argsort(shard[k], kind="stable")]
-                        yield _sent(kind, shard[k], data, starts, ends, doc[k], low[k], high[k], new[k], (low - first[doc])[k], ids[i:j], rids[i:j])
+                nth = np.arange(len(head)) - head
+                apart = (own != own[head]) & (nth >= TOGETHER)
+                k, key = np.flatnonzero(~apart), anchor[~apart]
+                fresh = new[k]
+                if apart.any():  # many copies: in chunks, each led by the first of them all, to shards of their own
+                    c, chunk = np.flatnonzero(apart), nth[apart] // COPIES
+                    leads = np.flatnonzero(np.concatenate([[True], (head[c][1:] != head[c][:-1]) | (chunk[1:] != chunk[:-1])]))
+                    lead = np.zeros(len(c) + len(leads), bool)
+                    lead[leads + np.arange(len(leads))] = True
+                    own_key = mix64(content[c] + chunk.astype(np.uint64) * _SPREAD)
+                    k = np.concatenate([k, np.insert(c, leads, head[c[leads]])])
+                    key, fresh = np.concatenate([key, np.insert(own_key, leads, own_key[leads])]), np.concatenate([fresh, lead])
+                shard = (key % np.uint64(shards)).astype(np.int32)
+                s = np.argsort(shard, kind="stable")
+                k = k[s]
+                yield _sent(shard[s], data, starts, ends, doc[k], low[k], high[k], fresh[s], (low - first[doc])[k], ids[i:j], rids[i:j])
 
     return run
 
 
-def _sent(whole, shard, data, starts, ends, doc, low, high, new, pos, ids, rids) -> pa.RecordBatch:
-    """whole: with the texts of the segments that are new; `owner` is then the document, and length 0 means the segment before."""
+def _sent(shard, data, starts, ends, doc, low, high, new, pos, ids, rids) -> pa.RecordBatch:
+    """With the texts of the segments that are new; a length of 0 means the segment before."""
     edges = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
     texts, locals_, named, named_edges = [], [], [], [0]
     for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -260,16 +270,13 @@ def _sent(whole, shard, data, starts, ends, doc, low, high, new, pos, ids, rids)
         locals_.append(local)
         named.append(own)
         named_edges.append(named_edges[-1] + len(own))
-        if whole:
-            k = np.flatnonzero(new[a:b]) + a
-            begin, n = starts[low[k]], ends[high[k] - 1] - starts[low[k]] + 1
-            text = data[np.minimum(ranges(begin, n), len(data) - 1)]
-            text[np.cumsum(n) - 1] = 10
-            texts.append(pa.compress(text.tobytes(), "zstd", asbytes=True) + len(text).to_bytes(8, "little"))
-        else:
-            texts.append(b"")
+        k = np.flatnonzero(new[a:b]) + a
+        begin, n = starts[low[k]], ends[high[k] - 1] - starts[low[k]] + 1
+        text = data[np.minimum(ranges(begin, n), len(data) - 1)]
+        text[np.cumsum(n) - 1] = 10
+        texts.append(pa.compress(text.tobytes(), "zstd", asbytes=True) + len(text).to_bytes(8, "little"))
     own, named_edges = np.concatenate(named), np.array(named_edges)
-    lengths = (high - low) * new if whole else high - low
+    lengths = (high - low) * new
     columns = [pa.array(shard[edges[:-1]]), pa.array(texts, pa.binary()), *(_lists(x, edges, np.int32) for x in (lengths, np.concatenate(locals_), pos))]
     columns += [_lists(ids[own], named_edges, np.int64), _lists(rids[own], named_edges, np.int64)]
     return pa.RecordBatch.from_arrays(columns, names=["shard", "texts", "lengths", "owner", "pos", "ids", "rids"])
@@ -279,19 +286,12 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What is removed from each document for the segments of a shard."""
     names = ["id", "rid", "starts", "ends"]
     for rows in _grouped(batches, "shard"):
-        asked = pa.array([len(x) > 0 for x in rows.column("texts").to_pylist()])
-        done = rows.filter(pa.compute.invert(asked))
-        if done.num_rows:
-            doc, pos, lengths, ids, rids = _joined(done, "owner", "pos", "lengths")
-            yield _by_document(names, ids, rids, doc, pos, pos + lengths)
-        rows = rows.filter(asked)
-        if rows.num_rows:
-            doc, pos, lengths, ids, rids = _joined(rows, "owner", "pos", "lengths")
-            texts = [np.frombuffer(pa.decompress(x[:-8], int.from_bytes(x[-8:], "little"), "zstd"), np.uint8) for x in rows.column("texts").to_pylist()]
-            data = np.concatenate(texts)
-            starts, ends, _ = spans_of_words(data, np.array([0, len(data)]))
-            which, start, end = repeats(hashed_words(data, starts, ends), lengths[lengths > 0], np.cumsum(lengths > 0) - 1, ids[doc])
-            yield _by_document(names, ids, rids, doc[which], pos[which] + start, pos[which] + end)
+        doc, pos, lengths, ids, rids = _joined(rows, "owner", "pos", "lengths")
+        texts = [np.frombuffer(pa.decompress(x[:-8], int.from_bytes(x[-8:], "little"), "zstd"), np.uint8) for x in rows.column("texts").to_pylist()]
+        data = np.concatenate(texts)
+        starts, ends, _ = spans_of_words(data, np.array([0, len(data)]))
+        which, start, end = repeats(hashed_words(data, starts, ends), lengths[lengths > 0], np.cumsum(lengths > 0) - 1, ids[doc])
+        yield _by_document(names, ids, rids, doc[which], pos[which] + start, pos[which] + end)
 
 
 def repeats(words: np.ndarray, lengths: np.ndarray, segment: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -313,17 +313,13 @@ def repeats(words: np.ndarray, lengths: np.ndarray, segment: np.ndarray, ids: np
     start = np.cumsum(lengths + 1) - lengths - 1
     text = np.zeros(int((lengths + 1).sum()), np.int64)
     text[ranges(start, lengths)] = symbols + 1
-    index = FMIndex(text, len(alphabet) + 1)
+    index = FMIndex(text, len(alphabet) + 1, np.repeat(owner, lengths + 1), LENGTH)
+    matched, row = index.matching(text, start, lengths)
     windows = lengths - LENGTH + 1
     begin = ranges(start, windows)
-    of = np.repeat(np.arange(len(lengths)), windows)
-    least = owner[of]
-    found, low, high = index.repeated(text, begin, LENGTH)
-    if len(found):
-        rows_owner = owner[np.searchsorted(start, index.order, "right") - 1]
-        low, at, back = np.unique(low, return_index=True, return_inverse=True)
-        bounds = np.stack([low, high[at]], axis=1).ravel()
-        least[found] = np.minimum.reduceat(np.append(rows_owner, np.iinfo(np.int64).max), bounds)[::2][back]
+    least = np.repeat(owner, windows)
+    found = np.flatnonzero(matched[begin] >= LENGTH)
+    least[found] = index.least_owner(row[begin[found]], LENGTH)
     # occurrences by windows
     n = windows[segment]
     first = np.cumsum(windows) - windows

@@ -174,11 +174,16 @@ def test_repeats_of_a_shard(texts):
 def test_fm_index_counts():
     rng = np.random.default_rng(0)
     text = np.append(rng.integers(1, 4, 300), 0)
-    index = fm_index.FMIndex(text, 4)
-    starts = np.arange(300 - 5)
-    found, low, high = index.repeated(text, starts, 5)
-    counts = Counter(tuple(text[i : i + 5]) for i in range(len(text) - 4))
-    assert {int(i): int(h - lo) for i, lo, h in zip(found, low, high, strict=True)} == {int(i): counts[tuple(text[i : i + 5])] for i in starts if counts[tuple(text[i : i + 5])] > 1}
+    owner = rng.integers(0, 90, 301)
+    index = fm_index.FMIndex(text, 4, owner, 5)
+    matched, row = index.matching(text, np.array([0, 100, 200]), np.array([20, 30, 7]))  # parts of it, one pass for all
+    for begin, end in ((0, 20), (100, 130), (200, 207)):
+        for i in range(begin, end):
+            seen = Counter(tuple(text[j : j + n]) for n in range(1, end - i + 1) for j in range(300 - n + 1))
+            assert matched[i] == max((n for n in range(1, end - i + 1) if seen[tuple(text[i : i + n])] > 1), default=0)
+            if matched[i] >= 5:
+                least = min(owner[j] for j in range(296) if tuple(text[j : j + 5]) == tuple(text[i : i + 5]))
+                assert index.least_owner(row[i : i + 1], 5)[0] == least
 
 
 # --- near copies -----------------------------------------------------------------------------------
