@@ -247,20 +247,23 @@ def homes_of(members: DataFrame, bands: DataFrame) -> DataFrame:
     groups = components(met.where("uid <> head").select(F.col("uid").alias("u"), F.col("head").alias("v")))
     sizes = groups.groupBy("component").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
     # small groups are one tile; buckets are looked at for the others
-    large = sizes.where("blocks > 1")
-    if large.isEmpty():
+    large = materialised(sizes.where("blocks > 1"))
+    few = large.count()
+    if not few:
         home = F.struct(F.col("component").alias("a"), F.lit(-1).alias("band"), F.lit(1).cast("long").alias("blocks"))
         return groups.select(F.col("id").alias("uid"), F.array(home).alias("homes"), F.lit(None).cast("array<bigint>").alias("bands"))
     by_bucket = heads.join(groups, heads["head"] == groups["id"]).join(large.select("component"), "component", "left_semi")
     by_bucket = by_bucket.groupBy("component").agg(F.sum(F.col("n") * F.col("its_blocks")).alias("sent"))
-    split = large.join(by_bucket, "component").where(F.col("sent") < F.col("n") * F.col("blocks")).select(F.col("component").alias("split"))
-    split = materialised(split)
-    placed = groups.join(sizes, "component").join(split, F.col("component") == F.col("split"), "left")
+    # one row for each group of more than BLOCK texts: broadcast, unless they are many
+    large = large.join(by_bucket, "component").select("component", "blocks", (F.col("sent") < F.col("n") * F.col("blocks")).alias("split"))
+    large = materialised(large)
+    placed = groups.join(F.broadcast(large) if few <= MOST_BROADCAST else large, "component", "left")
+    placed = placed.select("id", "component", F.coalesce("blocks", F.lit(1).cast("long")).alias("blocks"), F.coalesce("split", F.lit(False)).alias("split"))
     home = lambda a, b, blocks: F.struct(F.col(a).alias("a"), b.cast("int").alias("band"), F.col(blocks).alias("blocks"))
-    whole = placed.where(F.col("split").isNull()).select(F.col("id").alias("uid"), F.array(home("component", F.lit(-1), "blocks")).alias("homes"), F.lit(None).cast("array<bigint>").alias("bands"))
-    if split.isEmpty():
+    whole = placed.where(~F.col("split")).select(F.col("id").alias("uid"), F.array(home("component", F.lit(-1), "blocks")).alias("homes"), F.lit(None).cast("array<bigint>").alias("bands"))
+    if large.where("split").isEmpty():
         return whole
-    parts = met.join(placed.where(F.col("split").isNotNull()).select(F.col("id").alias("uid")), "uid", "left_semi")
+    parts = met.join(placed.where("split").select(F.col("id").alias("uid")), "uid", "left_semi")
     parts = parts.groupBy("uid").agg(F.collect_list(home("hash", F.col("band"), "its_blocks")).alias("homes"))
     return whole.unionByName(parts.join(bands, "uid").select("uid", "homes", "bands"))
 
