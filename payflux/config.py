@@ -84,7 +84,7 @@ class AnomalyConfig:
     edge_score_strategy: str = "max"
     num_samples: int = 10
     threshold_percentile: float = 95.0
-    top_k_values: tuple[int, ...] = (10, 50, 100, 200, 500)
+    top_k_values: tuple[int, ...] = (10, 20, 50, 100, 200, 500)
 
 
 @dataclass(frozen=True)

@@ -47,7 +47,7 @@ def statistics(scores: DataFrame) -> DataFrame:
     )
 
 
-def top_k_analysis(scores: DataFrame, k_values: tuple[int, ...] = (10, 50, 100, 200, 500), key: str = "edge_id") -> DataFrame:
+def top_k_analysis(scores: DataFrame, k_values: tuple[int, ...] = (10, 20, 50, 100, 200, 500), key: str = "edge_id") -> DataFrame:
     """k, ids, mean and least of the k greatest scores, for each k. One top-k of the greatest k, ranked on its rows alone."""
     ranked = top(scores, max(k_values), key).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), (-F.col(key)).alias("i")))).alias("all"))
     entries = ranked.select(F.explode(F.array(*(F.lit(k) for k in k_values))).alias("k"), "all").withColumn("all", F.slice("all", 1, F.col("k")))

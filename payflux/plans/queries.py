@@ -642,7 +642,7 @@ def a11n(spark, d):
     return rounded(A.statistics(proxy(spark, d)[0]))
 
 
-@query("a12_top_k_analysis", f"with {scores_sql()}, k as (select *, row_number() over (order by score desc, edge_id desc) as place from scores) " + " union all ".join(f"select {k}::bigint as k, string_agg(edge_id::varchar, ',' order by place) as ids, round(avg(score), 6) as mean, min(score) as least from k where place <= {k}" for k in (10, 50, 100, 200, 500)))
+@query("a12_top_k_analysis", f"with {scores_sql()}, k as (select *, row_number() over (order by score desc, edge_id desc) as place from scores) " + " union all ".join(f"select {k}::bigint as k, string_agg(edge_id::varchar, ',' order by place) as ids, round(avg(score), 6) as mean, min(score) as least from k where place <= {k}" for k in (10, 20, 50, 100, 200, 500)))
 def a12(spark, d):
     return rounded(A.top_k_analysis(edge_scores(spark, d)))
 
