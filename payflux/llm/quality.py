@@ -5,9 +5,9 @@ bytes, and chunks overlap by half, so the whole text is covered, whatever its le
 outputs are max-pooled over each chunk; a small layer turns them into the chunk's badness, and
 the mean and the maximum over all chunks into one probability that the label is 1.
 
-Byte embeddings, filters and layers are learned in one task, by Adam, from a bounded sample: at
-most SAMPLE labelled rows, those whose hashes are least, of at most SAMPLE_BYTES bytes. Only
-rows outside the held-out third (crc32 of the id as text, modulo 3, is 1) are used, and of them
+Byte embeddings, filters and layers are learned in one task, by Adam, from a bounded sample of
+whole texts of any length: the labelled rows whose hashes are least, at most `sample` of them, and
+in their order no more once they hold `sample_bytes` bytes together. Only rows outside the held-out third (crc32 of the id as text, modulo 3, is 1) are used, and of them
 text and label alone. Scoring reads whole texts of all documents in Arrow batches, without a
 shuffle; the weights (under 100 KB) travel with the function.
 
@@ -31,7 +31,8 @@ from payflux.llm.common import blocks_of, ranges, unused
 
 WINDOW, CELL, CHUNK, STEP = 6, 64, 4, 2
 EMBEDDED, FILTERS, HIDDEN = 8, 32, 16
-SAMPLE, SAMPLE_BYTES = 4000, 16_384
+#: Labelled rows that are learned from at most, and bytes of all their texts together.
+SAMPLE, SAMPLE_BYTES = 4000, 64 << 20
 STEPS, BATCH, RATE = 500, 48, 0.01
 
 Weights = dict[str, np.ndarray]
@@ -42,17 +43,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def padded(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of the texts, each followed by zeros to full cells (WINDOW - 1 at least), and cells of each text."""
+    """Bytes of the texts, each with WINDOW - 1 zeros before it and zeros to full cells behind it, and cells of each text.
+
+    A window that starts in a text's cells so ends before the next text's first byte.
+    """
     lengths = np.diff(bounds)
     cells = -(-(lengths + WINDOW - 1) // CELL)
     out = np.zeros(int(cells.sum()) * CELL + WINDOW, np.uint8)
     at = (np.cumsum(cells) - cells) * CELL
-    out[ranges(at, lengths)] = data
+    out[ranges(at + WINDOW - 1, lengths)] = data
     return out, cells
 
 
-def pooled_cells(data: np.ndarray, w: Weights) -> np.ndarray:
-    """Greatest output of each filter in each cell."""
+def pooled_cells(data: np.ndarray, w: Weights, places: np.ndarray | None = None) -> np.ndarray:
+    """Greatest output of each filter in each cell, and into places, if given, where in the cell it is; a few cells at a time."""
     tables = [np.ascontiguousarray(w["embedding"] @ w["filters"][j], np.float32) for j in range(WINDOW)]
     n = len(data) - WINDOW
     out = np.empty((n // CELL, FILTERS), np.float32)
@@ -62,7 +66,12 @@ def pooled_cells(data: np.ndarray, w: Weights) -> np.ndarray:
         total = tables[0][data[i : i + m]]
         for j in range(1, WINDOW):
             total += tables[j][data[i + j : i + j + m]]
-        out[i // CELL : (i + m) // CELL] = total.reshape(-1, CELL, FILTERS).max(axis=1)
+        cells, at = total.reshape(-1, CELL, FILTERS), slice(i // CELL, (i + m) // CELL)
+        if places is None:
+            out[at] = cells.max(axis=1)
+        else:
+            best = cells.argmax(axis=1)
+            places[at], out[at] = best, np.take_along_axis(cells, best[:, None, :], 1)[:, 0, :]
     return out
 
 
@@ -122,14 +131,8 @@ def start_weights(rng: np.random.Generator) -> Weights:
 
 def gradient(data: np.ndarray, cells: np.ndarray, y: np.ndarray, w: Weights) -> Weights:
     """Of the mean log loss. Only the position that a filter's maximum comes from gets its gradient."""
-    tables = [np.ascontiguousarray(w["embedding"] @ w["filters"][j], np.float32) for j in range(WINDOW)]
-    n = len(data) - WINDOW
-    total = tables[0][data[:n]]
-    for j in range(1, WINDOW):
-        total += tables[j][data[j : j + n]]
-    in_cells = total.reshape(-1, CELL, FILTERS)
-    best = in_cells.argmax(axis=1)
-    by_cell = np.take_along_axis(in_cells, best[:, None, :], 1)[:, 0, :]
+    best = np.empty(((len(data) - WINDOW) // CELL, FILTERS), np.uint8)
+    by_cell = pooled_cells(data, w, best)
     start, end, first = chunks_of(cells)
     pooled, at = by_cell[start], np.repeat(start[:, None], FILTERS, axis=1)
     for k in range(1, CHUNK):
@@ -182,27 +185,33 @@ def fitted(texts: list[bytes], labels: np.ndarray, seed: int = 0) -> Weights:
     return w
 
 
-def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Weights:
+def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Weights:
     """Weights learned from docs (doc_id, text) and labels (doc_id, quality).
 
     The sample is drawn among the labels; so it is small, and texts are not shuffled to find theirs.
     """
     known = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("its_id"), "quality")
     known = known.orderBy(F.xxhash64("its_id"), "its_id", "quality").limit(sample)
-    rows = docs.join(F.broadcast(known), docs["doc_id"] == known["its_id"]).where(F.octet_length("text") <= SAMPLE_BYTES).select("its_id", "text", "quality")
+    rows = docs.join(F.broadcast(known), docs["doc_id"] == known["its_id"]).where(F.col("text").isNotNull()).select("its_id", "text", "quality")
     rows = rows.orderBy(F.xxhash64("its_id"), "its_id", F.xxhash64("text"), "quality").limit(sample).select("text", "quality").coalesce(1)
-    packed = rows.mapInArrow(_fit, "weights binary").first()
+    packed = rows.mapInArrow(_fit(sample_bytes), "weights binary").first()
     return dict(np.load(io.BytesIO(packed[0]))) if packed else fitted([], np.zeros(0))
 
 
-def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    texts, labels = [], []
-    for batch in batches:
-        texts += [t.encode() for t in batch.column("text").to_pylist()]
-        labels += batch.column("quality").to_pylist()
-    out = io.BytesIO()
-    np.savez(out, **fitted(texts, np.array(labels, np.float64)))
-    yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["weights"])
+def _fit(sample_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels, left = [], [], sample_bytes
+        for batch in batches:
+            for text, label in zip(batch.column("text"), batch.column("quality"), strict=True):
+                if left > 0:
+                    texts.append(text.as_py().encode())
+                    labels.append(label.as_py())
+                    left -= len(texts[-1])
+        out = io.BytesIO()
+        np.savez(out, **fitted(texts, np.array(labels, np.float64)))
+        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["weights"])
+
+    return run
 
 
 def _scored(w: Weights, at: int, shown: int):

@@ -259,29 +259,66 @@ def test_bands():
 # --- quality -----------------------------------------------------------------------------------------
 
 
-def test_quality_gradient():
+def slow_badness(text, w):
+    """The network's definition for one text, in doubles, window by window."""
+    w = {k: np.asarray(v, np.float64) for k, v in w.items()}
+    cells = -(-(len(text) + quality.WINDOW - 1) // quality.CELL)
+    data = bytes(quality.WINDOW - 1) + text + bytes(cells * quality.CELL - len(text))
+    seen = [sum(w["embedding"][data[p + j]] @ w["filters"][j] for j in range(quality.WINDOW)) for p in range(cells * quality.CELL)]
+    of_cells = [np.max(seen[k * quality.CELL : (k + 1) * quality.CELL], axis=0) for k in range(cells)]
+    starts = [*range(0, cells - quality.CHUNK, quality.STEP), max(0, cells - quality.CHUNK)]
+    out = []
+    for k in starts:
+        x = np.maximum(np.max(of_cells[k : k + quality.CHUNK], axis=0) + w["bias"], 0)
+        out.append(np.maximum(x @ w["hidden"] + w["hidden_bias"], 0) @ w["out"] + w["out_bias"][0])
+    return w["mix"][0] * np.mean(out) + w["mix"][1] * np.max(out)
+
+
+def quality_case():
     rng = np.random.default_rng(1)
-    texts = [bytes(rng.integers(97, 110, n, dtype=np.uint8)) for n in (700, 30, 0, 400)]
-    data, cells = quality.padded(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    texts = [bytes(rng.integers(97, 110, n, dtype=np.uint8)) for n in (700, 30, 0, 59, 60, 256, 251, 252, 400)]
+    w = quality.start_weights(rng)
+    w["hidden_bias"] += 0.1
+    return texts, np.concatenate([[0], np.cumsum([len(t) for t in texts])]), w, rng
+
+
+def test_quality_scores_against_brute_force():
+    """Each text alone, whatever lies beside it."""
+    texts, bounds, w, _ = quality_case()
+    got = quality.scores(np.frombuffer(b"".join(texts), np.uint8), bounds, w)
+    assert got == pytest.approx([1 / (1 + np.exp(slow_badness(t, w))) for t in texts], abs=1e-5)
+
+
+def test_quality_gradient():
+    """Of all weights, against differences of the slow definition."""
+    texts, bounds, w, rng = quality_case()
+    texts, bounds = texts[:4], bounds[:5]
     y = np.array([1.0, 0, 1, 0])
-    w = {k: v.astype(np.float64) for k, v in quality.start_weights(rng).items()}
+    data, cells = quality.padded(np.frombuffer(b"".join(texts), np.uint8), bounds)
+    g = quality.gradient(data, cells, y, w)
 
-    def value():
-        start, end, first = quality.chunks_of(cells)
-        bad = quality.badness(quality._over_chunks(quality.pooled_cells(data, w), start, end), first, w)[0]
-        p = quality.sigmoid(-bad)
+    def value(changed):
+        p = np.array([1 / (1 + np.exp(slow_badness(t, changed))) for t in texts])
         return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
 
-    g = quality.gradient(data, cells, y, w)
-    for k in ("out", "hidden", "bias", "mix"):
-        at = tuple(int(rng.integers(0, s)) for s in w[k].shape)
-        old, eps = w[k][at], 1e-3
-        w[k][at] = old + eps
-        up = value()
-        w[k][at] = old - eps
-        down = value()
-        w[k][at] = old
-        assert g[k][at] == pytest.approx((up - down) / (2 * eps), abs=2e-3)
+    assert g.keys() == w.keys()
+    for k in w:
+        way = rng.standard_normal(w[k].shape) * (np.asarray(g[k]) != 0)
+        up, down = (value({**w, k: np.asarray(w[k], np.float64) + e * way}) for e in (1e-5, -1e-5))
+        assert (np.asarray(g[k]) * way).sum() == pytest.approx((up - down) / 2e-5, rel=1e-2, abs=1e-4), k
+
+
+def test_quality_learns_from_long_texts(spark, monkeypatch):
+    """What a text shows is learned from those of 20 KB too, here the only ones; a bound on all bytes ends the sample."""
+    rows = [(i, ("good words here " if i % 2 else "zzzz qqqq ") * 2000, i % 2) for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, quality int")
+    monkeypatch.setattr(quality, "BATCH", 4)
+    monkeypatch.setattr(quality, "STEPS", 60)
+    w = quality.learned(docs, labels)
+    assert "constant" not in w
+    assert {r["doc_id"] % 2 == (r["score"] >= 0.5) for r in quality.score(docs, w).collect()} == {True}
+    assert "constant" in quality.learned(docs, labels, sample_bytes=1)  # one text, so one class
 
 
 def test_quality_sees_the_end_of_long_texts_and_ignores_neighbours():
@@ -328,6 +365,21 @@ def test_sharding(spark, docs, empty):
     assert len(none) == len(table()) and none.groupby("shard")["slot"].nunique().sum() == len(table())
 
 
+def test_sharding_query_against_brute_force(spark):
+    """All columns: a shard is the eighth of all bytes in which the middle of the document lies, in the order of ids."""
+    sf = "/root/testdata/sf0.001"
+    docs = sorted((r["doc_id"], (r["text"] or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    total, before, slots, expected = sum(len(t) + 1 for _, t in docs), 0, [0] * 8, []
+    for doc_id, text in docs:
+        shard = min(7, int((2 * before + len(text) + 1) / (2.0 * total) * 8))
+        expected.append((doc_id, len(text) + 1, zlib.crc32(text), "bytes", shard, slots[shard], None))
+        slots[shard] += 1
+        before += len(text) + 1
+    out = sharding.op6_sharding(spark, sf)
+    assert out.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    assert sorted(map(tuple, out.collect())) == expected
+
+
 def test_hot_key_beside_others(spark, monkeypatch):
     """A key with a third of the rows is cut though greater keys follow before the next splitter."""
     cells = []

@@ -95,7 +95,10 @@ def test_components(spark):
     assert {r["id"]: r["component"] for r in out} == {x: find(x) for x in ends} and len(out) == len(ends)
 
 
-def test_nearest(spark, monkeypatch):
+@pytest.mark.parametrize("components", [neighbours.TILE_COMPONENTS, 100])
+def test_nearest(spark, monkeypatch, components):
+    """In one tile of many steps, and in many tiles."""
+    monkeypatch.setattr(neighbours, "TILE_COMPONENTS", components)
     monkeypatch.setattr(neighbours, "CANDIDATE_BLOCK", 64)
     monkeypatch.setattr(neighbours, "QUERY_BLOCK", 4)
     rows = vectors()
@@ -112,6 +115,19 @@ def test_nearest(spark, monkeypatch):
     assert sum(got[k][0] == expected[k][0] for k in got) >= len(got) - 2  # ties of equal vectors may round apart in the brute force
 
 
+def test_copies_of_a_tile_in_steps(monkeypatch):
+    """The k best by heaps over many steps are those of all products at once, ties by id."""
+    monkeypatch.setattr(neighbours, "CANDIDATE_BLOCK", 7)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(0)
+    c = np.repeat(rng.standard_normal((20, 5)), 3, axis=0)
+    ids, ask = rng.permutation(60), np.arange(8)
+    out = list(neighbours.tile_best(ids[ask], c[ask], ids, c, 4))
+    for i in ask:
+        near = sorted((-float(neighbours.cosines(c[i : i + 1], c[j : j + 1])[0]), int(ids[j])) for j in range(60) if j != i)[:4]
+        assert [(-s, v) for q, v, s in out if q == ids[i]] == near
+
+
 def test_scores_of_equal_vectors_tie(spark):
     rows = [(i, [0.1, 0.2, 0.3], 0, "") for i in (50, 3, 2, 9, 8, 7, 6)]
     out = neighbours.nearest(spark.createDataFrame(rows, KIND), F.col("vec_id") == 50).orderBy("rank").collect()
