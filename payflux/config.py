@@ -82,6 +82,8 @@ class TrainConfig:
 @dataclass(frozen=True)
 class AnomalyConfig:
     edge_score_strategy: str = "max"
+    #: error: of unmasked nodes; sampled: the mean over num_samples maskings.
+    node_scores: str = "error"
     num_samples: int = 10
     threshold_percentile: float = 95.0
     top_k_values: tuple[int, ...] = (10, 20, 50, 100, 200, 500)

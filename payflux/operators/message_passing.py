@@ -1,8 +1,9 @@
 """Graph convolution and attention as joins and groupings; dense layers in Arrow batches.
 
 States are (node_id, h: array of doubles). Messages travel along edges from src_id to dst_id.
-Loops among the edges are replaced by one for each node. A shuffle carries projected vectors
-only; sums over the vectors of a node's neighbours are partial before it.
+Loops among the edges are replaced by one for each node. The projected states of a layer are
+written to a table, which all its steps read: a plan begins at the layer before, so that plans grow
+in proportion to the layers. A shuffle carries projected vectors only; sums over the vectors of a node's neighbours are partial before it.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from payflux.functions.numbering import materialised
 from payflux.functions.vectors import activation, layer_norm
 from payflux.operators.graph import inverse_sqrt
 
@@ -76,9 +78,10 @@ def summed(messages: DataFrame, width: int) -> DataFrame:
 def convolved(states: DataFrame, edges: DataFrame, layer: Layer) -> DataFrame:
     """Sum of neighbours' projections, weighted by the inverse roots of both in-degrees (loops counted)."""
     width = layer.w.shape[1]
-    links = with_loops(edges, states)
+    z = materialised(projected(states, layer.w))
+    links = with_loops(edges, z)
     inverse = links.groupBy(F.col("dst_id").alias("node_id")).agg(F.count("*").alias("degree")).select("node_id", inverse_sqrt(F.col("degree")).alias("d"))
-    source = projected(states, layer.w).join(inverse, "node_id").select(F.col("node_id").alias("src_id"), F.transform("h", lambda x: x * F.col("d")).alias("m"))
+    source = z.join(inverse, "node_id").select(F.col("node_id").alias("src_id"), F.transform("h", lambda x: x * F.col("d")).alias("m"))
     total = summed(links.join(source, "src_id").select(F.col("dst_id").alias("node_id"), "m"), width)
     return finished(total.join(inverse, "node_id").select("node_id", F.transform("h", lambda x: x * F.col("d")).alias("h")), layer)
 
@@ -88,17 +91,16 @@ def _dots(h: Column, a: np.ndarray, head: int) -> Column:
     return sum((h[head * out + k] * float(a[head, k]) for k in range(out)), F.lit(0.0))
 
 
-def coefficients(states: DataFrame, edges: DataFrame, layer: Layer, slope: float = 0.2) -> DataFrame:
-    """src_id, dst_id and alpha (one for each head): attention, a softmax over the edges into a node.
+def coefficients(z: DataFrame, edges: DataFrame, layer: Layer, slope: float = 0.2) -> DataFrame:
+    """src_id, dst_id and alpha (one for each head): attention, a softmax over the edges into a node. z: projected states.
 
     The greatest logit is subtracted first. Normalisers are grouped and joined, so that a hub's edges need not meet in one task.
     """
-    z = projected(states, layer.w)
     logits = z.select("node_id", *(F.array(*(_dots(F.col("h"), a, k) for k in range(layer.heads))).alias(n) for n, a in (("l_src", layer.a_src), ("l_dst", layer.a_dst))))
     s = logits.select(F.col("node_id").alias("src_id"), "l_src")
     d = logits.select(F.col("node_id").alias("dst_id"), "l_dst")
     leaky = activation("leaky_relu")
-    e = with_loops(edges, states).join(s, "src_id").join(d, "dst_id").select("src_id", "dst_id", F.zip_with("l_src", "l_dst", lambda a, b: leaky(a + b, slope)).alias("e"))
+    e = with_loops(edges, z).join(s, "src_id").join(d, "dst_id").select("src_id", "dst_id", F.zip_with("l_src", "l_dst", lambda a, b: leaky(a + b, slope)).alias("e"))
     top = e.groupBy("dst_id").agg(F.array(*(F.max(F.col("e")[k]) for k in range(layer.heads))).alias("top"))
     e = e.join(top, "dst_id").select("src_id", "dst_id", F.zip_with("e", "top", lambda a, b: F.exp(a - b)).alias("e"))
     total = e.groupBy("dst_id").agg(F.array(*(F.sum(F.col("e")[k]) for k in range(layer.heads))).alias("total"))
@@ -109,8 +111,9 @@ def attended(states: DataFrame, edges: DataFrame, layer: Layer, slope: float = 0
     """Sum of neighbours' projections, weighted by attention; heads joined or averaged."""
     width, heads = layer.w.shape[1], layer.heads
     out = width // heads
-    source = projected(states, layer.w).select(F.col("node_id").alias("src_id"), F.col("h").alias("z"))
-    weighed = coefficients(states, edges, layer, slope).join(source, "src_id")
+    z = materialised(projected(states, layer.w))
+    source = z.select(F.col("node_id").alias("src_id"), F.col("h").alias("z"))
+    weighed = coefficients(z, edges, layer, slope).join(source, "src_id")
     m = F.transform("z", lambda x, i: x * F.get(F.col("alpha"), F.floor(i / out).cast("int")))
     total = summed(weighed.select(F.col("dst_id").alias("node_id"), m.alias("m")), width)
     if not layer.concat and heads > 1:

@@ -63,7 +63,8 @@ def categories(df: DataFrame, columns: list[str], top: int = 10) -> DataFrame:
 
 def amounts(df: DataFrame, columns: list[str]) -> DataFrame:
     """name, count, mean, std (of a sample), least, greatest, median, q25, q75, q95, q99, zeros and negatives of each amount that is a number."""
-    long = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("name"), number(F.col(c)).alias("x")) for c in columns)))).where(F.col("x").isNotNull())
+    kinds = dict(df.dtypes)
+    long = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("name"), number(F.col(c), kinds[c]).alias("x")) for c in columns)))).where(F.col("x").isNotNull())
     q = F.percentile("x", F.array(*(F.lit(p) for p in (0.5, 0.25, 0.75, 0.95, 0.99))))
     out = long.groupBy("name").agg(
         F.count("*").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("least"), F.max("x").alias("greatest"), q.alias("q"),
@@ -73,10 +74,13 @@ def amounts(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.select("name", "count", "mean", "std", "least", "greatest", *named, "zeros", "negatives")
 
 
-def report(tables: dict[str, DataFrame]) -> str:
-    """The small tables as text."""
+def report(tables: dict[str, DataFrame], most: int = 200) -> str:
+    """Tables as text, of each its first rows, and a line that says so where there are more."""
     lines = []
     for name, df in tables.items():
         lines.append(f"== {name}")
-        lines += ["  " + ", ".join(f"{k}={v}" for k, v in row.asDict().items()) for row in df.limit(200).collect()]
+        rows = df.limit(most + 1).collect()
+        lines += ["  " + ", ".join(f"{k}={v}" for k, v in row.asDict().items()) for row in rows[:most]]
+        if len(rows) > most:
+            lines.append(f"  and more than these {most} rows")
     return "\n".join(lines)

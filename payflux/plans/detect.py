@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import argparse
-import os
+import io
 from dataclasses import asdict, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +14,18 @@ from payflux.functions.numbering import materialised
 from payflux.operators import anomalies as A
 from payflux.operators import charts as V
 from payflux.plans import training
-from payflux.sources.store import load_graph, load_json, save_json, save_tables
+from payflux.sources.store import load_graph, load_json, save_bytes, save_json, save_tables
 
 
 def detect(model: training.Model, features: DataFrame, edges: DataFrame, config: MainConfig = MainConfig(), level: str = "edge") -> tuple[DataFrame, DataFrame, str]:
     """Scores of nodes, scores of edges, and a report on the level asked for."""
-    node_scores = materialised(training.node_errors(model, features, edges))
+    if config.anomaly.node_scores == "sampled":
+        scores = training.sampled_scores(model, features, edges, config.anomaly.num_samples, config.seed)
+    elif config.anomaly.node_scores == "error":
+        scores = training.node_errors(model, features, edges)
+    else:
+        raise ValueError(f"unknown node scores: {config.anomaly.node_scores}")
+    node_scores = materialised(scores)
     edge_scores = A.edge_scores(edges, node_scores, config.anomaly.edge_score_strategy)
     chosen = edge_scores if level == "edge" else node_scores
     return node_scores, edge_scores, A.report(chosen, config.anomaly.threshold_percentile)
@@ -43,9 +49,9 @@ def run(spark: SparkSession, config: MainConfig = MainConfig()) -> dict:
         "two_axes": V.two_axes(spark.read.parquet(f"{out}/embeddings")),
     }
     save_tables(tables, f"{out}/tables")
-    if "://" not in out:
-        os.makedirs(out, exist_ok=True)
-        training.save(model, f"{out}/model.npz", history)
+    weights = io.BytesIO()
+    training.save(model, weights, history)
+    save_bytes(spark, weights.getvalue(), f"{out}/model.npz")
     summary = A.summary(own, scores, p).first().asDict() | {
         "config": asdict(config), "parameters": training.parameters(model), "epochs": len(history), "report": text,
         "top": [r.asDict() for r in A.top(scores, 100).collect()], "preprocessing": load_json(spark, config.preprocessed_path("report")) is not None,

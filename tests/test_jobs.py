@@ -1,14 +1,16 @@
 """The jobs from a CSV file to ranked anomalies, and the stream."""
 
 import csv
+import io
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from payflux.config import COLUMNS, MainConfig, ModelConfig, PreprocessConfig, TrainConfig
+from payflux.config import COLUMNS, AnomalyConfig, MainConfig, ModelConfig, PreprocessConfig, TrainConfig
 from payflux.functions.numbering import numbered
 from payflux.operators import profile
-from payflux.plans import detect, preprocess
+from payflux.plans import detect, preprocess, training
 from payflux.sources import store
 from payflux.sources import transactions as T
 from payflux.streaming import scoring
@@ -55,6 +57,12 @@ def test_whole_job(spark, path, tmp_path):
     result = detect.run(spark, main)
     assert result["epochs"] == 5 and result["preprocessing"] and len(result["top"]) == 60
     assert spark.read.parquet(f"{result['output']}/node_scores").count() == 9
+    saved = io.BytesIO(store.load_bytes(spark, f"{result['output']}/model.npz"))
+    model, history = training.load(main.model, len(store.load_graph(spark, config.output_dir).node_features.first()["features"]), saved)
+    assert len(history) == 5 and training.parameters(model) == result["parameters"]
+    graph = store.load_graph(spark, config.output_dir)
+    sampled = replace(main, anomaly=AnomalyConfig(node_scores="sampled", num_samples=2))
+    assert detect.detect(model, graph.node_features, graph.edges.where(~F.col("is_loop")), sampled)[0].count() == 9
     with pytest.raises(FileNotFoundError):
         store.load_graph(spark, str(tmp_path / "nothing"))
 

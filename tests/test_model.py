@@ -8,7 +8,7 @@ from payflux.config import ModelConfig, TrainConfig
 from payflux.functions.numbering import materialised
 from payflux.operators import gradients as G
 from payflux.operators.masking import masked
-from payflux.operators.message_passing import coefficients
+from payflux.operators.message_passing import coefficients, projected
 from payflux.plans import training as T
 
 EDGES = [(0, 1), (0, 1), (1, 2), (2, 0), (3, 3), (3, 1), (4, 2)]
@@ -68,11 +68,21 @@ def test_spark_agrees_with_numpy(spark, config):
 def test_attention_sums_to_one(spark):
     features, edges = graph(spark)
     layer = T.as_layers(T.build(CONFIGS[0], 3))[0]
-    alpha = coefficients(features.select("node_id", F.col("features").alias("h")), edges, layer)
+    alpha = coefficients(projected(features.select("node_id", F.col("features").alias("h")), layer.w), edges, layer)
     sums = alpha.groupBy("dst_id").agg(*(F.sum(F.col("alpha")[k]) for k in range(2))).collect()
     assert len(sums) == 5 and all(v == pytest.approx(1) for r in sums for v in r[1:])
 
 
+@pytest.mark.parametrize("kind", ["gat", "gcn"])
+def test_plans_do_not_grow_with_layers(spark, kind):
+    features, edges = graph(spark)
+    exchanges = []
+    for layers in (1, 3):
+        model = T.build(ModelConfig(kind, "linear", hidden_channels=4, out_channels=3, num_layers=layers, num_heads=2), 3)
+        exchanges.append(T.embeddings(model, features, edges)._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+    assert exchanges[0] == exchanges[1]
+
+
 def test_training_falls_and_is_saved(spark, tmp_path):
     x, src, dst = T.collected(*graph(spark))
     model = T.build(CONFIGS[1], x.shape[1])
