@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from payflux.functions.numbering import materialised
+from payflux.functions.quantiles import with_quantiles
+
 STRATEGIES = {"max": lambda a, b: F.greatest(a, b), "mean": lambda a, b: (a + b) / 2, "sum": lambda a, b: a + b}
 
 
@@ -24,27 +27,28 @@ def top(scores: DataFrame, k: int = 100, key: str = "edge_id") -> DataFrame:
     return scores.orderBy(F.col("score").desc(), F.col(key).desc()).limit(k)
 
 
-def percentile(p: float) -> Column:
-    return F.percentile("score", F.lit(p / 100))
+def threshold(scores: DataFrame, p: float = 95.0) -> DataFrame:
+    """One row: the percentile p, interpolated. Scores are computed once, into a table."""
+    return _threshold(materialised(scores.select("score")), p)
 
 
-def threshold(scores: DataFrame, p: float = 95.0) -> DataFrame:
-    """One row: the percentile p, interpolated."""
-    return scores.agg(percentile(p).alias("threshold"))
+def _threshold(scores: DataFrame, p: float) -> DataFrame:
+    return with_quantiles(scores.sparkSession.range(1).select(), scores, "score", {"threshold": p / 100})
 
 
 def classified(scores: DataFrame, p: float = 95.0, at: float | None = None) -> DataFrame:
     """scores with anomaly: 1 where a score is strictly above the threshold."""
-    limit = threshold(scores, p) if at is None else scores.sparkSession.range(1).select(F.lit(float(at)).alias("threshold"))
+    if at is None:
+        scores = materialised(scores)
+    limit = _threshold(scores, p) if at is None else scores.sparkSession.range(1).select(F.lit(float(at)).alias("threshold"))
     return scores.crossJoin(F.broadcast(limit)).withColumn("anomaly", (F.col("score") > F.col("threshold")).cast("int")).drop("threshold")
 
 
 def statistics(scores: DataFrame) -> DataFrame:
     """One row: count, mean, std (of all), least, greatest, median, p90, p95, p99."""
-    return scores.agg(
-        F.count("*").alias("count"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.min("score").alias("least"), F.max("score").alias("greatest"),
-        percentile(50).alias("median"), percentile(90).alias("p90"), percentile(95).alias("p95"), percentile(99).alias("p99"),
-    )
+    scores = materialised(scores.select("score"))
+    whole = scores.agg(F.count("*").alias("count"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"), F.min("score").alias("least"), F.max("score").alias("greatest"))
+    return with_quantiles(whole, scores, "score", {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99})
 
 
 def top_k_analysis(scores: DataFrame, k_values: tuple[int, ...] = (10, 20, 50, 100, 200, 500), key: str = "edge_id") -> DataFrame:
@@ -58,7 +62,8 @@ def top_k_analysis(scores: DataFrame, k_values: tuple[int, ...] = (10, 20, 50, 1
 
 def summary(node_scores: DataFrame, scores: DataFrame, p: float = 95.0) -> DataFrame:
     """One row: threshold, anomalies, share, and mean and deviation of both levels."""
-    limit = threshold(scores, p)
+    scores = materialised(scores.select("score"))
+    limit = _threshold(scores, p)
     edges = scores.crossJoin(F.broadcast(limit)).agg(
         F.first("threshold").alias("threshold"), F.count_if(F.col("score") > F.col("threshold")).alias("anomalies"),
         (F.count_if(F.col("score") > F.col("threshold")) / F.count("*")).alias("share"), F.avg("score").alias("edge_mean"), F.stddev_pop("score").alias("edge_std"),

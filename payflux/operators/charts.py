@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from payflux.operators.anomalies import percentile, top
+from payflux.functions.numbering import materialised
+from payflux.functions.quantiles import quantiles, with_quantiles
+from payflux.operators.anomalies import top
 
 
 def histogram(df: DataFrame, column: str = "score", bins: int = 50) -> DataFrame:
@@ -22,7 +24,10 @@ def histogram(df: DataFrame, column: str = "score", bins: int = 50) -> DataFrame
 
 def box(df: DataFrame) -> DataFrame:
     """One row: least, q25, median, q75, p95, p99 and greatest score."""
-    return df.agg(F.min("score").alias("least"), percentile(25).alias("q25"), percentile(50).alias("median"), percentile(75).alias("q75"), percentile(95).alias("p95"), percentile(99).alias("p99"), F.max("score").alias("greatest"))
+    scores = materialised(df.select("score"))
+    ends = scores.agg(F.min("score").alias("least"), F.max("score").alias("greatest"))
+    places = {"q25": 0.25, "median": 0.5, "q75": 0.75, "p95": 0.95, "p99": 0.99}
+    return with_quantiles(ends, scores, "score", places).select("least", *places, "greatest")
 
 
 def degree_against_score(edges: DataFrame, node_scores: DataFrame) -> DataFrame:
@@ -38,7 +43,7 @@ def ranked(scores: DataFrame, k: int = 20, key: str = "edge_id") -> DataFrame:
 
 def percentiles(scores: DataFrame, at: tuple[float, ...] = (50, 75, 90, 95, 99)) -> DataFrame:
     """p and score."""
-    row = scores.agg(F.percentile("score", F.array(*(F.lit(p / 100) for p in at))).alias("q"))
+    row = quantiles(materialised(scores.select("score")), "score", tuple(p / 100 for p in at))
     return row.select(F.inline(F.arrays_zip(F.array(*(F.lit(float(p)) for p in at)).alias("p"), F.col("q").alias("score"))))
 
 

@@ -6,9 +6,10 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from payflux.config import PreprocessConfig
+from payflux.functions.numbering import materialised, numbered
+from payflux.functions.quantiles import with_quantiles
 from payflux.functions.scalars import category, hash_unit, number, seconds_between, time_parts, timestamp
 from payflux.functions.scaling import moment_columns, scaled, standardised
 
@@ -37,14 +38,14 @@ def numeric_features(df: DataFrame, columns: list[str]) -> DataFrame:
 def category_codes(df: DataFrame, column: str, unknown: str = "UNKNOWN", edge_id: str = "edge_id") -> DataFrame:
     """value and code of a column's categories, from 0 in the order in which they first appear."""
     firsts = df.groupBy(category(F.col(column), unknown).alias("value")).agg(F.min(edge_id).alias("first_edge"))
-    return firsts.select("value", (F.row_number().over(Window.orderBy("first_edge")) - 1).cast("long").alias("code"))
+    return numbered(firsts, [F.col("first_edge")], "code").select("value", "code")
 
 
 def category_vectors(codes: DataFrame, column: str, dim: int = 8) -> DataFrame:
-    """value, code and dim components of each category, drawn evenly from +-sqrt(6 / (categories + dim)) by a hash of column, value and place."""
+    """codes and dim components of each of its values, drawn evenly from +-sqrt(6 / (categories + dim)) by a hash of column, value and place."""
     bound = F.sqrt(6.0 / (F.col("n") + dim))
     sized = codes.crossJoin(F.broadcast(codes.agg(F.count("*").alias("n"))))
-    return sized.select("value", "code", *((bound * (2 * hash_unit(column, F.col("value"), i) - 1)).alias(f"{column}_emb_{i}") for i in range(dim)))
+    return sized.select(*codes.columns, *((bound * (2 * hash_unit(column, F.col("value"), i) - 1)).alias(f"{column}_emb_{i}") for i in range(dim)))
 
 
 def encoding_info(codes: DataFrame, unknown: str = "UNKNOWN", samples: int = 10) -> DataFrame:
@@ -60,13 +61,16 @@ def with_category_features(df: DataFrame, columns: list[str], config: Preprocess
     """df with vectors (or codes) of its categories, and the names of the new columns. base: a simpler table with the same edge_id and categories."""
     names: list[str] = []
     base = (base or df).select("edge_id", *columns)  # not what earlier joins have made of it: the plan would double each time
+    embedded = bool(columns) and config.encode_categories == "embedding"
+    if embedded:  # the values of all columns in one pass
+        long = base.select(F.inline(F.array(*(F.struct(F.lit(c).alias("name"), category(F.col(c), config.unknown).alias("value")) for c in columns))))
+        values = materialised(long.distinct())
     for c in columns:
-        codes = category_codes(base, c, config.unknown)
-        if config.encode_categories == "embedding":
-            table = category_vectors(codes, c, config.embedding_dim).drop("code")
+        if embedded:
+            table = category_vectors(values.where(F.col("name") == c).select("value"), c, config.embedding_dim)
             names += [f"{c}_emb_{i}" for i in range(config.embedding_dim)]
         else:
-            table = codes.withColumnRenamed("code", f"{c}_code")
+            table = category_codes(base, c, config.unknown).withColumnRenamed("code", f"{c}_code")
             names.append(f"{c}_code")
         # Spark broadcasts the categories where their size is known to be small, and shuffles where it is not
         df = df.join(table.withColumnRenamed("value", f"{c}__value"), category(df[c], config.unknown) == F.col(f"{c}__value")).drop(f"{c}__value")
@@ -95,25 +99,30 @@ def with_delay(df: DataFrame, config: PreprocessConfig = PreprocessConfig()) ->
 
 def delay_statistics(df: DataFrame) -> DataFrame:
     """One row: valid, invalid, mean, median, least, greatest, std (of a sample; null of one value), negative."""
-    return df.agg(
+    own = materialised(df.select("delay"))
+    whole = own.agg(
         F.count("delay").alias("valid"),
         F.count_if(F.col("delay").isNull()).alias("invalid"),
         F.avg("delay").alias("mean"),
-        F.percentile("delay", F.lit(0.5)).alias("median"),
         F.min("delay").alias("least"),
         F.max("delay").alias("greatest"),
         F.stddev_samp("delay").alias("std"),
         F.count_if(F.col("delay") < 0).alias("negative"),
     )
+    return with_quantiles(whole, own, "delay", {"median": 0.5}).select("valid", "invalid", "mean", "median", "least", "greatest", "std", "negative")
 
 
 def _delay_moments() -> list[Column]:
     return [
-        F.coalesce(F.percentile("delay", F.lit(0.5)), F.lit(0.0)).alias("delay_mid"), F.count("delay").alias("delay_n"), F.count("*").alias("delay_all"),
+        F.count("delay").alias("delay_n"), F.count("*").alias("delay_all"),
         F.coalesce(F.avg("delay"), F.lit(0.0)).alias("delay_m"), F.coalesce(F.var_pop("delay"), F.lit(0.0)).alias("delay_v"),
     ]
 
 
+def _with_median(stats: DataFrame, rows: DataFrame) -> DataFrame:
+    return with_quantiles(stats, rows, "delay", {"delay_mid": 0.5}).fillna(0.0, ["delay_mid"])
+
+
 def _scaled_delay() -> Column:
     """The delay, or the median, scaled by the moments that the column has once it is filled; these follow from those before it."""
     share, away = F.col("delay_n") / F.greatest(F.col("delay_all"), F.lit(1)), F.col("delay_m") - F.col("delay_mid")
@@ -124,7 +133,8 @@ def _scaled_delay() -> Column:
 
 def with_scaled_delay(df: DataFrame) -> DataFrame:
     """df with delay_scaled: missing delays are the median (0 if there is none), then scaled. One pass gives all moments."""
-    joined = df.crossJoin(F.broadcast(df.agg(*_delay_moments())))
+    own = materialised(df.select("delay"))
+    joined = df.crossJoin(F.broadcast(_with_median(own.agg(*_delay_moments()), own)))
     return joined.select(*df.columns, _scaled_delay().alias("delay_scaled"))
 
 
@@ -138,8 +148,9 @@ def edge_features(df: DataFrame, config: PreprocessConfig = PreprocessConfig())
     rows, parts = with_time_parts(rows, [m.event_time, m.storage_time])
     numeric = [*m.numeric, *parts]
     rows = rows.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in m.numeric}).select("edge_id", *m.categorical, *numeric, "delay")
+    rows = materialised(rows)  # read for moments, the median, the categories and the features
     # one row with all moments
-    stats = rows.agg(*_delay_moments(), *moment_columns(numeric))
+    stats = _with_median(rows.agg(*_delay_moments(), *moment_columns(numeric)), rows)
     joined = rows.crossJoin(F.broadcast(stats))
     new = {c: scaled(F.col(c), F.col(f"mean_{c}"), F.col(f"std_{c}")) for c in numeric} | {"delay_scaled": _scaled_delay()}
     flat = joined.select("edge_id", *m.categorical, *(v.alias(c) for c, v in new.items()))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from payflux.functions.numbering import materialised
+from payflux.functions.quantiles import with_quantiles
 from payflux.functions.scalars import number
 
 
@@ -28,10 +30,10 @@ def basic(node_table: DataFrame, edges: DataFrame, node_width: int, edge_width:
 def degrees(node_features: DataFrame) -> DataFrame:
     """kind (in, out, total), mean, std (of all), least, greatest, median, q25, q75, zeros."""
     kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).cast("double").alias("x")) for k, c in (("out", "src_tx_count"), ("in", "dst_tx_count"), ("total", "total_degree"))))
-    return node_features.select(F.inline(kinds)).groupBy("kind").agg(
-        F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("least"), F.max("x").alias("greatest"),
-        F.percentile("x", F.lit(0.5)).alias("median"), F.percentile("x", F.lit(0.25)).alias("q25"), F.percentile("x", F.lit(0.75)).alias("q75"), F.count_if(F.col("x") == 0).alias("zeros"),
-    )
+    long = materialised(node_features.select(F.inline(kinds)))
+    own = long.groupBy("kind").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("least"), F.max("x").alias("greatest"), F.count_if(F.col("x") == 0).alias("zeros"))
+    places = {"median": 0.5, "q25": 0.25, "q75": 0.75}
+    return with_quantiles(own, long, "x", places, ("kind",)).select("kind", "mean", "std", "least", "greatest", *places, "zeros")
 
 
 def features(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -65,13 +67,13 @@ def amounts(df: DataFrame, columns: list[str]) -> DataFrame:
     """name, count, mean, std (of a sample), least, greatest, median, q25, q75, q95, q99, zeros and negatives of each amount that is a number."""
     kinds = dict(df.dtypes)
     long = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("name"), number(F.col(c), kinds[c]).alias("x")) for c in columns)))).where(F.col("x").isNotNull())
-    q = F.percentile("x", F.array(*(F.lit(p) for p in (0.5, 0.25, 0.75, 0.95, 0.99))))
-    out = long.groupBy("name").agg(
-        F.count("*").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("least"), F.max("x").alias("greatest"), q.alias("q"),
+    long = materialised(long)
+    own = long.groupBy("name").agg(
+        F.count("*").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("least"), F.max("x").alias("greatest"),
         F.count_if(F.col("x") == 0).alias("zeros"), F.count_if(F.col("x") < 0).alias("negatives"),
     )
-    named = [F.col("q")[i].alias(n) for i, n in enumerate(("median", "q25", "q75", "q95", "q99"))]
-    return out.select("name", "count", "mean", "std", "least", "greatest", *named, "zeros", "negatives")
+    places = {"median": 0.5, "q25": 0.25, "q75": 0.75, "q95": 0.95, "q99": 0.99}
+    return with_quantiles(own, long, "x", places, ("name",)).select("name", "count", "mean", "std", "least", "greatest", *places, "zeros", "negatives")
 
 
 def report(tables: dict[str, DataFrame], most: int = 200) -> str:

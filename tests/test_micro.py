@@ -1,9 +1,11 @@
 """A fixture of seven transactions with expected values worked out by hand."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from payflux.config import COLUMNS, PreprocessConfig
+from payflux.functions.quantiles import quantiles
 from payflux.operators import anomalies as A
 from payflux.operators import edges as E
 from payflux.operators import graph as G
@@ -150,3 +152,17 @@ def test_anomalies(spark, graph):
     with pytest.raises(ValueError):
         A.edge_scores(edges, scores, "least")
     assert "above percentile 95: 0 of 7" in A.report(top)
+
+
+@pytest.mark.parametrize("values", [[], [None], [3.0], [1.0, 2.0], [0.0] * 50 + [1.0, 5.0, None, 7.5], [float(i * 7919 % 1000) for i in range(999)]], ids=len)
+def test_quantiles(spark, values):
+    at, known = (0.0, 0.25, 0.5, 0.99, 1.0), [v for v in values if v is not None]
+    got = quantiles(spark.createDataFrame([(v,) for v in values], "v double").repartition(3), "v", at).collect()
+    assert len(got) == 1
+    assert list(got[0]["q"]) == (pytest.approx(list(np.quantile(known, at))) if known else [None] * len(at))
+
+
+def test_quantiles_of_groups(spark):
+    rows = [(k, float(i * i % 37)) for k, n in (("a", 300), ("b", 1), ("c", 40)) for i in range(n)] + [("d", None)]
+    got = {r["k"]: list(r["q"]) for r in quantiles(spark.createDataFrame(rows, "k string, v double"), "v", (0.5, 0.95), ("k",)).collect()}
+    assert got == {k: pytest.approx(list(np.quantile([v for g, v in rows if g == k], (0.5, 0.95)))) for k in "abc"}
