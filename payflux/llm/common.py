@@ -133,14 +133,15 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def spans_of_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans_of_words(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word in data, and the first word of each text (one more entry: the number of words).
 
-    data: bytes of texts that lie one after the other; bounds: where they begin, and the end.
+    data: bytes of texts that lie one after the other; bounds: where they begin, and the end. space: which of the 256
+    bytes lie between words.
     """
     inside = np.empty(len(data) + 2, bool)
     inside[0] = inside[-1] = False
-    np.logical_not(_SPACE[data], out=inside[1:-1])
+    np.logical_not(space[data], out=inside[1:-1])
     starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
     inner = np.unique(bounds[1:-1])
     inner = inner[(inner > 0) & (inner < len(data))]

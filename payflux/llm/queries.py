@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from payflux.llm import chat, embedding_dedup, jaccard, neighbours, quality, secrets, substring_dedup
+from payflux.llm.collocations import OP12_SQL, op12_phrase_collocations
+from payflux.llm.exact_dedup import OP13_SQL, op13_exact_dedup
 from payflux.llm.mixing import OP10_SQL, op10_mixing
 from payflux.llm.packing import OP5_SQL, op5_packing
+from payflux.llm.resampling import OP11_SQL, op11_importance_resampling
 from payflux.llm.sharding import op6_sharding
 
 QUERIES = {
@@ -18,6 +21,9 @@ QUERIES = {
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op10_mixing": op10_mixing,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -29,4 +35,7 @@ ORACLE_SQL: dict[str, str] = {
     "op7_nearest_neighbours": neighbours.OP7_SQL,
     "op9_ngram_jaccard": jaccard.OP9_SQL,
     "op10_mixing": OP10_SQL,
+    "op11_importance_resampling": OP11_SQL,
+    "op12_phrase_collocations": OP12_SQL,
+    "op13_exact_dedup": OP13_SQL,
 }
