@@ -163,7 +163,8 @@ def counted(df: DataFrame, language: str, text: str, lengths: tuple[int, ...], w
                 if waiting and sum(len(x[0]) for x in waiting) + len(data) > shard_bytes:
                     yield from of(_together(waiting))
                     waiting = []
-                waiting.append((data, bounds, batch.column(0).slice(i, j - i)))
+                # copies, for a view would hold the whole batch in memory
+                waiting.append((data.copy(), bounds, batch.column(0).take(pa.array(np.arange(i, j)))))
         if waiting:
             yield from of(_together(waiting))
 
