@@ -56,16 +56,30 @@ class ModelConfig:
     num_layers: int = 2
     num_heads: int = 4
     negative_slope: float = 0.2
+    #: Of states before each layer, and of attention; only while training.
+    dropout: float = 0.2
+    attn_drop: float = 0.1
     mask_rate: float = 0.5
     replace_rate: float = 0.1
     drop_edge_rate: float = 0.0
     residual: bool = False
+    #: Whether all encoder layers' states go to the decoder.
+    concat_hidden: bool = False
     norm: str | None = None
     activation: str = "prelu"
     loss_fn: str = "sce"
     alpha: float = 2.0
 
 
+@dataclass(frozen=True)
+class ParameterGroup:
+    """Weights whose names (step.name, as in 0.w) match: a factor of their rate, and their decay (None: as others)."""
+
+    names: str
+    rate: float = 1.0
+    weight_decay: float | None = None
+
+
 @dataclass(frozen=True)
 class TrainConfig:
     epochs: int = 500
@@ -74,9 +88,7 @@ class TrainConfig:
     optimizer: str = "adam"
     patience: int = 20
     grad_clip: float = 1.0
-    #: Of training.collected only, which takes a graph as arrays; training in Spark has no limits.
-    max_nodes: int = 200_000
-    max_edges: int = 2_000_000
+    groups: tuple[ParameterGroup, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -96,6 +108,8 @@ class MainConfig:
     anomaly: AnomalyConfig = field(default_factory=AnomalyConfig)
     preprocessed_dir: str = "./processed_data"
     output_dir: str = "./output"
+    #: Where training keeps its last epochs and goes on from; None: nowhere.
+    checkpoints: str | None = None
     seed: int = 42
 
     def preprocessed_path(self, name: str) -> str:

@@ -150,23 +150,3 @@ def applied(states: DataFrame, edges: DataFrame, layer: Layer) -> DataFrame:
     if layer.kind == "linear":
         return finished(projected(states, layer.w), layer)
     raise ValueError(f"unknown layer: {layer.kind}")
-
-
-def encoded(states: DataFrame, edges: DataFrame, layers: list[Layer], residual: np.ndarray | None = None) -> tuple[DataFrame, list[DataFrame]]:
-    """The last states (plus a projection of the first ones, if residual), and those of each layer."""
-    first, hidden = states, []
-    for layer in layers:
-        states = applied(states, edges, layer)
-        hidden.append(states)
-    if residual is not None:
-        more = projected(first, residual).withColumnRenamed("h", "more")
-        states = states.join(more, "node_id").select("node_id", F.zip_with("h", "more", lambda a, b: a + b).alias("h"))
-    return states, hidden
-
-
-def concatenated(hidden: list[DataFrame]) -> DataFrame:
-    """All layers' states of a node, one after the other."""
-    out = hidden[0]
-    for more in hidden[1:]:
-        out = out.join(more.withColumnRenamed("h", "more"), "node_id").select("node_id", F.concat("h", "more").alias("h"))
-    return out

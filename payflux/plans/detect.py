@@ -10,22 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payflux.config import MainConfig
-from payflux.functions.numbering import materialised
 from payflux.operators import anomalies as A
 from payflux.operators import charts as V
+from payflux.operators.blocks import BlockGraph
 from payflux.plans import training
 from payflux.sources.store import load_graph, load_json, save_bytes, save_json, save_tables
 
 
-def detect(model: training.Model, features: DataFrame, edges: DataFrame, config: MainConfig = MainConfig(), level: str = "edge") -> tuple[DataFrame, DataFrame, str]:
-    """Scores of nodes, scores of edges, and a report on the level asked for."""
+def detect(
+    model: training.Model, features: DataFrame, edges: DataFrame, config: MainConfig = MainConfig(), level: str = "edge", graph: BlockGraph | None = None
+) -> tuple[DataFrame, DataFrame, str]:
+    """Scores of nodes, scores of edges, and a report on the level asked for. graph: that of features and edges, if it is partitioned already."""
     if config.anomaly.node_scores == "sampled":
-        scores = training.sampled_scores(model, features, edges, config.anomaly.num_samples, config.seed)
+        node_scores = training.sampled_scores(model, features, edges, config.anomaly.num_samples, config.seed)
     elif config.anomaly.node_scores == "error":
-        scores = training.node_errors(model, features, edges)
+        node_scores = training.node_errors(model, features, edges, graph)
     else:
         raise ValueError(f"unknown node scores: {config.anomaly.node_scores}")
-    node_scores = materialised(scores)
     edge_scores = A.edge_scores(edges, node_scores, config.anomaly.edge_score_strategy)
     chosen = edge_scores if level == "edge" else node_scores
     return node_scores, edge_scores, A.report(chosen, config.anomaly.threshold_percentile)
@@ -36,11 +37,12 @@ def run(spark: SparkSession, config: MainConfig = MainConfig()) -> dict:
     graph = load_graph(spark, config.preprocessed_dir)
     edges = graph.edges.where(~F.col("is_loop"))
     model = training.build(config.model, len(graph.node_features.first()["features"]), config.seed)
-    history = training.fit(model, graph.node_features, edges, config.train, config.seed)
+    blocks = training.graph_for(model, graph.node_features, edges)
+    history = training.fit(model, graph.node_features, edges, config.train, config.seed, config.checkpoints, blocks)
     out = config.run_dir()
-    node_scores, edge_scores, text = detect(model, graph.node_features, edges, config)
+    node_scores, edge_scores, text = detect(model, graph.node_features, edges, config, graph=blocks)
     p = config.anomaly.threshold_percentile
-    save_tables({"node_scores": node_scores, "edge_scores": edge_scores, "embeddings": training.embeddings(model, graph.node_features, edges)}, out)
+    save_tables({"node_scores": node_scores, "edge_scores": edge_scores, "embeddings": training.embeddings(model, graph.node_features, edges, blocks)}, out)
     scores, own = spark.read.parquet(f"{out}/edge_scores"), spark.read.parquet(f"{out}/node_scores")
     tables = {
         "training_loss": spark.createDataFrame(history, "epoch int, loss double"),

@@ -57,6 +57,7 @@ def test_whole_job(spark, path, tmp_path):
     result = detect.run(spark, main)
     assert result["epochs"] == 5 and result["preprocessing"] and len(result["top"]) == 60
     assert spark.read.parquet(f"{result['output']}/node_scores").count() == 9
+    assert spark.read.parquet(f"{result['output']}/embeddings").count() == 9
     saved = io.BytesIO(store.load_bytes(spark, f"{result['output']}/model.npz"))
     model, history = training.load(main.model, len(store.load_graph(spark, config.output_dir).node_features.first()["features"]), saved)
     assert len(history) == 5 and training.parameters(model) == result["parameters"]
