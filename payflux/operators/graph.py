@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from payflux.config import PreprocessConfig
-from payflux.functions.numbering import numbered
+from payflux.functions.hubs import with_node_values
+from payflux.functions.numbering import materialised, numbered
 from payflux.functions.scalars import account, hash_unit, inverse_sqrt
 
 
@@ -58,10 +59,16 @@ def source_degrees(edges: DataFrame) -> DataFrame:
 
 
 def weighted(edges: DataFrame, degrees: DataFrame | None = None) -> DataFrame:
-    """edges with weight: the product of the inverse roots of both ends' degrees as sources."""
-    inverse = (degrees or source_degrees(edges)).select("node_id", inverse_sqrt(F.col("degree")).alias("inverse"))
-    s, d = (inverse.select(F.col("node_id").alias(f"{k}_id"), F.col("inverse").alias(f"{k}_inverse")) for k in ("src", "dst"))
-    out = edges.join(s, "src_id", "left").join(d, "dst_id", "left")
+    """edges with weight: the product of the inverse roots of both ends' degrees as sources.
+
+    A hub's degree is broadcast, and its edges stay dealt out as they are: a vertex cut. How many edges end at a node decides that at the other end.
+    """
+    sources = degrees or source_degrees(edges)
+    ends = edges.groupBy(F.col("dst_id").alias("node_id")).agg(F.count("*").alias("ending"))
+    own = materialised(sources.join(ends, "node_id", "full_outer").select("node_id", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("ending", F.lit(0)).alias("ending")))
+    own = own.withColumn("inverse", inverse_sqrt(F.col("degree")))
+    out = with_node_values(edges, "src_id", own.withColumnRenamed("inverse", "src_inverse"), ["src_inverse"], "degree")
+    out = with_node_values(out, "dst_id", own.withColumnRenamed("inverse", "dst_inverse"), ["dst_inverse"], "ending")
     return out.select(*edges.columns, (F.coalesce("src_inverse", F.lit(0.0)) * F.coalesce("dst_inverse", F.lit(0.0))).alias("weight"))
 
 

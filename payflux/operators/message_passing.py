@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from payflux.functions.hubs import with_node_values
 from payflux.functions.numbering import materialised
 from payflux.functions.vectors import activation, layer_norm
 from payflux.operators.graph import inverse_sqrt
@@ -75,15 +76,21 @@ def summed(messages: DataFrame, width: int) -> DataFrame:
     return sums.select("node_id", F.array(*(f"s{k}" for k in range(width))).alias("h"))
 
 
+def _degrees(links: DataFrame) -> DataFrame:
+    """node_id, leaving and ending: how many links a node has at either end. A table."""
+    out, into = (links.groupBy(F.col(c).alias("node_id")).agg(F.count("*").alias(n)) for c, n in (("src_id", "leaving"), ("dst_id", "ending")))
+    return materialised(out.join(into, "node_id"))  # each node has its loop
+
+
 def convolved(states: DataFrame, edges: DataFrame, layer: Layer) -> DataFrame:
-    """Sum of neighbours' projections, weighted by the inverse roots of both in-degrees (loops counted)."""
+    """Sum of neighbours' projections, weighted by the inverse roots of both in-degrees (loops counted). Hubs' links are not brought together."""
     width = layer.w.shape[1]
-    z = materialised(projected(states, layer.w))
-    links = with_loops(edges, z)
-    inverse = links.groupBy(F.col("dst_id").alias("node_id")).agg(F.count("*").alias("degree")).select("node_id", inverse_sqrt(F.col("degree")).alias("d"))
-    source = z.join(inverse, "node_id").select(F.col("node_id").alias("src_id"), F.transform("h", lambda x: x * F.col("d")).alias("m"))
-    total = summed(links.join(source, "src_id").select(F.col("dst_id").alias("node_id"), "m"), width)
-    return finished(total.join(inverse, "node_id").select("node_id", F.transform("h", lambda x: x * F.col("d")).alias("h")), layer)
+    z = projected(states, layer.w)
+    links = with_loops(edges, states)
+    known = _degrees(links).withColumn("d", inverse_sqrt(F.col("ending")))
+    source = materialised(z.join(known, "node_id").select("node_id", F.transform("h", lambda x: x * F.col("d")).alias("m"), "leaving", "d"))
+    total = summed(with_node_values(links, "src_id", source, ["m"], "leaving").select(F.col("dst_id").alias("node_id"), "m"), width)
+    return finished(total.join(source, "node_id").select("node_id", F.transform("h", lambda x: x * F.col("d")).alias("h")), layer)
 
 
 def _dots(h: Column, a: np.ndarray, head: int) -> Column:
@@ -92,19 +99,21 @@ def _dots(h: Column, a: np.ndarray, head: int) -> Column:
 
 
 def coefficients(z: DataFrame, edges: DataFrame, layer: Layer, slope: float = 0.2) -> DataFrame:
-    """src_id, dst_id and alpha (one for each head): attention, a softmax over the edges into a node. z: projected states.
+    """src_id, dst_id and alpha (one for each head): attention, a softmax over the edges into a node. z: projected states, a table.
 
-    The greatest logit is subtracted first. Normalisers are grouped and joined, so that a hub's edges need not meet in one task.
+    The greatest logit is subtracted first. Logits, maxima and normalisers of hubs are broadcast; sums and maxima are partial before
+    they are shuffled, so a hub's edges need not meet in one task.
     """
+    links = with_loops(edges, z)
     logits = z.select("node_id", *(F.array(*(_dots(F.col("h"), a, k) for k in range(layer.heads))).alias(n) for n, a in (("l_src", layer.a_src), ("l_dst", layer.a_dst))))
-    s = logits.select(F.col("node_id").alias("src_id"), "l_src")
-    d = logits.select(F.col("node_id").alias("dst_id"), "l_dst")
+    known = materialised(logits.join(_degrees(links), "node_id"))
     leaky = activation("leaky_relu")
-    e = with_loops(edges, z).join(s, "src_id").join(d, "dst_id").select("src_id", "dst_id", F.zip_with("l_src", "l_dst", lambda a, b: leaky(a + b, slope)).alias("e"))
-    top = e.groupBy("dst_id").agg(F.array(*(F.max(F.col("e")[k]) for k in range(layer.heads))).alias("top"))
-    e = e.join(top, "dst_id").select("src_id", "dst_id", F.zip_with("e", "top", lambda a, b: F.exp(a - b)).alias("e"))
-    total = e.groupBy("dst_id").agg(F.array(*(F.sum(F.col("e")[k]) for k in range(layer.heads))).alias("total"))
-    return e.join(total, "dst_id").select("src_id", "dst_id", F.zip_with("e", "total", lambda a, b: a / b).alias("alpha"))
+    e = with_node_values(with_node_values(links, "src_id", known, ["l_src"], "leaving"), "dst_id", known, ["l_dst"], "ending")
+    e = materialised(e.select("src_id", "dst_id", F.zip_with("l_src", "l_dst", lambda a, b: leaky(a + b, slope)).alias("e")))
+    top = materialised(e.groupBy("dst_id").agg(F.count("*").alias("ending"), F.array(*(F.max(F.col("e")[k]) for k in range(layer.heads))).alias("top")))
+    e = with_node_values(e, "dst_id", top, ["top"], "ending", "dst_id").select("src_id", "dst_id", F.zip_with("e", "top", lambda a, b: F.exp(a - b)).alias("e"))
+    total = materialised(e.groupBy("dst_id").agg(F.count("*").alias("ending"), F.array(*(F.sum(F.col("e")[k]) for k in range(layer.heads))).alias("total")))
+    return with_node_values(e, "dst_id", total, ["total"], "ending", "dst_id").select("src_id", "dst_id", F.zip_with("e", "total", lambda a, b: a / b).alias("alpha"))
 
 
 def attended(states: DataFrame, edges: DataFrame, layer: Layer, slope: float = 0.2) -> DataFrame:
@@ -112,8 +121,9 @@ def attended(states: DataFrame, edges: DataFrame, layer: Layer, slope: float = 0
     width, heads = layer.w.shape[1], layer.heads
     out = width // heads
     z = materialised(projected(states, layer.w))
-    source = z.select(F.col("node_id").alias("src_id"), F.col("h").alias("z"))
-    weighed = coefficients(z, edges, layer, slope).join(source, "src_id")
+    leaving = with_loops(edges, z).groupBy(F.col("src_id").alias("node_id")).agg(F.count("*").alias("leaving"))
+    source = materialised(z.join(leaving, "node_id").select("node_id", F.col("h").alias("z"), "leaving"))
+    weighed = with_node_values(coefficients(z, edges, layer, slope), "src_id", source, ["z"], "leaving")
     m = F.transform("z", lambda x, i: x * F.get(F.col("alpha"), F.floor(i / out).cast("int")))
     total = summed(weighed.select(F.col("dst_id").alias("node_id"), m.alias("m")), width)
     if not layer.concat and heads > 1:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from payflux.config import COLUMNS, PreprocessConfig
+from payflux.functions import quantiles as Q
 from payflux.functions.quantiles import quantiles
 from payflux.operators import anomalies as A
 from payflux.operators import edges as E
@@ -166,3 +167,22 @@ def test_quantiles_of_groups(spark):
     rows = [(k, float(i * i % 37)) for k, n in (("a", 300), ("b", 1), ("c", 40)) for i in range(n)] + [("d", None)]
     got = {r["k"]: list(r["q"]) for r in quantiles(spark.createDataFrame(rows, "k string, v double"), "v", (0.5, 0.95), ("k",)).collect()}
     assert got == {k: pytest.approx(list(np.quantile([v for g, v in rows if g == k], (0.5, 0.95)))) for k in "abc"}
+
+
+@pytest.mark.parametrize(("parts", "few"), [(4096, 1 << 16), (2, 1), (5, 7)])
+def test_quantiles_are_narrowed(spark, monkeypatch, parts, few):
+    """The same values however finely ranges are cut; infinities stand at the ends, NaN behind them."""
+    monkeypatch.setattr(Q, "PARTS", parts)
+    monkeypatch.setattr(Q, "FEW", few)
+    rng = np.random.default_rng(2)
+    values = [*rng.standard_normal(60), *[1e308, -1e308, 5e-324, 0.0, -0.0, 0.0], *[3.25] * 20, float("inf"), float("-inf"), float("-inf")]
+    at = tuple(float(k) / (len(values) - 1) for k in range(len(values)))
+    df = spark.createDataFrame([(float(v), "a") for v in values] + [(float("nan"), "b"), (1.0, "b"), (None, "c")], "v double, k string").repartition(3)
+    got = {r["k"]: list(r["q"]) for r in quantiles(df, "v", at, ("k",)).collect()}
+    assert got.keys() == {"a", "b"} and got["b"][0] == 1.0 and np.isnan(got["b"][-1])
+    np.testing.assert_allclose(got["a"], np.sort(np.array(values)), rtol=1e-6)  # shares of ranks are rounded
+
+
+def test_quantiles_refuse_many_groups(spark):
+    with pytest.raises(ValueError, match="groups"):
+        quantiles(spark.range(300).selectExpr("id", "id as v"), "v", (0.5,), ("id",))
