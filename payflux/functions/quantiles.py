@@ -46,7 +46,7 @@ def _part(r: Range, x: Column) -> Column:
 
 def _narrowed(rows: DataFrame, ranges: list[Range]) -> list[Range]:
     at = _member(ranges, lambda r, x: (_part(r, x).alias("part"),))
-    counts = rows.select("x", at.alias("at")).where("at is not null").groupBy("at.i", "at.part").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+    counts = rows.select("x", "times", at.alias("at")).where("at is not null").groupBy("at.i", "at.part").agg(F.sum("times").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
     parts: dict[int, list] = {}
     for c in counts.collect():
         parts.setdefault(c["i"], []).append((c["part"], c["n"], c["low"], c["high"]))
@@ -63,7 +63,7 @@ def _narrowed(rows: DataFrame, ranges: list[Range]) -> list[Range]:
 def _ranked(rows: DataFrame, ranges: list[Range]) -> dict[tuple[int, int], float]:
     if not ranges:
         return {}
-    counts = rows.select("x", _member(ranges).alias("at")).where("at is not null").groupBy("at.i", "x").agg(F.count("*").alias("n"))
+    counts = rows.select("x", "times", _member(ranges).alias("at")).where("at is not null").groupBy("at.i", "x").agg(F.sum("times").alias("n"))
     # FEW rows of a range at most
     placed = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("i").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
     start = F.col("upto") - F.col("n")
@@ -75,25 +75,30 @@ def _ranked(rows: DataFrame, ranges: list[Range]) -> dict[tuple[int, int], float
     return out
 
 
-def quantiles(df: DataFrame, column: str, at: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
+def quantiles(df: DataFrame, column: str, at: tuple[float, ...], by: tuple[str, ...] = (), times: str | None = None) -> DataFrame:
     """by and q: the quantiles of column's values at these shares, interpolated between the two nearest; null of no values.
 
+    times: a column of how often a row counts (1 or more).
+
     df is read at once, and should be cheap to read again: once for counts and ends, once each time that ranges are
     narrowed to one of 4,096 parts (by the counts of all parts, of all groups and ranks together), and once to rank what is left,
     65,536 rows of a range at most. So no task gets many values, whatever the rows; copies of one value are one.
     Infinities come first and last, after them NaN. Without groups there is always one row, with groups one for each that has values; there may be 256 groups.
     """
     spark, infinity = df.sparkSession, float("inf")
-    rows = df.select(*by, F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull())
+    often = F.col(times).cast("long") if times else F.lit(1).cast("long")
+    rows = df.select(*by, F.col(column).cast("double").alias("x"), often.alias("times")).where(F.col("x").isNotNull())
     finite = F.when(~F.isnan("x") & (F.abs(F.col("x")) < infinity), F.col("x"))
+    counted = lambda where: F.coalesce(F.sum(F.when(where, F.col("times"))), F.lit(0))
     stats = rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.count(finite).alias("m"), F.min(finite).alias("low"), F.max(finite).alias("high"), F.count_if(F.col("x") == -infinity).alias("least"), F.count_if(F.col("x") == infinity).alias("most")
+        counted(F.lit(True)).alias("n"), counted(finite.isNotNull()).alias("m"), F.min(finite).alias("low"), F.max(finite).alias("high"),
+        counted(F.col("x") == -infinity).alias("least"), counted(F.col("x") == infinity).alias("most"),
     )
     found = stats.limit(MOST_GROUPS + 1).collect()
     if len(found) > MOST_GROUPS:
         raise ValueError(f"more than {MOST_GROUPS} groups")
     number = F.coalesce(*(F.when(reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(g[c]) for c in by)), F.lit(i)) for i, g in enumerate(found))) if by and found else F.lit(0)
-    rows = rows.select(number.alias("group"), (F.col("x") + 0.0).alias("x"))  # -0.0 is 0.0
+    rows = rows.select(number.alias("group"), (F.col("x") + 0.0).alias("x"), "times")  # -0.0 is 0.0
 
     values: dict[tuple[int, int], float] = {}
     open_ = []

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payflux.config import MainConfig
+from payflux.functions.numbering import temporary_tables
 from payflux.operators import anomalies as A
 from payflux.operators import charts as V
 from payflux.operators.blocks import BlockGraph
@@ -34,6 +35,11 @@ def detect(
 
 def run(spark: SparkSession, config: MainConfig = MainConfig()) -> dict:
     """Trains on the graph under config.preprocessed_dir and writes scores, tables and a summary to a new directory."""
+    with temporary_tables(spark):
+        return _run(spark, config)
+
+
+def _run(spark: SparkSession, config: MainConfig) -> dict:
     graph = load_graph(spark, config.preprocessed_dir)
     edges = graph.edges.where(~F.col("is_loop"))
     model = training.build(config.model, len(graph.node_features.first()["features"]), config.seed)

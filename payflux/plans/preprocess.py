@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payflux.config import ColumnMap, PreprocessConfig
-from payflux.functions.numbering import materialised
+from payflux.functions.numbering import materialised, temporary_tables
 from payflux.operators import edges as E
 from payflux.operators import graph as G
 from payflux.operators import nodes as N
@@ -34,6 +34,11 @@ def build_graph(df: DataFrame, config: PreprocessConfig = PreprocessConfig()) ->
 
 def run(spark: SparkSession, df: DataFrame, config: PreprocessConfig = PreprocessConfig()) -> dict:
     """Builds and stores everything under config.output_dir; returns the report, which is stored as well."""
+    with temporary_tables(spark):
+        return _run(spark, df, config)
+
+
+def _run(spark: SparkSession, df: DataFrame, config: PreprocessConfig) -> dict:
     began = time.time()
     out, m = config.output_dir, config.columns
     parsed = E.parsed(df, config)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payflux.config import COLUMNS, ColumnMap, PreprocessConfig
-from payflux.functions.numbering import materialised
+from payflux.functions.numbering import materialised, scratch
 from payflux.functions.vectors import ACTIVATIONS, layer_norm
 from payflux.operators import anomalies as A
 from payflux.operators import charts as V
@@ -24,6 +24,7 @@ from payflux.operators import nodes as N
 from payflux.operators import profile as P
 from payflux.operators import statistics as S
 from payflux.operators.masking import masked
+from payflux.plans import fitted as Fitted
 from payflux.sources import driver as D
 from payflux.sources import transactions as T
 
@@ -85,6 +86,40 @@ def s2(spark, d):
     return rounded(T.first_rows(D.transactions(spark, d, number_rows=True), 500).select("edge_id", "uetr", "payment_amount"))
 
 
+def csv_of(spark: SparkSession, d: str) -> str:
+    """All transactions as CSV files in a scratch folder, in the order of their lines."""
+    path = scratch(spark, "csv")
+    T.write_csv(D.transactions(spark, d, number_rows=True, nulls=True), path, [F.col("edge_id")])
+    return path
+
+
+_AS_READ = "edge_id, uetr, mop, payment_channel, credit_amount, epoch_us(tds_dt) as storage_us"
+
+
+def as_read(df: DataFrame) -> DataFrame:
+    e = E.parsed(df)
+    return rounded(e.select("edge_id", "uetr", "mop", "payment_channel", "credit_amount", F.unix_micros("tds_dt").alias("storage_us")))
+
+
+@query("s1_transactions_of_csv", f"with {TXN} select * replace (round(credit_amount, 6) as credit_amount) from (select {_AS_READ} from tx)")
+def s1_csv(spark, d):
+    """Written as CSV and read again: numbers are those of the rows in the files."""
+    return as_read(T.read_csv(spark, csv_of(spark, d)))
+
+
+@query("s2_first_rows_of_csv", f"with {TXN} select * replace (round(credit_amount, 6) as credit_amount) from (select {_AS_READ} from tx) where edge_id < 500")
+def s2_csv(spark, d):
+    """The first rows of a CSV of several files."""
+    return as_read(T.read_csv(spark, csv_of(spark, d), 500))
+
+
+@query("f5_category_codes_of_csv", f"with {TXN} " + " union all ".join(f"select '{c}' as name, * from (select value, row_number() over (order by first_edge) - 1 as code from (select coalesce({c}, 'UNKNOWN') as value, min(edge_id) as first_edge from tx group by 1))" for c in M.categorical))
+def f5_csv(spark, d):
+    """Codes in the order in which categories first appear in the files."""
+    df = T.read_csv(spark, csv_of(spark, d)).select("edge_id", *M.categorical)
+    return _union([E.category_codes(df, c).select(F.lit(c).alias("name"), "value", "code") for c in M.categorical])
+
+
 @query("s3_column_by_index", f"with {TX0} select debit_bic_code from tx")
 def s3(spark, d):
     return T.column_by_index(D.transactions(spark, d), 2)
@@ -239,6 +274,64 @@ def f17(spark, d):
     return rounded(E.edge_features(materialised(D.transactions(spark, d, number_rows=True, nulls=True)))[0])
 
 
+# --- features by a stored fit ------------------------------------------------------------------
+
+#: Orders before it fit, those from it on are new.
+CUT = "1998-01-01"
+
+
+def halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    df = materialised(D.transactions(spark, d, number_rows=True, nulls=True))
+    return df.where(F.col("txn_dt") < CUT), df.where(F.col("txn_dt") >= CUT)
+
+
+def stored(spark: SparkSession, state: Fitted.Fitted) -> Fitted.Fitted:
+    """The state, written and read again."""
+    path = scratch(spark, "fit")
+    Fitted.save(state, path)
+    return Fitted.load(spark, path)
+
+
+def new_features_sql() -> str:
+    """Orders from CUT on, by moments, median and category counts of those before it."""
+    known = f"known as (select * from tx where txn_dt < '{CUT}'), later as (select * from tx where txn_dt >= '{CUT}')"
+    times = {f"{c}_{k}": v.format(c) for c in (M.event_time, M.storage_time) for k, v in _PARTS.items()}
+    plain = {c: f"coalesce({c}, 0)" for c in M.numeric} | times
+    delay = f"coalesce({_DELAY}, mid, 0)"
+    stats = ", ".join([*(f"avg({v}) as mean_{c}, stddev_pop({v}) as std_{c}" for c, v in plain.items()), f"avg({delay}) as mean_delay, stddev_pop({delay}) as std_delay, any_value(mid) as mid"])
+    sizes = ", ".join(f"(select count(distinct coalesce({c}, 'UNKNOWN')) from known) as size_{c}" for c in M.categorical)
+    fit_sql = f"mids as (select quantile_cont({_DELAY}, 0.5) as mid from known), stats as (select {stats} from known cross join mids), sizes as (select {sizes})"
+    scale = lambda x, c: f"({x} - mean_{c}) / (case when coalesce(std_{c}, 0) = 0 then 1 else std_{c} end)"
+    seen = {c: f"case when coalesce({c}, 'UNKNOWN') in (select distinct coalesce({c}, 'UNKNOWN') from known) then coalesce({c}, 'UNKNOWN') else 'UNKNOWN' end" for c in M.categorical}
+    values = f"named as (select *, {', '.join(f'{v} as v_{c}' for c, v in seen.items())} from later)"
+    parts = lambda c, i: unit_sql(repr(c), f"v_{c}", repr(str(i)))
+    vectors = [r(f"sqrt(6.0 / (size_{c} + 8)) * (2 * {parts(c, i)} - 1)", f"{c}_emb_{i}") for c in M.categorical for i in range(8)]
+    out = [r(scale(v, c), c) for c, v in plain.items() if c in M.numeric] + vectors + [r(scale(v, c), c) for c, v in times.items()] + [r(scale(delay, "delay"), "delay_scaled")]
+    return f"with {TXN}, {known}, {fit_sql}, {values} select edge_id, {', '.join(out)} from named cross join stats cross join sizes"
+
+
+@query("c4_features_of_new_transactions", new_features_sql())
+def c4(spark, d):
+    """Fitted on the orders of earlier years, stored, and applied to the later ones."""
+    earlier, later = halves(spark, d)
+    return rounded(Fitted.transformed(later, stored(spark, Fitted.fit(earlier)))[0])
+
+
+@query("c4_features_of_merged_fits", features_sql())
+def c4_merged(spark, d):
+    """Both halves fitted on their own and merged: the features are those of one fit of all."""
+    earlier, later = halves(spark, d)
+    state = stored(spark, Fitted.merged(Fitted.fit(earlier), Fitted.fit(later)))
+    return rounded(Fitted.transformed(earlier.unionByName(later), state)[0])
+
+
+@query("c6_codes_that_grow", f"with {TXN}, s as (select *, txn_dt >= '{CUT}' as late from tx) " + " union all ".join(f"select '{c}' as name, value, row_number() over (order by late, first_edge) - 1 as code from (select coalesce({c}, 'UNKNOWN') as value, min(late) as late, min(edge_id) filter (not late) as early_edge, coalesce(min(edge_id) filter (not late), min(edge_id)) as first_edge from s group by 1)" for c in M.categorical))
+def c6(spark, d):
+    """Codes of the earlier orders, with those of values that came later behind them."""
+    earlier, later = halves(spark, d)
+    return Fitted.merged(Fitted.fit(earlier), Fitted.fit(later)).categories
+
+
 # --- graph -----------------------------------------------------------------------------------
 
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from payflux.config import COLUMNS, ColumnMap, PreprocessConfig
-from payflux.functions.numbering import numbered
+from payflux.functions.numbering import numbered_as_read
 
 #: All text: inferred types would make one account two where one side has nulls.
 SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS])
@@ -16,16 +16,23 @@ SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS])
 def read_csv(spark: SparkSession, path: str | None, limit_rows: int | None = None, number_rows: bool = True) -> DataFrame:
     """Transactions of a CSV with a header, whatever the header's names; with edge_id if they are to be numbered.
 
-    Rows are numbered in the order of their contents, as Spark's rows have no other.
+    path: a file or a folder. Rows are numbered as they stand in the file, files in the order of their names.
     """
     if not path:
         raise ValueError("no path given")
     df = spark.read.schema(SCHEMA).option("header", True).option("enforceSchema", True).csv(path)
     if number_rows:
-        df = numbered(df, [F.col(c).asc_nulls_first() for c in COLUMNS], "edge_id")
+        df = numbered_as_read(df, "edge_id")
     return df if limit_rows is None else first_rows(df, limit_rows)
 
 
+def write_csv(df: DataFrame, path: str, order: list[Column] | None = None) -> None:
+    """Writes transactions as CSV with a header, in this order through all files."""
+    times = {c: F.date_format(F.col(c).cast("timestamp"), "yyyy-MM-dd HH:mm:ss") for c, k in df.dtypes if k.startswith(("timestamp", "date"))}
+    rows = df.withColumns(times) if times else df
+    (rows.orderBy(*order) if order else rows).select(*(F.col(c).cast("string") for c in COLUMNS)).write.option("header", True).csv(path)
+
+
 def first_rows(df: DataFrame, n: int) -> DataFrame:
     """The first n rows by edge_id (any n without one)."""
     return df.where(F.col("edge_id") < n) if "edge_id" in df.columns else df.limit(n)

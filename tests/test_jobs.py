@@ -43,6 +43,46 @@ def test_read(spark, path):
     assert profile.dtypes(df)["col_0_uetr"] == "string"
 
 
+def test_rows_are_numbered_as_they_stand_in_files(spark, tmp_path):
+    """Many splits of several files, packed into tasks in another order; quoted and empty values."""
+    folder, rows = tmp_path / "many", []
+    folder.mkdir()
+    for k, n in enumerate((700, 3, 0, 2500)):
+        with (folder / f"part-{k}.csv").open("w", newline="") as f:
+            w = csv.writer(f)
+            w.writerow([f"h{i}" for i in range(16)])
+            for _ in range(n):
+                rows.append(f"r{(len(rows) * 7919) % 100_003}")
+                w.writerow([rows[-1], 'a "quoted", value', *[""] * 14])
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        df = T.read_csv(spark, str(folder))
+        assert [r["uetr"] for r in df.orderBy("edge_id").collect()] == rows
+        assert sorted(r["edge_id"] for r in df.collect()) == list(range(len(rows)))
+        assert [r["uetr"] for r in T.read_csv(spark, str(folder), 702).orderBy("edge_id").collect()] == rows[:702]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_temporary_tables_go(spark):
+    from payflux.functions import numbering
+
+    def files(path):
+        return store.artifacts(spark, path.rsplit("/", 1)[0], (path.rsplit("/", 1)[1],)).popitem()[1]
+
+    with pytest.raises(RuntimeError, match="failed"), numbering.temporary_tables(spark):
+        paths = [numbering.materialised(spark.range(5)).inputFiles()[0].rsplit("/", 1)[0] for _ in range(2)]
+        with numbering.temporary_tables(spark):
+            inner = numbering.materialised(spark.range(5)).inputFiles()[0].rsplit("/", 1)[0]
+            assert files(inner)
+        assert files(inner) is None and all(files(p) for p in paths)
+        raise RuntimeError("failed")
+    assert [files(p) for p in paths] == [None, None]
+
+
 def test_numbered_is_gapless_and_ordered(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"))
     assert sorted((r["x"], r["n"]) for r in numbered(df, [F.col("x")], "n").collect()) == [(i, i) for i in range(1000)]
