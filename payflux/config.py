@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import time
 from dataclasses import dataclass, field
 
 #: The input's columns in the order of their positions.
@@ -34,7 +32,6 @@ class PreprocessConfig:
     embedding_dim: int = 8
     #: The first rows only, in the order of edge ids; None: all.
     limit_rows: int | None = None
-    seed: int = 42
     unknown: str = "UNKNOWN"
     #: What a missing account becomes; None drops the transaction.
     missing_account: str | None = "nan"
@@ -43,9 +40,6 @@ class PreprocessConfig:
     #: Category features as vectors drawn from hashes, or as codes.
     encode_categories: str = "embedding"
 
-    def output_path(self, name: str) -> str:
-        return os.path.join(self.output_dir, name)
-
 
 @dataclass(frozen=True)
 class ModelConfig:
@@ -111,13 +105,3 @@ class MainConfig:
     #: Where training keeps its last epochs and goes on from; None: nowhere.
     checkpoints: str | None = None
     seed: int = 42
-
-    def preprocessed_path(self, name: str) -> str:
-        return os.path.join(self.preprocessed_dir, name)
-
-    def output_path(self, name: str) -> str:
-        return os.path.join(self.output_dir, name)
-
-    def run_dir(self) -> str:
-        """A name for one run's results."""
-        return os.path.join(self.output_dir, f"{self.model.encoder_type}_{self.model.decoder_type}_{time.strftime('%Y%m%d_%H%M%S')}")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,7 +60,3 @@ def hash_unit(*parts: Column | str | int) -> Column:
 
 def inverse_sqrt(degree: Column) -> Column:
     return F.when(degree > 0, 1 / F.sqrt(degree.cast("double"))).otherwise(F.lit(0.0))
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

@@ -22,10 +22,6 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.greatest(norm(a), F.lit(LEAST_NORM)) * F.greatest(norm(b), F.lit(LEAST_NORM)))
 
 
-def scaled_by(a: Column, factor: Column) -> Column:
-    return F.transform(a, lambda x: x * factor)
-
-
 def mean_of(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(a)
 

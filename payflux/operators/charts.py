@@ -1,8 +1,11 @@
-"""The tables behind the usual charts: histograms, degree against score, ranks, two principal axes."""
+"""The tables behind the usual charts: histograms, degree against score, ranks, places on two principal axes."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,6 +13,7 @@ from pyspark.sql.window import Window
 from payflux.functions.numbering import materialised
 from payflux.functions.quantiles import quantiles, with_quantiles
 from payflux.operators.anomalies import top
+from payflux.operators.message_passing import lists, matrix
 
 
 def histogram(df: DataFrame, column: str = "score", bins: int = 50) -> DataFrame:
@@ -47,16 +51,42 @@ def percentiles(scores: DataFrame, at: tuple[float, ...] = (50, 75, 90, 95, 99))
     return row.select(F.inline(F.arrays_zip(F.array(*(F.lit(float(p)) for p in at)).alias("p"), F.col("q").alias("score"))))
 
 
-def two_axes(embeddings: DataFrame, sample: int = 3000, seed: int = 42, key: str = "node_id", column: str = "h") -> DataFrame:
-    """key, x and y of at most `sample` nodes drawn by hash: places on the two leading principal axes of the sample."""
-    spark = embeddings.sparkSession
-    rows = embeddings.orderBy(F.xxhash64(F.lit(seed), key), key).limit(sample).select(key, column).collect()
-    if not rows:
-        return spark.createDataFrame([], f"{key} bigint, x double, y double")
-    m = np.array([r[1] for r in rows], np.float64)
-    m -= m.mean(axis=0)
-    _, _, axes = np.linalg.svd(m, full_matrices=False)
-    signs = np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(axis=1)])
-    xy = np.zeros((len(m), 2))
-    xy[:, : min(2, len(axes))] = m @ (axes * signs[:, None])[:2].T
-    return spark.createDataFrame([(int(r[0]), float(a), float(b)) for r, (a, b) in zip(rows, xy, strict=True)], f"{key} bigint, x double, y double")
+def two_axes(embeddings: DataFrame, key: str = "node_id", column: str = "h") -> DataFrame:
+    """key, x and y of every node: its place on the two leading principal axes of all nodes. Vectors with a null are left out.
+
+    Each task sums its vectors and their products; the driver gets sums whose size is that of one product, whatever the
+    nodes, and places are worked out where the vectors are. An axis points to where its greatest component is positive.
+    """
+    rows = embeddings.select(F.col(key).cast("long").alias("key"), F.col(column).cast("array<double>").alias("v"))
+    rows = rows.where(F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull()))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: np.ndarray | None = None
+        for batch in batches:
+            if batch.num_rows:
+                m = matrix(batch.column(0))
+                m = np.concatenate([np.ones((len(m), 1)), m], axis=1)  # counts and sums beside the products
+                total = m.T @ m if total is None else total + m.T @ m
+        if total is not None:
+            n = total.shape[0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), lists(total)], names=["i", "v"])
+
+    parts = rows.select("v").mapInArrow(summed, "i int, v array<double>").select("i", F.posexplode("v").alias("j", "x"))
+    sums = parts.groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
+    width = 1 + max((r["i"] for r in sums), default=0)
+    gram = np.zeros((width, width))
+    for r in sums:
+        gram[r["i"], r["j"]] = r["x"]
+    n, mean = max(gram[0, 0], 1.0), gram[0, 1:] / max(gram[0, 0], 1.0)
+    _, axes = np.linalg.eigh(gram[1:, 1:] - n * np.outer(mean, mean)) if width > 1 else (None, np.zeros((0, 0)))
+    axes = axes[:, ::-1][:, :2]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])]) if axes.size else np.zeros((width - 1, 0))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xy = np.zeros((batch.num_rows, 2))
+            if batch.num_rows:
+                xy[:, : axes.shape[1]] = (matrix(batch.column(1)) - mean) @ axes
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(xy[:, 0]), pa.array(xy[:, 1])], names=["key", "x", "y"])
+
+    return rows.mapInArrow(placed, "key bigint, x double, y double").withColumnRenamed("key", key)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -162,7 +160,3 @@ def edge_features(df: DataFrame, config: PreprocessConfig = PreprocessConfig())
 def feature_array(df: DataFrame, names: list[str], key: str = "edge_id") -> DataFrame:
     """key and features: the vector that the model takes."""
     return df.select(key, (F.array(*names) if names else F.array(F.lit(0.0))).alias("features"))
-
-
-def xavier_bound(categories: int, dim: int = 8) -> float:
-    return math.sqrt(6 / (categories + dim))

@@ -15,7 +15,7 @@ from payflux.operators import anomalies as A
 from payflux.operators import charts as V
 from payflux.operators.blocks import BlockGraph
 from payflux.plans import training
-from payflux.sources.store import load_graph, load_json, save_bytes, save_json, save_tables
+from payflux.sources.store import load_graph, load_json, next_run, save_bytes, save_json, save_tables
 
 
 def detect(
@@ -45,7 +45,7 @@ def _run(spark: SparkSession, config: MainConfig) -> dict:
     model = training.build(config.model, len(graph.node_features.first()["features"]), config.seed)
     blocks = training.graph_for(model, graph.node_features, edges)
     history = training.fit(model, graph.node_features, edges, config.train, config.seed, config.checkpoints, blocks)
-    out = config.run_dir()
+    out = next_run(spark, config.output_dir)
     node_scores, edge_scores, text = detect(model, graph.node_features, edges, config, graph=blocks)
     p = config.anomaly.threshold_percentile
     save_tables({"node_scores": node_scores, "edge_scores": edge_scores, "embeddings": training.embeddings(model, graph.node_features, edges, blocks)}, out)
@@ -62,7 +62,7 @@ def _run(spark: SparkSession, config: MainConfig) -> dict:
     save_bytes(spark, weights.getvalue(), f"{out}/model.npz")
     summary = A.summary(own, scores, p).first().asDict() | {
         "config": asdict(config), "parameters": training.parameters(model), "epochs": len(history), "report": text,
-        "top": [r.asDict() for r in A.top(scores, 100).collect()], "preprocessing": load_json(spark, config.preprocessed_path("report")) is not None,
+        "top": [r.asDict() for r in A.top(scores, 100).collect()], "preprocessing": load_json(spark, f"{config.preprocessed_dir}/report") is not None,
     }
     save_json(spark, summary, f"{out}/summary")
     return summary | {"output": out}
@@ -79,11 +79,12 @@ def main(args: list[str] | None = None) -> dict:
     p.add_argument("--hidden", type=int, default=d.model.hidden_channels)
     p.add_argument("--out", type=int, default=d.model.out_channels)
     p.add_argument("--percentile", type=float, default=d.anomaly.threshold_percentile)
+    p.add_argument("--checkpoints", default=d.checkpoints, help="a folder that training goes on from")
     p.add_argument("--seed", type=int, default=d.seed)
     a = p.parse_args(args)
     config = MainConfig(
         replace(d.model, encoder_type=a.encoder, decoder_type=a.decoder, hidden_channels=a.hidden, out_channels=a.out),
-        replace(d.train, epochs=a.epochs), replace(d.anomaly, threshold_percentile=a.percentile), a.input, a.output, a.seed,
+        replace(d.train, epochs=a.epochs), replace(d.anomaly, threshold_percentile=a.percentile), a.input, a.output, a.checkpoints, a.seed,
     )
     return run(SparkSession.builder.appName("detect").getOrCreate(), config)
 

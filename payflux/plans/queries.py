@@ -567,13 +567,19 @@ def m17(spark, d):
     return rounded(L.loss(pairs(spark, d), "x", "y", "sce", alpha=L.SCE_MODULE_ALPHA))
 
 
-_ACT = {"relu": "greatest(v, 0)", "leaky_relu": "case when v >= 0 then v else 0.2 * v end", "prelu": "case when v >= 0 then v else 0.25 * v end", "elu": "case when v >= 0 then v else exp(v) - 1 end", "sigmoid": "1 / (1 + exp(-v))", "tanh": "(exp(2 * v) - 1) / (exp(2 * v) + 1)", "none": "v"}
+#: The normal distribution function as activations have it, by a series.
+_T = "1 / (1 + 0.3275911 * (abs(v) / sqrt(2)))"
+_ERF = f"(1 - {_T} * (0.254829592 + {_T} * (-0.284496736 + {_T} * (1.421413741 + {_T} * (-1.453152027 + {_T} * 1.061405429)))) * exp(-(abs(v) / sqrt(2)) * (abs(v) / sqrt(2))))"
+_ACT = {
+    "relu": "greatest(v, 0)", "leaky_relu": "case when v >= 0 then v else 0.2 * v end", "prelu": "case when v >= 0 then v else 0.25 * v end", "elu": "case when v >= 0 then v else exp(v) - 1 end",
+    "sigmoid": "1 / (1 + exp(-v))", "tanh": "(exp(2 * v) - 1) / (exp(2 * v) + 1)", "none": "v", "gelu": f"v * case when v >= 0 then 0.5 * (1 + {_ERF}) else 0.5 * (1 - {_ERF}) end",
+}
 
 
-@query("m6_activations", f"select vec_id, {', '.join(r(a, k) for k, a in _ACT.items())} from (select vec_id, embedding[1]::double * 10 as v from embeddings)")
+@query("m6_activations", f"select vec_id, i, {', '.join(r(a, k) for k, a in _ACT.items())} from (select vec_id, unnest(embedding)::double * 10 as v, unnest(range(len(embedding))) as i from embeddings)")
 def m6(spark, d):
-    v = F.col("embedding")[0].cast("double") * 10
-    return rounded(D.table(spark, d, "embeddings").select("vec_id", *(ACTIVATIONS[k](v).alias(k) for k in _ACT)))
+    long = D.table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v").cast("double") * 10)
+    return rounded(long.select("vec_id", "i", *(ACTIVATIONS[k](F.col("v")).alias(k) for k in _ACT)))
 
 
 @query("m7_layer_norm", "with v as (select vec_id, unnest(embedding)::double as x, unnest(range(len(embedding))) as i from embeddings) select vec_id, i, round((x - avg(x) over (partition by vec_id)) / sqrt(var_pop(x) over (partition by vec_id) + 1e-5), 6) as x from v")
@@ -619,24 +625,30 @@ def m1(spark, d):
     return rounded(out.select("node_id", F.col("h")[0].alias("h0"), F.col("h")[1].alias("h1")))
 
 
-@query("m3_linear_decoder", "select vec_id as node_id, round(embedding[1]::double * 0.5 + embedding[2]::double * 0.75 + 0.1, 6) as h0, round(embedding[1]::double * -0.25 + embedding[2]::double - 0.2, 6) as h1 from embeddings")
+#: A decoder of whole vectors, of 64 components, to five.
+_DECODER, _DECODER_BIAS = np.random.default_rng(3).uniform(-1, 1, (64, 5)), np.array([0.1, -0.2, 0.0, 0.5, -1.0])
+_DECODED = ", ".join(r(f"list_dot_product(list_transform(embedding, lambda v: v::double), [{', '.join(repr(float(w)) for w in _DECODER[:, j])}]) + ({float(_DECODER_BIAS[j])!r})", f"h{j}") for j in range(5))
+
+
+@query("m3_linear_decoder", f"select vec_id as node_id, {_DECODED} from embeddings")
 def m3(spark, d):
-    states = D.table(spark, d, "embeddings").select(F.col("vec_id").alias("node_id"), F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double")).alias("h"))
-    out = MP.projected(states, _W, np.array([0.1, -0.2]))
-    return rounded(out.select("node_id", F.col("h")[0].alias("h0"), F.col("h")[1].alias("h1")))
+    states = D.table(spark, d, "embeddings").select(F.col("vec_id").alias("node_id"), F.transform("embedding", lambda x: x.cast("double")).alias("h"))
+    out = MP.projected(states, _DECODER, _DECODER_BIAS)
+    return rounded(out.select("node_id", *(F.col("h")[j].alias(f"h{j}") for j in range(5))))
 
 
 def _order_sql(salt: str) -> str:
     return f"row_number() over (order by {unit_sql(repr(salt), repr('42'), 'vec_id')}, vec_id) - 1"
 
 
-@query("m8_masking", f"""with v as (select vec_id, embedding[1]::double as x, {_order_sql('mask')} as place, {_order_sql('noise')} as giver, count(*) over () as n from embeddings),
+@query("m8_masking", f"""with v as (select vec_id, list_transform(embedding, lambda y: y::double) as x, {_order_sql('mask')} as place, {_order_sql('noise')} as giver, count(*) over () as n from embeddings),
   s as (select *, floor(0.5 * n) as m, floor(0.1 * floor(0.5 * n)) as noise from v),
-  k as (select *, case when place >= m then 'keep' when place < floor(0.9 * m) then 'token' when place >= m - noise then 'noise' else 'same' end as kind from s)
-  select a.vec_id as node_id, a.kind, case a.kind when 'token' then 0 when 'noise' then b.x else a.x end as first from k a left join k b on a.kind = 'noise' and b.giver = a.place - (a.m - a.noise)""")
+  k as (select *, case when place >= m then 'keep' when place < floor(0.9 * m) then 'token' when place >= m - noise then 'noise' else 'same' end as kind from s),
+  m as (select a.vec_id as node_id, a.kind, case a.kind when 'token' then list_transform(a.x, lambda y: 0::double) when 'noise' then b.x else a.x end as x from k a left join k b on a.kind = 'noise' and b.giver = a.place - (a.m - a.noise))
+  select node_id, kind, unnest(range(len(x))) as i, unnest(x) as x from m""")
 def m8(spark, d):
     features = D.table(spark, d, "embeddings").select(F.col("vec_id").alias("node_id"), F.transform("embedding", lambda x: x.cast("double")).alias("features"))
-    return masked(features).select("node_id", "kind", F.col("masked")[0].alias("first"))
+    return masked(features).select("node_id", "kind", F.posexplode("masked").alias("i", "x")).withColumn("i", F.col("i").cast("long"))
 
 
 # --- anomalies: on a score that SQL can compute: 1 - cosine of what an account sends and receives, by nation too ---

@@ -104,7 +104,7 @@ def p9(spark, d):
     """The whole preprocessing of all transactions, its report, and the gates over what it stored."""
     config = PreprocessConfig(output_dir=scratch(spark, "preprocessed"))
     preprocess.run(spark, D.transactions(spark, d, number_rows=True, nulls=True), config)
-    report = store.load_json(spark, config.output_path("report"))
+    report = store.load_json(spark, f"{config.output_dir}/report")
     rows = [*preprocess.check(spark, config, report).items(), (f"nodes {report['statistics']['basic'][0]['nodes']}", True)]
     return spark.createDataFrame(rows, "name string, passed boolean")
 

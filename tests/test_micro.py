@@ -8,6 +8,7 @@ from payflux.config import COLUMNS, PreprocessConfig
 from payflux.functions import quantiles as Q
 from payflux.functions.quantiles import quantiles
 from payflux.operators import anomalies as A
+from payflux.operators import charts as V
 from payflux.operators import edges as E
 from payflux.operators import graph as G
 from payflux.operators import nodes as N
@@ -186,3 +187,18 @@ def test_quantiles_are_narrowed(spark, monkeypatch, parts, few):
 def test_quantiles_refuse_many_groups(spark):
     with pytest.raises(ValueError, match="groups"):
         quantiles(spark.range(300).selectExpr("id", "id as v"), "v", (0.5,), ("id",))
+
+
+def test_two_axes(spark):
+    """All nodes, on the axes that a decomposition of the whole matrix gives."""
+    rng = np.random.default_rng(4)
+    m = rng.standard_normal((300, 5)) * [5, 3, 1, 0.5, 0.1] + [9, 0, -2, 1, 1]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(900, None), (901, [None] * 5)], "node_id bigint, h array<double>").repartition(3)
+    got = {r["node_id"]: (r["x"], r["y"]) for r in V.two_axes(df).collect()}
+    centred = m - m.mean(axis=0)
+    _, _, axes = np.linalg.svd(centred, full_matrices=False)
+    axes = axes[:2] * np.sign(axes[:2][np.arange(2), np.abs(axes[:2]).argmax(axis=1)])[:, None]
+    np.testing.assert_allclose([got[i] for i in range(300)], centred @ axes.T, atol=1e-8)
+    assert len(got) == 300 and V.two_axes(df.limit(0)).count() == 0
+    one = V.two_axes(spark.createDataFrame([(1, [2.0])], "node_id bigint, h array<double>")).first()
+    assert (one["x"], one["y"]) == (0.0, 0.0)
