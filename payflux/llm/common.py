@@ -48,8 +48,14 @@ def place_sql(*of: str) -> str:
 
 
 def row_key(columns: Iterable[Column]) -> Column:
-    """md5 of the columns as text: rows of equal columns, and only they, have equal keys."""
-    return F.md5(F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("-")) for c in columns)).cast("binary"))
+    """md5 of the columns as text, each after its length: rows of equal columns, and only they, have equal keys. Null is a dash without a length."""
+    parts = (F.coalesce(F.concat(F.octet_length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-")) for c in columns)
+    return F.md5(F.concat_ws("|", *parts).cast("binary"))
+
+
+def row_key_sql(*columns: str) -> str:
+    parts = (f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')" for c in columns)
+    return f"md5(concat_ws('|', {', '.join(parts)}))"
 
 
 def told_apart(rows: DataFrame, key: str) -> DataFrame:

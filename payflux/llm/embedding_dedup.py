@@ -90,7 +90,7 @@ def substring_bits(difference: np.ndarray, m: int) -> np.ndarray:
 
 
 def geometry(samples: list[np.ndarray], models: list[Model], threshold: float) -> tuple[int, int]:
-    """Substrings to take, and the radius."""
+    """Substrings to take, and the radius; none and all bits, the exact way, if no number of substrings reaches RECALL."""
     parts = [np.zeros(1, np.uint64)]
     for x, model in zip(samples, models, strict=True):
         x = np.tile(x, (-(-PROBES // len(x)), 1))
@@ -99,8 +99,8 @@ def geometry(samples: list[np.ndarray], models: list[Model], threshold: float) -
     radius = min(BITS, int(np.bitwise_count(difference).max()) + 2)
     for m in SUBSTRINGS:
         if (substring_bits(difference, m).sum(axis=1) >= 2).mean() >= RECALL:
-            break
-    return m, radius
+            return m, radius
+    return 0, BITS
 
 
 def _coded(models: dict[int, Model]):

@@ -106,6 +106,8 @@ class FMIndex:
 
     def __init__(self, text: np.ndarray, sigma: int, owner: np.ndarray, length: int):
         """text: symbols from 0 to sigma - 1. owner: of each position. length: of the patterns whose least owner is asked for."""
+        if length >= DEPTH:
+            raise ValueError(f"patterns of {length} symbols; suffixes are sorted by {DEPTH}")
         n = len(text)
         order = suffix_order(text)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
@@ -152,8 +154,11 @@ class FMIndex:
         index at least twice (a sequence of the index itself once), and a row of what is matched.
 
         One pass backwards over all sequences at once: the match is one symbol longer, or is cut at its end until it can be.
+        Sequences must be shorter than DEPTH, to which suffixes are sorted.
         """
-        out, row = np.zeros(len(text), np.uint8), np.zeros(len(text), np.int64)
+        if len(lengths) and lengths.max() >= DEPTH:
+            raise ValueError(f"a sequence of {lengths.max()} symbols; suffixes are sorted by {DEPTH}")
+        out, row = np.zeros(len(text), np.int32), np.zeros(len(text), np.int64)
         low, high, size = np.zeros(len(starts), np.int64), np.full(len(starts), len(self.common) - 1), np.zeros(len(starts), np.int64)
         for t in range(int(lengths.max()) if len(lengths) else 0):
             lane = np.flatnonzero(lengths > t)

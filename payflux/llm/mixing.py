@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 
 from payflux.functions.names import unused
 from payflux.functions.numbering import materialised
-from payflux.llm.common import let, place, place_sql, row_key, told_apart, unit, word_count
+from payflux.llm.common import let, place, place_sql, row_key, row_key_sql, told_apart, unit, word_count
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -226,7 +226,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = f"""
 with keyed as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as size,
-    md5(concat_ws('|', coalesce(doc_id::varchar, '-'), coalesce(source, '-'), coalesce(text, '-'))) as k from documents),
+    {row_key_sql('doc_id', 'source', 'text')} as k from documents),
 docs as (select *, k || '|' || (row_number() over (partition by k) - 1) as id from keyed),
 sources as (
   select *, 2.0 * source_size as most, sum(source_size) over () as everything, [3.0, 1.0, 2.0][(row_number() over (order by source nulls last) - 1) % 3 + 1] as weight

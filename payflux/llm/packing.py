@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from payflux.functions.names import unused
 from payflux.functions.numbering import materialised
-from payflux.llm.common import partitions, place, place_sql, ranges, row_key, told_apart, with_sums_before, word_count
+from payflux.llm.common import partitions, place, place_sql, ranges, row_key, row_key_sql, told_apart, with_sums_before, word_count
 
 MAX_BUCKETS = 8
 TOKEN_BUDGET = 65_536
@@ -96,10 +96,10 @@ def histogram(rows: DataFrame, length: str, exact: int = EXACT) -> tuple[np.ndar
     return found["length"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
 
-def pack(df: DataFrame, length: Column | None = None, max_buckets: int = MAX_BUCKETS, budget: int = TOKEN_BUDGET, keep: list[str] | None = None) -> DataFrame:
+def pack(df: DataFrame, length: Column | None = None, max_buckets: int = MAX_BUCKETS, budget: int = TOKEN_BUDGET, keep: list[str] | None = None, exact: int = EXACT) -> DataFrame:
     """df (or its columns keep) with n_tokens, bucket_len, batch (counted inside the bucket), slot (place in the batch), batch_docs (most documents of a batch of this bucket) and over_budget.
 
-    length: tokens of a row; by default the words of `text`.
+    length: tokens of a row; by default the words of `text`. exact: different lengths that the driver takes one by one.
     """
     keep = df.columns if keep is None else keep
     # columns of the input have names of our own on the way
@@ -107,7 +107,7 @@ def pack(df: DataFrame, length: Column | None = None, max_buckets: int = MAX_BUC
     n = F.coalesce(length if length is not None else word_count(F.col("text")), F.lit(0)).cast("long")
     rows = df.select(*(F.col(c).alias(i) for c, i in zip(keep, inner, strict=True)), n.alias("n"), row_key(df[c] for c in df.columns).alias("id"))
     rows = materialised(told_apart(rows, "id"))
-    bounds = best_bounds(*histogram(rows, "n"), max_buckets) or [0]
+    bounds = best_bounds(*histogram(rows, "n", exact), max_buckets) or [0]
     chosen = F.lit(bounds[-1])
     for b in reversed(bounds[:-1]):
         chosen = F.when(F.col("n") <= b, F.lit(b)).otherwise(chosen)
@@ -145,7 +145,7 @@ def _bounds_sql() -> str:
 OP5_SQL = f"""
 with docs as (
   select doc_id, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as n,
-    md5(concat_ws('|', coalesce(doc_id::varchar, '-'), coalesce(text, '-'))) as k from documents),
+    {row_key_sql('doc_id', 'text')} as k from documents),
 lengths as (select row_number() over (order by n) - 1 as j, n as x, (sum(count(*)) over (order by n))::bigint as upto from docs group by n),
 {_bounds_sql()},
 ranked as (

@@ -12,7 +12,7 @@ text and label alone. Scoring reads whole texts of all documents in Arrow batche
 shuffle; the weights (under 100 KB) travel with the function.
 
 Null and empty texts get the score of an empty text. A null id is not held out. Labels that are
-null or neither 0 nor 1 are not learned from; without two classes the score is the share of 1
+null or neither 0 nor 1, and labelled rows whose text is null, are not learned from; without two classes the score is the share of 1
 (0.5 without labels). Several labels of an id are several examples. Equal rows get equal scores.
 An empty table gives no rows. Other columns are returned as they are.
 """

@@ -8,7 +8,7 @@ from payflux.llm.exact_dedup import OP13_SQL, op13_exact_dedup
 from payflux.llm.mixing import OP10_SQL, op10_mixing
 from payflux.llm.packing import OP5_SQL, op5_packing
 from payflux.llm.resampling import OP11_SQL, op11_importance_resampling
-from payflux.llm.sharding import op6_sharding
+from payflux.llm.sharding import OP6_SQL, op6_sharding
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -32,6 +32,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_chat_formatting": chat.OP3_SQL,
     "op4_substring_dedup": substring_dedup.OP4_SQL,
     "op5_packing": OP5_SQL,
+    "op6_sharding": OP6_SQL,
     "op7_nearest_neighbours": neighbours.OP7_SQL,
     "op9_ngram_jaccard": jaccard.OP9_SQL,
     "op10_mixing": OP10_SQL,

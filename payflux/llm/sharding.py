@@ -83,9 +83,36 @@ def write_shards(df: DataFrame, path: str, key: str = "doc_id", shards: int = SH
     out.repartitionByRange(n, "shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
+def _after_zeros(x: int, n: int) -> int:
+    """What n bytes of 0 make of the inner state x of a crc32."""
+    for _ in range(8 * n):
+        x = (x >> 1) ^ 0xEDB88320 if x & 1 else x >> 1
+    return x
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards of near equal bytes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("text_crc32"), (F.octet_length("text") + 1).cast("long").alias("bytes"))
     out = shard(docs, "doc_id", F.col("bytes"), keep=["doc_id", "text_crc32"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: Bytes that SQL takes at a time: the states of all pieces are found side by side, then put together one after the other.
+_PIECE = 64
+_MOVED = " ".join(f", case when state >> {i} & 1 = 1 then {_after_zeros(1 << i, _PIECE)} else 0 end)" for i in range(32))
+OP6_SQL = f"""
+with recursive docs as (select doc_id, row_number() over (order by doc_id) as row, hex(encode(coalesce(text, ''))) as bytes, strlen(coalesce(text, '')) as n from documents),
+table_ as (select i, list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) as v from range(256) t(i)),
+pieces as (select row, piece, case when piece = 0 then substr(bytes, 1, 2 * (n % {_PIECE})) else substr(bytes, 2 * (n % {_PIECE} + {_PIECE} * (piece - 1)) + 1, {2 * _PIECE}) end as bytes
+  from (select *, unnest(range(n // {_PIECE} + 1)) as piece from docs)),
+steps as (select row, piece, bytes, 0 as pos, case when piece = 0 then 4294967295 else 0 end::bigint as state from pieces
+  union all select row, piece, bytes, pos + 1, xor(state >> 8, v) from steps join table_ on i = xor(state & 255, ('0x' || substr(bytes, 2 * pos + 1, 2))::bigint) where 2 * pos < length(bytes)),
+states as (select row, piece, state as own from steps where 2 * pos = length(bytes)),
+folded as (select row, piece, own as state from states where piece = 0
+  union all select f.row, f.piece + 1, xor(s.own, {'xor(' * 32}0{_MOVED}) from folded f join states s on s.row = f.row and s.piece = f.piece + 1),
+hashed as (select row, xor(arg_max(state, piece), 4294967295) as text_crc32 from folded group by row),
+sums as (select *, n + 1 as size, sum(n + 1) over (order by row rows between unbounded preceding and current row) - n - 1 as before, sum(n + 1) over () as total from docs),
+placed as (select *, least(floor((2 * before + size)::double / (2.0::double * total) * {SHARDS}), {SHARDS - 1})::int as shard from sums)
+select doc_id, size::bigint as size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by row) - 1 as slot, null::int as grown_shard from placed join hashed using (row)
+"""

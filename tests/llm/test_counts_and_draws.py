@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from payflux.llm import collocations as C
+from payflux.llm import common, embedding_dedup, fm_index, mixing, packing
 from payflux.llm import exact_dedup as D
 from payflux.llm import resampling as R
 
@@ -189,3 +190,51 @@ def test_suffixes():
 def test_collocations_of_nothing(spark):
     assert C.collocations(docs(spark, [])).count() == 0
     assert C.collocations(docs(spark, [(1, None, None), (2, "a b", "en")])).count() == 0
+
+
+# --- keys, limits and ways out ---------------------------------------------------------------
+
+
+def test_row_keys_tell_rows_apart(spark):
+    rows = [(None, "-"), ("-", None), (None, None), ("-", "-"), ("a|b", "c"), ("a", "b|c"), ("1:a", ""), ("", "1:a"), ("", None), (None, ""), ("é", "x"), ("e", "x")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert df.select(common.row_key([F.col("a"), F.col("b")]).alias("k")).distinct().count() == len(rows)
+
+
+def test_draws_do_not_depend_on_order(spark):
+    """Two hundred ids, each with a null and with a dash: packed and mixed alike in either order of rows."""
+    rows = [(i, t, "en", "s") for i in range(200) for t in (None, "-")]
+    found = []
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id bigint, text string, lang string, source string").repartition(5 if order is rows else 2)
+        mix = mixing.plan(df, keep=["doc_id"]).select("doc_id", "size", "taken").collect()
+        packs = packing.pack(df, keep=["doc_id", "text"]).collect()
+        found.append((sorted(map(tuple, mix)), sorted(map(str, packs))))
+    assert found[0] == found[1]
+
+
+def test_index_refuses_what_it_is_not_sorted_for():
+    text = np.append(np.ones(300, np.int64), 0)
+    index = fm_index.FMIndex(text, 2, np.arange(301), 5)
+    matched, _ = index.matching(text, np.array([0]), np.array([31]))
+    assert matched[0] == 31
+    with pytest.raises(ValueError, match="suffixes"):
+        index.matching(text, np.array([0]), np.array([300]))
+    with pytest.raises(ValueError, match="suffixes"):
+        fm_index.FMIndex(text, 2, np.arange(301), 300)
+
+
+def test_geometry_falls_back_to_the_exact_way(monkeypatch):
+    x = np.random.default_rng(0).standard_normal((50, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = embedding_dedup.learned(x)
+    assert embedding_dedup.geometry([x], [model], 0.98)[0] in embedding_dedup.SUBSTRINGS
+    monkeypatch.setattr(embedding_dedup, "RECALL", 1.1)
+    assert embedding_dedup.geometry([x], [model], 0.98) == (0, embedding_dedup.BITS)
+
+
+def test_exact_is_a_parameter(spark):
+    """Few entries in the histogram cost padding, and bounds are still lengths of documents."""
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), (F.col("id") * 7 + 1024).alias("n"))
+    padding = [packing.pack(df, F.col("n"), exact=e).agg(F.sum(F.col("bucket_len") - F.col("n_tokens")).alias("p")).first()["p"] for e in (packing.EXACT, 10)]
+    assert padding[0] <= padding[1] < 1.02 * padding[0]
