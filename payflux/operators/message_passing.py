@@ -77,9 +77,9 @@ def summed(messages: DataFrame, width: int) -> DataFrame:
 
 
 def _degrees(links: DataFrame) -> DataFrame:
-    """node_id, leaving and ending: how many links a node has at either end. A table."""
+    """node_id, leaving and ending: how many links a node has at either end."""
     out, into = (links.groupBy(F.col(c).alias("node_id")).agg(F.count("*").alias(n)) for c, n in (("src_id", "leaving"), ("dst_id", "ending")))
-    return materialised(out.join(into, "node_id"))  # each node has its loop
+    return out.join(into, "node_id")  # each node has its loop
 
 
 def convolved(states: DataFrame, edges: DataFrame, layer: Layer) -> DataFrame:

@@ -31,9 +31,9 @@ def graph(spark, n=N, width=3):
 
 @pytest.fixture(scope="module")
 def parts(spark):
-    """The graph in one block, and in several blocks and cells, a hub's links in more than one."""
+    """The graph in one block; in several blocks and cells, a hub's links in more than one; and so finely that each link is a cell."""
     features, edges = graph(spark)
-    return B.partitioned(features, edges, 1, 1), B.partitioned(features, edges, 3, 5, block_bytes=100, most_links=3)
+    return B.partitioned(features, edges, 1, 1), B.partitioned(features, edges, 3, 5, block_bytes=100, most_links=3), B.partitioned(features, edges, 50, 5, block_bytes=100)
 
 
 def arrays(spark):
@@ -75,7 +75,8 @@ CONFIGS = [
 
 
 def test_graph_is_cut(spark, parts):
-    one, many = parts
+    one, many, fine = parts
+    assert fine.blocks > many.blocks and all(len(r["ids"]) // 8 < 5 for r in fine.table.where("kind = 'links'").collect())
     assert one.blocks == 1 and many.blocks > 2
     cells = [r for r in many.table.where("kind = 'links'").collect()]
     assert len(cells) > 9 and all(len(r["ids"]) // 8 <= 12 for r in cells)  # a square of links is dealt out by a hash
@@ -86,7 +87,7 @@ def test_graph_is_cut(spark, parts):
 
 
 @pytest.mark.parametrize("config", CONFIGS, ids=lambda c: f"{c.encoder_type}-{c.decoder_type}")
-@pytest.mark.parametrize("which", [0, 1])
+@pytest.mark.parametrize("which", [0, 1, 2])
 def test_gradients_agree_with_dense(spark, parts, config, which):
     x, src, dst = arrays(spark)
     model, draw = stirred(T.build(config, 3)), M.Draw(N, ((7, 0),), training=True)
@@ -125,7 +126,7 @@ def test_gradients_agree_with_differences(parts, option, kinds):
     """The loss and its gradients are the same in one block and in many; the latter agree with finite differences."""
     config = ModelConfig(*kinds, **(PLAIN | OPTIONS[option]))
     model, draw = stirred(T.build(config, 3)), M.Draw(N, ((3, 1),), training=True)
-    tables = [(p.table.toArrow(), p.blocks) for p in parts]
+    tables = [(p.table.toArrow(), p.blocks) for p in parts[:2]]
     (one, _), (value, grads) = (gradients_here(*t, model, draw) for t in tables)
     assert value == pytest.approx(one, rel=1e-9)
     rng = np.random.default_rng(5)
@@ -145,7 +146,7 @@ def test_spark_runs_the_same_stages(spark, parts):
     model = stirred(T.build(ModelConfig(norm="batchnorm", **(PLAIN | {"dropout": 0.2})), 3))
     draw = M.Draw(N, ((3, 1),), training=True)
     expected, grads = gradients_here(parts[0].table.toArrow(), parts[0].blocks, model, draw)
-    for part in parts:
+    for part in parts[:2]:
         spark.sparkContext.setJobGroup("pass", "one pass")
         value, got, moments = B.gradients(B.session_for(part), part, model, draw)
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
