@@ -25,11 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from payflux.llm.common import blocks_of, hashed_words, materialised, mix64, spans_of_words
+from payflux.llm.common import blocks_of, hashed_words, materialised, mix64, small_batches, spans_of_words
 
 LONGEST, LEAST, TOP, SCALE, SHARE = 4, 30, 2000, 2_000_000, 80
 #: Bytes of text in a shard; a longer text is a shard of its own.
 SHARD_BYTES = 2 << 20
+#: Texts that a task has in memory at a time, beside a shard.
+BATCH_ROWS = 1000
 #: Bits of a filter, 16 MB: fixed, whatever the corpus.
 FILTER_BITS = 1 << 27
 _BLOCK = 1 << 15
@@ -219,12 +221,13 @@ def collocations(
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first phrases. least: occurrences that a phrase must have."""
     frequent = F.col("f") >= least
-    one = materialised(counted(df, language, text, (1,), shard_bytes=shard_bytes))
+    with small_batches(df.sparkSession, BATCH_ROWS):
+        one = materialised(counted(df, language, text, (1,), shard_bytes=shard_bytes))
+        words = one.where(frequent)
+        known = filter_of(words, bits)
+        two = materialised(counted(df, language, text, (2,), known, shard_bytes=shard_bytes).where(frequent))
+        more = materialised(counted(df, language, text, tuple(range(3, LONGEST + 1)), known, filter_of(two, bits), shard_bytes).where(frequent))
     sizes = one.groupBy("lang").agg(F.sum("f").alias("n"))
-    words = one.where(frequent)
-    known = filter_of(words, bits)
-    two = materialised(counted(df, language, text, (2,), known, shard_bytes=shard_bytes).where(frequent))
-    more = materialised(counted(df, language, text, tuple(range(3, LONGEST + 1)), known, filter_of(two, bits), shard_bytes).where(frequent))
     longer = two.unionByName(more)
     phrases = longer.unionByName(words)
 
