@@ -29,7 +29,7 @@ from payflux.llm.common import blocks_of, hashed_words, materialised, mix64, sma
 
 LONGEST, LEAST, TOP, SCALE, SHARE = 4, 30, 2000, 2_000_000, 80
 #: Bytes of text in a shard; a longer text is a shard of its own.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Texts that a task has in memory at a time, beside a shard.
 BATCH_ROWS = 1000
 #: Bits of a filter, 16 MB: fixed, whatever the corpus.
