@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payflux.llm.common import blocks_of, hashed_words, mix64, partitions, ranges, spans_of_words, unused
+from payflux.llm.exact_dedup import BLOCK_BITS
 from payflux.llm.fm_index import FMIndex
 
 LENGTH, GRAM = 13, 5
@@ -46,6 +47,8 @@ NULL_ID = -(1 << 63)
 SHARD_WORDS = 2 << 20
 #: Hot anchors have so many segments at least; those with fewer than COUNTED in a block of texts are not counted there.
 HOT, COUNTED = 1024, 4
+#: Bytes that the filter of hot anchors may have, whatever the corpus, and its bits for each anchor that can be hot.
+MOST_FILTER, BITS_PER_HOT = 16 << 20, 64
 #: So many copies of a segment in a batch go to its shard; more of them in chunks of COPIES to other shards, each with the text.
 TOGETHER, COPIES = 64, 1024
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -192,24 +195,42 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def hot_anchors(rows: DataFrame, least: int = HOT) -> tuple[int, np.ndarray]:
-    """How many shards to deal to, and the anchors with more than a sixteenth of the mean segments of one (and least)."""
+    """How many shards to deal to, and a filter (see `in_filter`) of the anchors with more than a sixteenth of the mean segments of one (and least).
+
+    Spark puts the bits together, in blocks of 2**15. The filter grows with the shards up to MOST_FILTER bytes; beyond, more
+    anchors are cut that needn't be, which changes no result: all tasks cut the same ones.
+    """
     counts = rows.select("text").mapInArrow(_count, "anchor bigint, n bigint, words bigint").groupBy("anchor").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     counts = counts.persist()
     try:
         total = counts.where("anchor is null").first()
         shards = max(4 * partitions(rows.sparkSession), -(-(total["words"] if total else 0) // SHARD_WORDS))
         most = max(least, total["n"] // (16 * shards)) if total else least
-        # at most 16 for each shard
-        hot = [r["anchor"] for r in counts.where(F.col("anchor").isNotNull() & (F.col("n") > most)).select("anchor").collect()]
+        # at most 16 anchors for each shard
+        size = min(8 * MOST_FILTER, max(BLOCK_BITS, 1 << (16 * shards * BITS_PER_HOT - 1).bit_length()))
+        place = F.col("anchor").bitwiseAND(size - 1)
+        hot = counts.where(F.col("anchor").isNotNull() & (F.col("n") > most)).select(F.floor(place / BLOCK_BITS).alias("block"), place.bitwiseAND(BLOCK_BITS - 1).alias("bit"))
+        blocks = hot.groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bitmap")).toArrow()
     finally:
         counts.unpersist()
-    return shards, np.array(hot, np.int64).view(np.uint64)
+    found = np.zeros((size // BLOCK_BITS, BLOCK_BITS // 8), np.uint8)
+    for block, bitmap in zip(blocks.column("block").to_pylist(), blocks.column("bitmap").to_pylist(), strict=True):
+        found[block] = np.frombuffer(bitmap, np.uint8)
+    return shards, found.ravel() if blocks.num_rows else np.zeros(0, np.uint8)
+
+
+def in_filter(anchor: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which anchors have their bit, that of their low digits, in the filter; an empty one has none."""
+    if not len(bits):
+        return np.zeros(len(anchor), bool)
+    place = anchor & np.uint64(8 * len(bits) - 1)
+    return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
 def _segments(shards: int, hot: np.ndarray):
     """Segments of the shared anchors of a batch, dealt out to shards; of equal ones that of the least document.
 
-    Those of hot anchors are cut into windows.
+    Those of anchors in the filter of hot ones are cut into windows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +247,7 @@ def _segments(shards: int, hot: np.ndarray):
                 doc, anchor, low, high = doc[mine], anchor[mine], low[mine], high[mine] + LENGTH
                 if not len(doc):
                     continue
-                split = np.isin(anchor, hot)
+                split = in_filter(anchor, hot)
                 n = np.where(split, high - low - LENGTH + 1, 1)
                 low, high = ranges(low, n), np.where(np.repeat(split, n), ranges(low, n) + LENGTH, np.repeat(high, n))
                 doc, anchor, split = (np.repeat(x, n) for x in (doc, anchor, split))
