@@ -4,10 +4,11 @@ Each document is padded to the bound of its bucket. Dynamic programming over the
 the lengths of all documents chooses the bounds with the least padding; inside a bucket,
 batches are filled up to a budget of tokens, padding included.
 
-Only the histogram reaches the driver, an entry for each length that occurs. Where more than
-EXACT lengths occur, lengths of the same ten leading binary digits are one entry, which stands for
-its longest document. Either way each bound is the length of a document, and with exact entries
-the padding is the least there is.
+Only the histogram reaches the driver, an entry for each length that occurs. Documents of L different
+lengths hold L * (L - 1) / 2 tokens at least, so L is under the root of twice the tokens, and 1: at most
+100,000 entries for 5e9 tokens, 6 million (16 bytes each) for 1.6e13, some 100 TB. So nothing is rounded
+at any size, and the padding is the least there is with so many buckets. Who sets `exact` has lengths of the
+same ten leading binary digits as one entry, which stands for its longest document, beyond so many lengths.
 
 Rows stand in a bucket in the order of a hash of the rows themselves, so batches depend neither on
 how files are split nor on the cluster; equal rows are numbered, and it doesn't matter which is which.
@@ -30,8 +31,10 @@ from payflux.llm.common import partitions, place, place_sql, ranges, row_key, ro
 
 MAX_BUCKETS = 8
 TOKEN_BUDGET = 65_536
-#: Different lengths that the driver takes one by one, and leading binary digits that tell lengths apart beyond.
-EXACT, DIGITS = 1 << 18, 10
+#: Different lengths that the driver takes one by one: all; and leading binary digits that tell lengths apart beyond.
+EXACT, DIGITS = None, 10
+#: Choices of a bucket's first length that are weighed at a time.
+CHOICES = 1 << 20
 
 
 def leading(length: Column) -> Column:
@@ -41,7 +44,7 @@ def leading(length: Column) -> Column:
     return (F.floor(length / step) * step).cast("long")
 
 
-def best_bounds(lengths: np.ndarray, counts: np.ndarray, most: int) -> list[int]:
+def best_bounds(lengths: np.ndarray, counts: np.ndarray, most: int, choices_at_once: int = CHOICES) -> list[int]:
     """At most so many bounds, the last of them the greatest length, with the least sum of (bound of a document).
 
     lengths: ascending. best[j] is the least cost of the first j+1 lengths with k buckets; the last
@@ -62,13 +65,16 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, most: int) -> list[int]
             j = (low + high) // 2
             last = np.minimum(greatest, j)
             sizes = last - least + 1
-            edge = np.cumsum(sizes) - sizes
-            i, of = ranges(least, sizes), np.repeat(np.arange(len(j)), sizes)
-            cost = earlier[i] + lengths[j][of] * (total[j + 1][of] - total[i])
-            new[j] = np.minimum.reduceat(cost, edge)
-            first = np.flatnonzero(cost == new[j][of])
-            _, one = np.unique(of[first], return_index=True)
-            at[j] = i[first[one]]
+            part = np.cumsum(sizes) // choices_at_once
+            for a in np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])):
+                b = np.searchsorted(part, part[a], "right")
+                some, n_some = j[a:b], sizes[a:b]
+                i, of = ranges(least[a:b], n_some), np.repeat(np.arange(b - a), n_some)
+                cost = earlier[i] + lengths[some][of] * (total[some + 1][of] - total[i])
+                new[some] = np.minimum.reduceat(cost, np.cumsum(n_some) - n_some)
+                first = np.flatnonzero(cost == new[some][of])
+                _, one = np.unique(of[first], return_index=True)
+                at[some] = i[first[one]]
             low, high, least, greatest = (
                 np.concatenate(x) for x in ((low, j + 1), (j - 1, high), (least, at[j]), (at[j], greatest))
             )
@@ -87,19 +93,23 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, most: int) -> list[int]
     return bounds[::-1]
 
 
-def histogram(rows: DataFrame, length: str, exact: int = EXACT) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths and how many rows have them; of too many different ones, the longest of each entry."""
-    counts = materialised(rows.groupBy(F.col(length).alias("length")).agg(F.count("*").alias("n")))
-    if counts.count() > exact:
-        counts = counts.groupBy(leading(F.col("length"))).agg(F.max("length").alias("length"), F.sum("n").alias("n"))
-    found = counts.select("length", "n").toPandas().sort_values("length")
-    return found["length"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+def histogram(rows: DataFrame, length: str, exact: int | None = EXACT) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths, ascending, and how many rows have them; of more than `exact` different ones, if that is set, the longest of each entry."""
+    counts = rows.groupBy(F.col(length).alias("length")).agg(F.count("*").alias("n"))
+    if exact is not None:
+        counts = materialised(counts)
+        if counts.count() > exact:
+            counts = counts.groupBy(leading(F.col("length"))).agg(F.max("length").alias("length"), F.sum("n").alias("n"))
+    found = counts.select("length", "n").toArrow()
+    lengths, n = (found.column(c).to_numpy() for c in ("length", "n"))
+    order = np.argsort(lengths)
+    return lengths[order], n[order]
 
 
-def pack(df: DataFrame, length: Column | None = None, max_buckets: int = MAX_BUCKETS, budget: int = TOKEN_BUDGET, keep: list[str] | None = None, exact: int = EXACT) -> DataFrame:
+def pack(df: DataFrame, length: Column | None = None, max_buckets: int = MAX_BUCKETS, budget: int = TOKEN_BUDGET, keep: list[str] | None = None, exact: int | None = EXACT) -> DataFrame:
     """df (or its columns keep) with n_tokens, bucket_len, batch (counted inside the bucket), slot (place in the batch), batch_docs (most documents of a batch of this bucket) and over_budget.
 
-    length: tokens of a row; by default the words of `text`. exact: different lengths that the driver takes one by one.
+    length: tokens of a row; by default the words of `text`. exact: different lengths that the driver takes one by one; by default all.
     """
     keep = df.columns if keep is None else keep
     # columns of the input have names of our own on the way
