@@ -37,14 +37,18 @@ from pyspark.sql.window import Window
 from payflux.functions.numbering import materialised
 from payflux.llm.common import WORD, blocks_of, hashed_words, mix64, ranges, spans_of_words
 from payflux.llm.components import components
+from payflux.llm.exact_dedup import _bits, _block, blocks_for, with_doubt
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 MOST_HASHES = 256
 BLOCK = 512
 #: Columns of an incidence matrix at a time.
 COLUMNS = 2048
-#: Texts to compare that are broadcast to where the texts are read, at most; more of them are joined by a shuffle.
-MOST_BROADCAST = 200_000
+#: Bytes that a broadcast table may have. Beyond, what says where texts are compared is joined by a shuffle of those texts
+#: that a filter of at most as many bytes lets through.
+MOST_BROADCAST = 64 << 20
+#: Bytes of a broadcast row with its key, of each of its homes and of each of its bands.
+ROW_BYTES, HOME_BYTES, BAND_BYTES = 256, 40, 8
 TILE = ("a", "band", "low", "high")
 
 
@@ -254,10 +258,10 @@ def homes_of(members: DataFrame, bands: DataFrame) -> DataFrame:
         return groups.select(F.col("id").alias("uid"), F.array(home).alias("homes"), F.lit(None).cast("array<bigint>").alias("bands"))
     by_bucket = heads.join(groups, heads["head"] == groups["id"]).join(large.select("component"), "component", "left_semi")
     by_bucket = by_bucket.groupBy("component").agg(F.sum(F.col("n") * F.col("its_blocks")).alias("sent"))
-    # one row for each group of more than BLOCK texts: broadcast, unless they are many
+    # one row for each group of more than BLOCK texts
     large = large.join(by_bucket, "component").select("component", "blocks", (F.col("sent") < F.col("n") * F.col("blocks")).alias("split"))
     large = materialised(large)
-    placed = groups.join(F.broadcast(large) if few <= MOST_BROADCAST else large, "component", "left")
+    placed = groups.join(F.broadcast(large) if few * ROW_BYTES <= MOST_BROADCAST else large, "component", "left")
     placed = placed.select("id", "component", F.coalesce("blocks", F.lit(1).cast("long")).alias("blocks"), F.coalesce("split", F.lit(False)).alias("split"))
     home = lambda a, b, blocks: F.struct(F.col(a).alias("a"), b.cast("int").alias("band"), F.col(blocks).alias("blocks"))
     whole = placed.where(~F.col("split")).select(F.col("id").alias("uid"), F.array(home("component", F.lit(-1), "blocks")).alias("homes"), F.lit(None).cast("array<bigint>").alias("bands"))
@@ -268,6 +272,20 @@ def homes_of(members: DataFrame, bands: DataFrame) -> DataFrame:
     return whole.unionByName(parts.join(bands, "uid").select("uid", "homes", "bands"))
 
 
+def broadcast_bytes(chosen: DataFrame) -> int:
+    """What a broadcast of the table takes: rows with their ids, homes and bands."""
+    size = F.lit(ROW_BYTES) + F.coalesce(F.octet_length(F.col("its_id").cast("string")), F.lit(0)) + HOME_BYTES * F.size("homes") + BAND_BYTES * F.coalesce(F.size("bands"), F.lit(0))
+    return chosen.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()[0]
+
+
+def likely(texts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Those of texts that a Bloom filter takes for chosen: all that are, and few others while the filter is not full. No text is shuffled for that."""
+    blocks = blocks_for(chosen.count(), max(MOST_BROADCAST, 1 << 20))
+    its_key = F.xxhash64("its_id", "its_digest")
+    bitmaps = materialised(chosen.select(_block(its_key, blocks).alias("the_block"), F.explode(_bits(its_key)).alias("bit")).groupBy("the_block").agg(F.bitmap_construct_agg("bit").alias("bitmap")))
+    return with_doubt(texts.withColumn("key", F.xxhash64("doc", "digest")), "key", bitmaps, blocks, "chosen").where("chosen").drop("key", "chosen")
+
+
 def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """A row for each document: id, digest (of its text), n_links (documents similar to it), component_id (the least id that links reach) and kept (true for one row of each component)."""
     rows = materialised(signatures(docs, doc_id, text, n, threshold, recall).withColumn("uid", F.monotonically_increasing_id()))
@@ -282,8 +300,11 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     chosen = materialised(chosen)
     # read these texts once more; repeated rows come several times here, once in a tile
     texts = docs.select(F.col(doc_id).alias("doc"), digest(text), F.col(text).alias("text"))
-    small = F.broadcast(chosen) if chosen.count() <= MOST_BROADCAST else chosen
-    texts = texts.join(small, (F.col("its_digest") == F.col("digest")) & F.col("its_id").eqNullSafe(F.col("doc")))
+    if broadcast_bytes(chosen) <= MOST_BROADCAST:
+        chosen = F.broadcast(chosen)
+    else:
+        texts = likely(texts, chosen)
+    texts = texts.join(chosen, (F.col("its_digest") == F.col("digest")) & F.col("its_id").eqNullSafe(F.col("doc")))
     kinds = "uid bigint, weight bigint, homes array<struct<a:bigint,band:int,blocks:bigint>>, bands array<bigint>, grams array<bigint>"
     sets = texts.select("uid", "weight", "homes", "bands", "text").mapInArrow(_sets(n), kinds)
     sets = sets.select("uid", "weight", "bands", "grams", F.inline("homes"))
