@@ -154,6 +154,28 @@ def test_passage_of_many_documents(spark, monkeypatch):
     assert got == brute_passages(rows)
 
 
+def test_full_filter_of_hot_anchors(spark, docs, monkeypatch):
+    """Anchors that are cut needlessly change no result."""
+    want = brute_passages([(r[0], r[1]) for r in table()])
+    monkeypatch.setattr(substring_dedup, "hot_anchors", lambda rows: (16, np.full(1 << 12, 255, np.uint8)))
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in substring_dedup.without_repeats(docs).collect()), key=str)
+    assert got == want
+
+
+def test_filter_of_hot_anchors(spark, monkeypatch):
+    """It holds the frequent anchors and few others, and has bounded bytes."""
+    rows = [(i, " ".join(f"p{k}" for k in range(16)) + f" {prose(i, 200)}") for i in range(300)]
+    keyed = substring_dedup._keyed(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text", [])
+    shards, bits = substring_dedup.hot_anchors(keyed, 200)
+    found = [substring_dedup.anchors(common.hashed_words(data, *spans[:2]), spans[2])[1] for data, bounds in [common.text_buffers(pa.array([t for _, t in rows]))] for spans in [common.spans_of_words(data, bounds)]]
+    values, counts = np.unique(np.concatenate(found), return_counts=True)
+    inside = substring_dedup.in_filter(values, bits)
+    assert inside[counts > 200].all() and (counts > 200).any() and inside[counts <= 200].mean() < 0.02
+    assert not substring_dedup.in_filter(values, bits[:0]).any()
+    monkeypatch.setattr(substring_dedup, "MOST_FILTER", 4096)
+    assert len(substring_dedup.hot_anchors(keyed, 200)[1]) == 4096
+
+
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=60), min_size=1, max_size=8))
 @settings(max_examples=40, deadline=None)
 def test_repeats_of_a_shard(texts):
@@ -234,6 +256,28 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
     assert {(r["n_links"], r["component_id"]) for r in out} == {(49, 0)}
 
 
+def test_texts_to_compare_beyond_a_broadcast(spark, docs, monkeypatch):
+    """A filter that is full, or not, lets all of them through: results are those of the broadcast."""
+    key = lambda df: sorted((tuple(r) for r in jaccard.joined(df).collect()), key=str)
+    want = key(docs)
+    passed = []
+    real = jaccard.likely
+    monkeypatch.setattr(jaccard, "likely", lambda *a: passed.append((real(*a), a)) or passed[-1][0])
+    monkeypatch.setattr(jaccard, "MOST_BROADCAST", 0)
+    assert key(docs) == want
+    some, (texts, chosen) = passed[0]
+    assert chosen.count() <= some.count() < texts.count()
+    monkeypatch.setattr(jaccard, "blocks_for", lambda *_: 3)
+    assert key(docs) == want
+
+
+def test_bytes_of_a_broadcast(spark):
+    rows = [(1, "d", [(1, -1, 1)], None), (None, "e", [(1, 0, 1), (2, 1, 1)], [5, 6, 7])]
+    chosen = spark.createDataFrame(rows, "its_id bigint, its_digest string, homes array<struct<a:bigint,band:int,blocks:bigint>>, bands array<bigint>")
+    assert jaccard.broadcast_bytes(chosen) == 2 * jaccard.ROW_BYTES + 1 + 3 * jaccard.HOME_BYTES + 3 * jaccard.BAND_BYTES
+    assert jaccard.broadcast_bytes(chosen.limit(0)) == 0
+
+
 def test_chained_group_is_compared_by_bucket(spark, monkeypatch):
     """A group that chance bands chain together is large, its buckets are small; results are the same."""
     monkeypatch.setattr(jaccard, "BLOCK", 4)
@@ -470,6 +514,17 @@ def test_best_bounds(lengths, most):
     assert cost(bounds) == every
 
 
+def test_bounds_of_many_lengths():
+    """More lengths than were once taken one by one; how many choices are weighed at a time changes nothing."""
+    rng = np.random.default_rng(0)
+    lengths, counts = np.arange(300_000) * 3 + 1, rng.integers(1, 50, 300_000)
+    assert packing.EXACT is None
+    bounds = packing.best_bounds(lengths, counts, 4)
+    assert bounds[-1] == lengths[-1] and set(bounds) <= set(lengths.tolist())
+    few = np.unique(rng.integers(0, 9000, 800))
+    assert packing.best_bounds(few, counts[: len(few)], 8, choices_at_once=5) == packing.best_bounds(few, counts[: len(few)], 8)
+
+
 def test_packing(spark, docs, empty):
     lengths = [int(x) for x in np.random.default_rng(0).integers(0, 300, 500)] + [5000, 100_000]
     df = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "doc_id bigint, n bigint")
