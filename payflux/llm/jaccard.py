@@ -8,11 +8,13 @@
    grow with the texts, not with pairs; connected components of these links are the groups that
    may hold similar pairs.
 4. The n-gram sets of grouped texts, read once more, are compared in full inside the groups, or
-   inside the buckets of a group where that sends fewer sets (a chance band now and then can chain
+   inside the buckets of a group where that compares fewer sets (a chance band now and then can chain
    templated pages to one large group whose buckets are small). What has more than BLOCK texts is
-   split into blocks, each pair of blocks a tile of its own, so tasks have bounded memory. In a
-   tile, columns of the incidence matrix that are equal are one with a weight, and one matrix
-   product counts what all pairs share.
+   split into blocks, each pair of blocks a tile of its own, so a set is sent once for each block.
+   FEW_BLOCKS are enough for the tasks of a cluster; there are more only where a block would pass
+   MOST_TEXTS or MOST_GRAMS, so tasks have bounded memory and few copies travel. A tile is worked
+   in steps of some STEP by STEP texts. In a step, columns of the incidence matrix that are equal
+   are one with a weight, and one matrix product counts what all pairs share.
 5. A tile returns, for each text, how many it is similar to and the first of its part of the
    graph, never pairs; components are joined from these. So a link is returned only if the full
    sets say so, and lost only if no band agrees along the whole group.
@@ -41,7 +43,10 @@ from payflux.llm.exact_dedup import _bits, _block, blocks_for, with_doubt
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 MOST_HASHES = 256
-BLOCK = 512
+#: Texts of a block, at least, in a group of more than FEW_BLOCKS of them; texts and n-grams of any block, at most.
+BLOCK, FEW_BLOCKS, MOST_TEXTS, MOST_GRAMS = 512, 16, 8192, 1 << 21
+#: Texts of one side of a step inside a tile, at most.
+STEP = 640
 #: Columns of an incidence matrix at a time.
 COLUMNS = 2048
 #: Bytes that a broadcast table may have. Beyond, what says where texts are compared is joined by a shuffle of those texts
@@ -165,18 +170,25 @@ def similar(grams: np.ndarray, sizes: np.ndarray, threshold: float) -> np.ndarra
     return out
 
 
-def least_reached(near: np.ndarray) -> np.ndarray:
-    """For each row the first row that it is connected with."""
-    first = np.arange(len(near))
-    a, b = np.nonzero(near)
-    before = None
+def least_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n rows the first row that it is connected with by links of a with b."""
+    first, before = np.arange(n), None
     while len(a) and (before is None or (first != before).any()):
         before = first.copy()
         np.minimum.at(first, a, before[b])
+        np.minimum.at(first, b, before[a])
         first = np.minimum(first, first[first])
     return first
 
 
+def steps_of(block: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The tile in pairs of some of its rows: each pair of rows that belongs to the tile is in one of them."""
+    sides = [np.array_split(at, -(-len(at) // STEP)) if len(at := np.flatnonzero(block == k)) else [] for k in (low, high)]
+    for i, a in enumerate(sides[0]):
+        for b in sides[1][i if low == high else 0 :]:
+            yield a, b
+
+
 def in_earlier_band(bands: np.ndarray, band: int) -> np.ndarray:
     """Which pairs of rows share a band before this one."""
     out = np.zeros((len(bands), len(bands)), bool)
@@ -188,17 +200,25 @@ def in_earlier_band(bands: np.ndarray, band: int) -> np.ndarray:
 def _verified(threshold: float):
     def one(tile: pa.Table) -> pa.RecordBatch:
         tile = tile.combine_chunks()
-        uid, weight = tile.column("uid").to_numpy(), tile.column("weight").to_numpy()
+        uid, weight, block = (tile.column(c).to_numpy() for c in ("uid", "weight", "block"))
+        low, high, band = (tile.column(c)[0].as_py() for c in ("low", "high", "band"))
         sets = tile.column("grams").chunk(0)
-        near = similar(sets.flatten().to_numpy(), np.diff(sets.offsets.to_numpy()), threshold)
-        if tile.column("low")[0].as_py() != tile.column("high")[0].as_py():  # pairs inside a block belong to another tile
-            block = tile.column("block").to_numpy()
-            near &= block[:, None] != block[None, :]
-        if (band := tile.column("band")[0].as_py()) > 0:
-            near &= ~in_earlier_band(tile.column("bands").chunk(0).flatten().to_numpy().reshape(len(uid), -1), band)
-        total, first = near @ weight, least_reached(near)
+        grams, begins = sets.flatten().to_numpy(), sets.offsets.to_numpy() - sets.offsets[0].as_py()
+        sizes = np.diff(begins)
+        bands = tile.column("bands").chunk(0).flatten().to_numpy().reshape(len(uid), -1) if band > 0 else None
+        total, joins = np.zeros(len(uid), np.int64), []
+        for a, b in steps_of(block, low, high):
+            at = a if low == high and a[0] == b[0] else np.concatenate([a, b])
+            near = similar(grams[ranges(begins[:-1][at], sizes[at])], sizes[at], threshold)
+            if len(at) > len(a):  # pairs of one side belong to other steps or tiles
+                near[: len(a), : len(a)] = near[len(a) :, len(a) :] = False
+            if bands is not None:
+                near &= ~in_earlier_band(bands[at], band)
+            total[at] += near @ weight[at]
+            joins.append((at, at[least_reached(len(at), *np.nonzero(near))]))
+        first = least_reached(len(uid), *(np.concatenate(x) for x in zip(*joins, strict=True))) if joins else np.arange(len(uid))
         at = np.flatnonzero(total > 0)
-        return pa.RecordBatch.from_arrays([pa.array(uid[at]), pa.array(total[at].astype(np.int64)), pa.array(uid[first[at]])], names=["uid", "weight", "first"])
+        return pa.RecordBatch.from_arrays([pa.array(uid[at]), pa.array(total[at]), pa.array(uid[first[at]])], names=["uid", "weight", "first"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -238,18 +258,27 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: i
     )
 
 
-def homes_of(members: DataFrame, bands: DataFrame) -> DataFrame:
-    """members (uid, band, hash: of texts that share a bucket with others) -> uid, homes: where the text is compared, and bands if these are buckets.
+def blocks_in(n: str, grams: str) -> Column:
+    """Blocks of a group or bucket of so many texts with so many n-grams."""
+    some = F.least(F.ceil(F.col(n) / BLOCK), F.lit(FEW_BLOCKS))
+    return F.greatest(some, F.ceil(F.col(n) / MOST_TEXTS), F.ceil(F.col(grams) / MOST_GRAMS)).cast("long")
+
+
+def homes_of(own: DataFrame) -> DataFrame:
+    """own (uid, grams: how many, bands: their hashes) -> uid, homes: where the text is compared, and bands if these are buckets.
 
     A home is a whole group, of which all pairs of blocks are compared, or a bucket of it, where pairs
-    that share an earlier band are left out. Of each group that way is taken which sends fewer sets:
+    that share an earlier band are left out. Of each group that way is taken which compares fewer sets:
     a group is cheaper where all are alike, its buckets where chains of a few common bands made it large.
     """
-    heads = materialised(members.groupBy("band", "hash").agg(F.min("uid").alias("head"), F.count("*").alias("n")).where("n > 1"))
-    heads = heads.withColumn("its_blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
-    met = materialised(members.join(heads, ["band", "hash"]).select("uid", "band", "hash", "head", "its_blocks"))
+    work = F.sum(F.col("n") * F.ceil(F.col("n") / BLOCK)).alias("work")
+    members = own.select("uid", "grams", F.posexplode("bands").alias("band", "hash"))
+    heads = members.groupBy("band", "hash").agg(F.min("uid").alias("head"), F.count("*").alias("n"), F.sum("grams").alias("grams")).where("n > 1")
+    heads = materialised(heads.withColumn("its_blocks", blocks_in("n", "grams")).drop("grams"))
+    met = materialised(members.drop("grams").join(heads, ["band", "hash"]).select("uid", "band", "hash", "head", "its_blocks"))
     groups = components(met.where("uid <> head").select(F.col("uid").alias("u"), F.col("head").alias("v")))
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
+    sizes = groups.join(own.select("uid", "grams"), F.col("id") == F.col("uid")).groupBy("component").agg(F.count("*").alias("n"), F.sum("grams").alias("grams"))
+    sizes = sizes.withColumn("blocks", blocks_in("n", "grams"))
     # small groups are one tile; buckets are looked at for the others
     large = materialised(sizes.where("blocks > 1"))
     few = large.count()
@@ -257,9 +286,9 @@ def homes_of(members: DataFrame, bands: DataFrame) -> DataFrame:
         home = F.struct(F.col("component").alias("a"), F.lit(-1).alias("band"), F.lit(1).cast("long").alias("blocks"))
         return groups.select(F.col("id").alias("uid"), F.array(home).alias("homes"), F.lit(None).cast("array<bigint>").alias("bands"))
     by_bucket = heads.join(groups, heads["head"] == groups["id"]).join(large.select("component"), "component", "left_semi")
-    by_bucket = by_bucket.groupBy("component").agg(F.sum(F.col("n") * F.col("its_blocks")).alias("sent"))
-    # one row for each group of more than BLOCK texts
-    large = large.join(by_bucket, "component").select("component", "blocks", (F.col("sent") < F.col("n") * F.col("blocks")).alias("split"))
+    by_bucket = by_bucket.groupBy("component").agg(work)
+    # one row for each group of more than one block
+    large = large.join(by_bucket, "component").select("component", "blocks", (F.col("work") < F.col("n") * F.ceil(F.col("n") / BLOCK)).alias("split"))
     large = materialised(large)
     placed = groups.join(F.broadcast(large) if few * ROW_BYTES <= MOST_BROADCAST else large, "component", "left")
     placed = placed.select("id", "component", F.coalesce("blocks", F.lit(1).cast("long")).alias("blocks"), F.coalesce("split", F.lit(False)).alias("split"))
@@ -269,7 +298,7 @@ def homes_of(members: DataFrame, bands: DataFrame) -> DataFrame:
         return whole
     parts = met.join(placed.where("split").select(F.col("id").alias("uid")), "uid", "left_semi")
     parts = parts.groupBy("uid").agg(F.collect_list(home("hash", F.col("band"), "its_blocks")).alias("homes"))
-    return whole.unionByName(parts.join(bands, "uid").select("uid", "homes", "bands"))
+    return whole.unionByName(parts.join(own, "uid").select("uid", "homes", "bands"))
 
 
 def broadcast_bytes(chosen: DataFrame) -> int:
@@ -294,8 +323,8 @@ def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int =
     # a row for each text; its uid is that of the first row with the least id
     classes = rows.groupBy("k0", "k1").agg(F.count("*").alias("weight"), F.min(F.struct(F.col("id").isNotNull().alias("known"), "id", "uid", "digest")).alias("first"))
     classes = materialised(classes.select("k0", "k1", "weight", "first.uid", "first.id", "first.digest"))
-    own = rows.join(classes.select("uid"), "uid", "left_semi").select("uid", "bands")
-    homes = homes_of(own.select("uid", F.posexplode("bands").alias("band", "hash")), own)
+    own = rows.join(classes.select("uid"), "uid", "left_semi").select("uid", "grams", "bands")
+    homes = homes_of(own)
     chosen = classes.join(homes, "uid").select("uid", "weight", "homes", "bands", F.col("id").alias("its_id"), F.col("digest").alias("its_digest"))
     chosen = materialised(chosen)
     # read these texts once more; repeated rows come several times here, once in a tile

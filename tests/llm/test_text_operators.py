@@ -256,6 +256,41 @@ def test_blocks_of_a_large_group(spark, monkeypatch):
     assert {(r["n_links"], r["component_id"]) for r in out} == {(49, 0)}
 
 
+def test_copies_of_a_large_group(spark):
+    """A set goes to a few blocks, not to one for each 512 texts; long texts make more blocks. 100,000 texts: 16 copies each, not 196."""
+    rows = spark.createDataFrame([(1, 100), (512, 100), (513, 100), (5_000, 100), (100_000, 300), (1_000_000, 300), (40, 1 << 20)], "n bigint, each bigint")
+    blocks = rows.withColumn("grams", F.col("n") * F.col("each")).select("n", jaccard.blocks_in("n", "grams").alias("blocks"))
+    assert {r["n"]: r["blocks"] for r in blocks.collect()} == {1: 1, 512: 1, 513: 2, 5_000: 10, 100_000: 16, 1_000_000: 144, 40: 20}
+
+
+def test_steps_of_a_tile(monkeypatch):
+    """All pairs of a tile are in its steps, each once, and no step is large."""
+    monkeypatch.setattr(jaccard, "STEP", 5)
+    block = np.random.default_rng(0).integers(0, 2, 43)
+    for low, high in ((0, 0), (0, 1)):
+        at = np.flatnonzero((block == low) | (block == high))
+        met = []
+        for a, b in jaccard.steps_of(block, low, high):
+            assert len(a) <= 5 and len(b) <= 5
+            met += [frozenset((i, j)) for i in a for j in b if i < j] if low == high and a[0] == b[0] else [frozenset((i, j)) for i in a for j in b]
+        assert len(met) == len(set(met))
+        assert set(met) == {frozenset((i, j)) for i in at for j in at if i < j and (low == high or block[i] != block[j])}
+    assert list(jaccard.steps_of(np.zeros(3, int), 0, 1)) == []
+
+
+@pytest.mark.parametrize("block,few,most", [(8, 16, 1 << 21), (8, 2, 1 << 21), (8, 1, 700), (512, 16, 300)])
+def test_blocks_and_steps_of_a_large_group(spark, monkeypatch, block, few, most):
+    """Blocks cut by texts or n-grams, tiles of many steps: the same links."""
+    for name, value in {"BLOCK": block, "FEW_BLOCKS": few, "MOST_GRAMS": most, "STEP": 3}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    base = prose(1, 100)
+    rows = [(i, base + f" tail{i}") for i in range(50)] + [(50, base + " tail7"), (51, " ".join(base.split()[:92]))]
+    out = jaccard.joined(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    sets = [grams(t) for _, t in rows]
+    want = {i: sum(j != i and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)}
+    assert {r["id"]: r["n_links"] for r in out} == want and {r["component_id"] for r in out} == {0}
+
+
 def test_texts_to_compare_beyond_a_broadcast(spark, docs, monkeypatch):
     """A filter that is full, or not, lets all of them through: results are those of the broadcast."""
     key = lambda df: sorted((tuple(r) for r in jaccard.joined(df).collect()), key=str)
