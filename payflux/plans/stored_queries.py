@@ -161,7 +161,7 @@ def detected_sql(level: str = "edge") -> str:
 
 def detected(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Scores of accounts and transactions by the model's reconstruction errors."""
-    features, edges = MQ.model_graph(spark, d, CONFIG)
+    features, edges = MQ.model_graph(spark, d, CONFIG, number_rows=True)
     scores = rounded(training.node_errors(MQ.seeded(MQ.GCN), features, edges))
     return materialised(scores), edges
 
@@ -169,7 +169,7 @@ def detected(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query("a14_detected", f"with {MQ.graph_sql(CONFIG)}, {MQ.passed_sql(MQ.seeded(MQ.GCN), 'x')[0]}, own_scores as (select node_id, {MQ.error_sql()} as score from x join {MQ.passed_sql(MQ.seeded(MQ.GCN), 'x')[1]} o using (node_id)) select edge_id, s.node_id as src_id, t.node_id as dst_id, round(greatest(s.score, t.score), 6) as score from ({D.sql(True)}) tx join ids a on a.account = debit_account_masked join ids b on b.account = bene_account_masked join own_scores s on s.node_id = a.node_id join own_scores t on t.node_id = b.node_id")
 def a14(spark, d):
     """One call from a model to scores of all transactions."""
-    features, edges = MQ.model_graph(spark, d, CONFIG)
+    features, edges = MQ.model_graph(spark, d, CONFIG, number_rows=True)
     return rounded(detect.detect(MQ.seeded(MQ.GCN), features, edges, MainConfig())[1])
 
 
