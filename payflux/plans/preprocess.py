@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from payflux.config import ColumnMap, PreprocessConfig
 from payflux.functions.numbering import materialised, temporary_tables
+from payflux.functions.scalars import account
 from payflux.operators import edges as E
 from payflux.operators import graph as G
 from payflux.operators import nodes as N
@@ -21,14 +22,19 @@ TABLES = ("nodes", "edges", "node_features", "edge_features", "statistics")
 
 
 def build_graph(df: DataFrame, config: PreprocessConfig = PreprocessConfig()) -> tuple[TransactionGraph, list[str]]:
-    """The graph of numbered transactions with vectors for nodes and edges; and the names of an edge's features."""
-    features, names = E.edge_features(df, config)
+    """The graph of numbered transactions with vectors for nodes and edges; and the names of an edge's features.
+
+    The ends of an edge stand beside its features, so no join carries whole vectors.
+    """
+    m = config.columns
+    ends = {n: account(F.col(c), config.missing_account) for n, c in (("src", m.source), ("dst", m.destination))}
+    features, names = E.edge_features(df.withColumns(ends), config, ("src", "dst"))
     features = materialised(features)
-    ends = G.endpoints(df, config)
-    nodes = G.nodes(ends)
-    index = materialised(G.edge_index(ends, nodes))
+    whole = features.where(F.col("src").isNotNull() & F.col("dst").isNotNull())  # without a name for missing accounts, edges of one are no edges
+    nodes = G.nodes(whole.select("edge_id", "src", "dst"))
+    index = materialised(G.edge_index(whole.select("edge_id", "src", "dst"), nodes))
     edges = G.weighted(G.looped(index, nodes))
-    own = N.node_features(index.join(features, "edge_id"), names)
+    own = N.node_features(whole, names, ("src", "dst"), "account").join(nodes, "account")
     return TransactionGraph(nodes, edges, E.feature_array(own, N.node_feature_names(len(names)), "node_id"), E.feature_array(features, names)), names
 
 
@@ -41,6 +47,7 @@ def run(spark: SparkSession, df: DataFrame, config: PreprocessConfig = Preproces
 def _run(spark: SparkSession, df: DataFrame, config: PreprocessConfig) -> dict:
     began = time.time()
     out, m = config.output_dir, config.columns
+    df = materialised(df)  # read for features and for each of the tables
     parsed = E.parsed(df, config)
     graph, names = build_graph(df, config)
     save_graph(graph, out)

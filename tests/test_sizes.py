@@ -3,7 +3,8 @@
 from payflux.models.masked import Draw
 from payflux.operators import blocks as B
 from payflux.plans import model_queries as MQ
-from payflux.plans import training
+from payflux.plans import preprocess, training
+from payflux.sources import driver as D
 
 
 def test_links_are_shuffled_once_for_a_pass(spark, capsys):
@@ -40,3 +41,14 @@ def test_a_model_trains_on_them(spark):
     _, edges = MQ.model_graph(spark, "/root/testdata/sf0.001", MQ.CONFIG)
     assert edges.count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
     assert training.graph_for(MQ.seeded(MQ.GCN), *MQ.model_graph(spark, "/root/testdata/sf0.001", MQ.CONFIG)).blocks == 1
+
+
+def test_no_join_carries_the_features_of_edges(spark, capsys):
+    df = D.transactions(spark, "/root/testdata/sf0.001", number_rows=True, nulls=True)
+    graph, names = preprocess.build_graph(df)
+    graph.node_features.explain()
+    plan = capsys.readouterr().out
+    joins = [line for line in plan[plan.rindex("== Physical Plan ==") :].splitlines() if "Join" in line]
+    # what leaves with what enters, and the ids of nodes; none by the number of an edge
+    assert joins and not any("edge_id" in line for line in joins), joins
+    assert graph.node_features.count() == graph.nodes.count()
