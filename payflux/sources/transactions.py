@@ -13,24 +13,25 @@ from payflux.functions.numbering import numbered_as_read
 SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS])
 
 
-def read_csv(spark: SparkSession, path: str | None, limit_rows: int | None = None, number_rows: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | None, limit_rows: int | None = None, number_rows: bool = True, columns: tuple[str, ...] = COLUMNS) -> DataFrame:
     """Transactions of a CSV with a header, whatever the header's names; with edge_id if they are to be numbered.
 
-    path: a file or a folder. Rows are numbered as they stand in the file, files in the order of their names.
+    path: a file or a folder. Rows are numbered as they stand in the file, files in the order of their names. columns: those that
+    are wanted, as rows are written once to be numbered.
     """
     if not path:
         raise ValueError("no path given")
-    df = spark.read.schema(SCHEMA).option("header", True).option("enforceSchema", True).csv(path)
+    df = spark.read.schema(SCHEMA).option("header", True).option("enforceSchema", True).csv(path).select(*columns)
     if number_rows:
         df = numbered_as_read(df, "edge_id")
     return df if limit_rows is None else first_rows(df, limit_rows)
 
 
-def write_csv(df: DataFrame, path: str, order: list[Column] | None = None) -> None:
-    """Writes transactions as CSV with a header, in this order through all files."""
+def write_csv(df: DataFrame, path: str, order: list[Column] | None = None, compression: str = "none") -> None:
+    """Writes transactions as CSV with a header, in this order through all files. compression: as Spark names it; read_csv finds it by the files' names."""
     times = {c: F.date_format(F.col(c).cast("timestamp"), "yyyy-MM-dd HH:mm:ss") for c, k in df.dtypes if k.startswith(("timestamp", "date"))}
     rows = df.withColumns(times) if times else df
-    (rows.orderBy(*order) if order else rows).select(*(F.col(c).cast("string") for c in COLUMNS)).write.option("header", True).csv(path)
+    (rows.orderBy(*order) if order else rows).select(*(F.col(c).cast("string") for c in COLUMNS)).write.option("header", True).option("compression", compression).csv(path)
 
 
 def first_rows(df: DataFrame, n: int) -> DataFrame:
