@@ -8,6 +8,7 @@ fit(B) is fit(A + B), whichever rows of one file A and B are, if B's come later.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -105,12 +106,12 @@ def load(spark: SparkSession, path: str, version: int | None = None) -> Fitted:
     return Fitted(*(spark.read.schema(s).parquet(f"{at}/{t}") for t, s in (("numbers", NUMBERS), ("categories", CATEGORIES), ("delays", DELAYS))))
 
 
-def transformed(df: DataFrame, state: Fitted, config: PreprocessConfig = PreprocessConfig()) -> tuple[DataFrame, list[str]]:
+def transformed(df: DataFrame, state: Fitted, config: PreprocessConfig = PreprocessConfig(), finish: Callable[[Column], Column] = lambda c: c) -> tuple[DataFrame, list[str]]:
     """df's columns that it is known by (edge_id, if there is one, else uetr) and all features, in the order of edges.edge_features; their names.
 
     df may be a stream: of the state, one row for each number is known to the driver, and categories are joined as a table. A category
     that the state has not seen becomes the unknown one; codes of it are -1 where that has not been seen either. Columns without variance are
-    only centred; a state of no rows leaves numbers as they are.
+    only centred; a state of no rows leaves numbers as they are. finish: what is made of each feature; of components of vectors once a category.
     """
     m, spark = config.columns, state.numbers.sparkSession
     rows, names = _prepared(df, config)
@@ -123,23 +124,31 @@ def transformed(df: DataFrame, state: Fitted, config: PreprocessConfig = Preproc
     std = math.sqrt(delay["squares"] / max(1, every) + share * (1 - share) * away * away)
     at = {c: scaled(F.col(c), F.lit(known[c]["mean"]), F.lit(math.sqrt(known[c]["squares"] / max(1, known[c]["n"])))) for c in names}
     ids = ["edge_id"] if "edge_id" in df.columns else ["uetr"]
-    out = rows.select(*ids, *m.categorical, *(v.alias(c) for c, v in at.items()), scaled(F.coalesce("delay", F.lit(mid)), F.lit(mean), F.lit(std)).alias("delay_scaled"))
+    scaled_delay = scaled(F.coalesce("delay", F.lit(mid)), F.lit(mean), F.lit(std))
+    out = rows.select(*ids, *m.categorical, *(finish(v).alias(c) for c, v in at.items()), finish(scaled_delay).alias("delay_scaled"))
+    apart = (lambda x: x) if df.isStreaming else E.apart  # numbers, joins and parts of vectors are not one method
+    out = apart(out)
     made: list[str] = []
+    new: list[Column] = []
     sizes = {r["name"]: r["n"] for r in state.categories.groupBy("name").agg(F.count("*").alias("n")).collect()}
     for c in m.categorical:
         own = state.categories.where(F.col("name") == c)
         if config.encode_categories == "embedding":
-            new = [f"{c}_emb_{i}" for i in range(config.embedding_dim)]
+            parts = [f"{c}_emb_{i}" for i in range(config.embedding_dim)]
             bound = math.sqrt(6 / (sizes.get(c, 0) + config.embedding_dim))
-            vector: list[Column] = [(bound * (2 * hash_unit(c, F.col("value"), i) - 1)).alias(n) for i, n in enumerate(new)]
-            unseen = spark.range(1).select(*(F.lit(bound) * (2 * hash_unit(c, F.lit(config.unknown), i) - 1) for i in range(config.embedding_dim))).first()
+            vector = lambda value: [finish(F.lit(bound) * (2 * hash_unit(c, value, i) - 1)) for i in range(config.embedding_dim)]  # noqa: B023, E731
+            unseen = spark.range(1).select(*vector(F.lit(config.unknown))).first()
+            entry = vector(F.col("value"))
         else:
-            new, vector = [f"{c}_code"], [F.col("code").alias(f"{c}_code")]
+            parts, entry = [f"{c}_code"], [F.col("code")]
             seen = own.where(F.col("value") == config.unknown).first()
             unseen = [seen["code"] if seen else -1]
-        table = own.select(F.col("value").alias("its_value"), *vector)
+        # one column, taken apart after all joins
+        table = own.select(F.col("value").alias("its_value"), F.struct(*(v.alias(n) for n, v in zip(parts, entry, strict=True))).alias(f"{c}__vector"))
         joined = out.join(table, category(out[c], config.unknown) == table["its_value"], "left").drop("its_value")
-        out = joined.withColumns({n: F.coalesce(F.col(n), F.lit(u)) for n, u in zip(new, unseen, strict=True)})
-        made += new
+        out = joined.withColumn(f"{c}__vector", F.coalesce(F.col(f"{c}__vector"), F.struct(*(F.lit(u).alias(n) for n, u in zip(parts, unseen, strict=True)))))
+        new += [F.col(f"{c}__vector")[n].alias(n) for n in parts]
+        made += parts
+    out = apart(out).select(*ids, *names, "delay_scaled", *new)
     features = [*m.numeric, *made, *(c for c in names if c not in m.numeric), "delay_scaled"]
     return out.select(*ids, *features), features
