@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payflux.config import MainConfig
-from payflux.functions.numbering import temporary_tables
+from payflux.functions.numbering import materialised, temporary_tables
 from payflux.operators import anomalies as A
 from payflux.operators import charts as V
 from payflux.operators.blocks import BlockGraph
@@ -28,7 +28,8 @@ def detect(
         node_scores = training.node_errors(model, features, edges, graph)
     else:
         raise ValueError(f"unknown node scores: {config.anomaly.node_scores}")
-    edge_scores = A.edge_scores(edges, node_scores, config.anomaly.edge_score_strategy)
+    # written, as the report and the caller read them: else edges would meet the scores of their ends each time
+    edge_scores = materialised(A.edge_scores(edges, node_scores, config.anomaly.edge_score_strategy))
     chosen = edge_scores if level == "edge" else node_scores
     return node_scores, edge_scores, A.report(chosen, config.anomaly.threshold_percentile)
 

@@ -2,8 +2,9 @@
 
 from payflux.models.masked import Draw
 from payflux.operators import blocks as B
+from payflux.operators import graph as G
 from payflux.plans import model_queries as MQ
-from payflux.plans import preprocess, training
+from payflux.plans import detect, preprocess, training
 from payflux.sources import driver as D
 
 
@@ -52,3 +53,19 @@ def test_no_join_carries_the_features_of_edges(spark, capsys):
     # what leaves with what enters, and the ids of nodes; none by the number of an edge
     assert joins and not any("edge_id" in line for line in joins), joins
     assert graph.node_features.count() == graph.nodes.count()
+
+
+def test_edges_meet_the_scores_of_their_ends_once(spark, capsys):
+    features = spark.range(40).selectExpr("id as node_id", "array(id * 0.1, 1.0, 2.0, id * 1.0, 3.0, 0.5) as features")
+    edges = spark.range(300).selectExpr("id as edge_id", "id % 33 as src_id", "(id * 7) % 11 as dst_id")
+    _, scores, report = detect.detect(MQ.seeded(MQ.GCN), features, edges)
+    scores.explain()
+    plan = capsys.readouterr().out
+    assert "Join" not in plan and scores.count() == 300 and "of 300" in report
+
+
+def test_targets_as_a_table_of_their_own_give_the_same_edges(spark):
+    ends = spark.createDataFrame([("a", "x", 0), ("b", "x", 1), ("a", "y", 2)], "src string, dst string, edge_id bigint")
+    nodes = spark.createDataFrame([("a", 0), ("b", 1), ("x", 2), ("y", 3)], "account string, node_id bigint")
+    found = [sorted(map(tuple, G.edge_index(ends, nodes, t).collect())) for t in (None, nodes.where("account >= 'x'"))]
+    assert found[0] == found[1] == [(0, 0, 2), (1, 1, 2), (2, 0, 3)]
