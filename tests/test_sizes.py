@@ -1,5 +1,9 @@
 """What grows with the tables: how often links and nodes are shuffled, and how often states are sent."""
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 from payflux.models.masked import Draw
 from payflux.operators import blocks as B
 from payflux.operators import graph as G
@@ -69,3 +73,50 @@ def test_targets_as_a_table_of_their_own_give_the_same_edges(spark):
     nodes = spark.createDataFrame([("a", 0), ("b", 1), ("x", 2), ("y", 3)], "account string, node_id bigint")
     found = [sorted(map(tuple, G.edge_index(ends, nodes, t).collect())) for t in (None, nodes.where("account >= 'x'"))]
     assert found[0] == found[1] == [(0, 0, 2), (1, 1, 2), (2, 0, 3)]
+
+
+@pytest.mark.parametrize("config", [MQ.GAT, MQ.PLAIN], ids=["gat", "gcn"])
+def test_loops_stay_where_they_are(spark, config):
+    """Of 40 nodes 7 have links from others: only they are answered, and only their answers are handed on."""
+    features = spark.range(40).selectExpr("id as node_id", "array(id * 0.1, 1.0, 2.0, id * 1.0, 3.0, 0.5) as features")
+    edges = spark.range(300).selectExpr("id % 33 as src_id", "33 + id % 7 as dst_id")
+    model, draw = MQ.seeded(config), Draw(40, ((42, 0),), True)
+    graph = B.partitioned(features, edges, 16, 80, block_bytes=2000, most_links=20)
+    table, seen = graph.table.toArrow(), set()
+    for name, at in B.stages(model, draw, "gradients"):
+        keys = table.column("key").to_numpy()
+        table = pa.concat_tables([B.Group(int(k), table.filter(pa.array(keys == k)), graph.blocks, model, draw).stage(name, at) for k in np.unique(keys)])
+        rows = B.Rows(table)
+        for kind in rows.kinds:
+            if kind in ("as_target", "target", "part", "degree_part") or kind.startswith("answer"):
+                seen.add(kind)
+                assert set(rows.ids(kind)) <= set(range(33, 40)), kind
+    assert {"target", "part", "answer0"} <= seen
+
+
+def test_bands_are_those_for_which_least_is_sent():
+    n, links, sources, targets = 5_760_000, 216_000_000, 5_400_000, 360_000
+    rows, columns, _ = B.grid_of(n, links, sources, targets, 16, B.BLOCK_BYTES, B.MOST_LINKS, 12)
+    assert sources * columns + targets * rows < 15_000_000  # cells of a million links: 46 million
+    assert B.grid_of(16_000, 600_000, 15_000, 1_000, 16, B.BLOCK_BYTES, B.MOST_LINKS, 3)[0] >= 3  # as many cells as it is worth having
+
+
+def test_cells_work_on_pieces(spark, monkeypatch):
+    features = spark.range(40).selectExpr("id as node_id", "array(id * 0.1, 1.0, 2.0, id * 1.0, 3.0, 0.5) as features")
+    edges = spark.range(300).selectExpr("id % 33 as src_id", "(id * 7) % 11 as dst_id")
+    model, draw, found = MQ.seeded(MQ.GAT), Draw(40, ((42, 0),), True), []
+    for most in (1 << 20, 6):  # values of a row; a cell's links are one piece, or pieces of three
+        monkeypatch.setattr(B, "ROW_VALUES", most)
+        graph = B.partitioned(features, edges, 16, 80)
+        table, pieces = graph.table.toArrow(), graph.table.where("kind = 'links'").count()
+        for name, at in B.stages(model, draw, "gradients"):
+            keys = table.column("key").to_numpy()
+            table = pa.concat_tables([B.Group(int(k), table.filter(pa.array(keys == k)), graph.blocks, model, draw).stage(name, at) for k in np.unique(keys)])
+        sums = {}
+        for row in table.to_pylist():
+            sums[row["kind"]] = np.concatenate([sums.get(row["kind"], np.zeros(0)), np.frombuffer(row["x"])])
+        found.append((pieces, sums))
+    (one, expected), (many, sums) = found
+    assert one < many and sums.keys() == expected.keys()
+    for kind, x in sums.items():
+        np.testing.assert_allclose(x, expected[kind], atol=1e-9, err_msg=kind)
