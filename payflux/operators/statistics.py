@@ -63,11 +63,14 @@ def categories(df: DataFrame, columns: list[str], top: int = 10) -> DataFrame:
     return best.join(totals, "name").select("name", "value", "count", (100.0 * F.col("count") / F.col("rows")).alias("percent"), "total_unique")
 
 
-def amounts(df: DataFrame, columns: list[str]) -> DataFrame:
-    """name, count, mean, std (of a sample), least, greatest, median, q25, q75, q95, q99, zeros and negatives of each amount that is a number."""
+def amounts(df: DataFrame, columns: list[str], is_table: bool = False) -> DataFrame:
+    """name, count, mean, std (of a sample), least, greatest, median, q25, q75, q95, q99, zeros and negatives of each amount that is a number.
+
+    is_table: df is cheap to read again, so amounts needn't be written once more.
+    """
     kinds = dict(df.dtypes)
     long = df.select(F.inline(F.array(*(F.struct(F.lit(c).alias("name"), number(F.col(c), kinds[c]).alias("x")) for c in columns)))).where(F.col("x").isNotNull())
-    long = materialised(long)
+    long = long if is_table else materialised(long)
     own = long.groupBy("name").agg(
         F.count("*").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("least"), F.max("x").alias("greatest"),
         F.count_if(F.col("x") == 0).alias("zeros"), F.count_if(F.col("x") < 0).alias("negatives"),

@@ -21,21 +21,32 @@ from payflux.sources.transactions import read_csv
 TABLES = ("nodes", "edges", "node_features", "edge_features", "statistics")
 
 
-def build_graph(df: DataFrame, config: PreprocessConfig = PreprocessConfig()) -> tuple[TransactionGraph, list[str]]:
-    """The graph of numbered transactions with vectors for nodes and edges; and the names of an edge's features.
+def build_graph(df: DataFrame, config: PreprocessConfig = PreprocessConfig(), is_table: bool = False) -> tuple[TransactionGraph, list[str]]:
+    """The graph of numbered transactions with vectors for nodes and edges; and the names of an edge's features. is_table: df is cheap to read again.
 
-    The ends of an edge stand beside its features, so no join carries whole vectors.
+    Features of nodes are means over many of an edge's columns, and in a large table few edges of a node are in one task before they are brought
+    together. So what travels is what features are made of, not sums of them: an edge's columns go to the node that it leaves, and again to the one
+    that it enters, and become features there.
     """
     m = config.columns
     ends = {n: account(F.col(c), config.missing_account) for n, c in (("src", m.source), ("dst", m.destination))}
-    features, names = E.edge_features(df.withColumns(ends), config, ("src", "dst"))
-    features = materialised(features)
-    whole = features.where(F.col("src").isNotNull() & F.col("dst").isNotNull())  # without a name for missing accounts, edges of one are no edges
-    nodes = G.nodes(whole.select("edge_id", "src", "dst"))
-    index = materialised(G.edge_index(whole.select("edge_id", "src", "dst"), nodes))
-    edges = G.weighted(G.looped(index, nodes))
-    own = N.node_features(whole, names, ("src", "dst"), "account").join(nodes, "account")
-    return TransactionGraph(nodes, edges, E.feature_array(own, N.node_feature_names(len(names)), "node_id"), E.feature_array(features, names)), names
+    needed = (*m.categorical, *m.numeric, m.event_time, m.storage_time)
+    kinds = dict(df.dtypes)
+    base = E.parsed(df.withColumns(ends).select("edge_id", *ends, *needed), config)
+    if not is_table or any(kinds[c] == "string" for c in (*m.numeric, m.event_time, m.storage_time)):  # else numbers and times are read as they are
+        base = materialised(base)
+    rows = E.feature_rows(base, config, ("edge_id",))
+    maker = E.FeatureMaker(rows, config)
+    names = maker.names
+    whole = base.where(F.col("src").isNotNull() & F.col("dst").isNotNull())  # without a name for missing accounts, edges of one are no edges
+    index = whole.select("edge_id", "src", "dst")
+    nodes = G.weighted_nodes(index)
+    edges = G.weighted_index(index, nodes)
+    leaving, entering = (maker.made_at(whole, end) for end in ends)
+    nodes = nodes.select("node_id", "account")
+    own = N.node_features(leaving, names, ("src", "dst"), "account", entering).join(nodes, "account")
+    features = E.feature_array(maker.made(rows, ("edge_id",)), names)
+    return TransactionGraph(nodes, edges, E.feature_array(own, N.node_feature_names(len(names)), "node_id"), features), names
 
 
 def run(spark: SparkSession, df: DataFrame, config: PreprocessConfig = PreprocessConfig()) -> dict:
@@ -49,7 +60,7 @@ def _run(spark: SparkSession, df: DataFrame, config: PreprocessConfig) -> dict:
     out, m = config.output_dir, config.columns
     df = materialised(df)  # read for features and for each of the tables
     parsed = E.parsed(df, config)
-    graph, names = build_graph(df, config)
+    graph, names = build_graph(df, config, is_table=True)
     save_graph(graph, out)
     wide = N.node_feature_names(len(names))
     stored = spark.read.parquet(f"{out}/node_features").select("node_id", *(F.col("features")[i].alias(n) for i, n in enumerate(wide)))
@@ -61,7 +72,7 @@ def _run(spark: SparkSession, df: DataFrame, config: PreprocessConfig) -> dict:
         "node_features": statistics.features(stored, wide),
         "edge_features": statistics.features(edge_wide, names),
         "categorical_distribution": statistics.categories(df, list(m.distributions)),
-        "amount_distribution": statistics.amounts(df, list(m.amounts)),
+        "amount_distribution": statistics.amounts(df, list(m.amounts), is_table=True),
         "missing": profile.missing_values(df),
         "fills": E.fill_report(parsed, list(m.numeric)),
         "parse_failures": E.parse_failures(parsed, [m.event_time, m.storage_time]),

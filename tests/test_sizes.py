@@ -6,7 +6,9 @@ import pytest
 
 from payflux.models.masked import Draw
 from payflux.operators import blocks as B
+from payflux.operators import edges as E
 from payflux.operators import graph as G
+from payflux.operators import nodes as N
 from payflux.plans import model_queries as MQ
 from payflux.plans import detect, preprocess, training
 from payflux.sources import driver as D
@@ -120,3 +122,40 @@ def test_cells_work_on_pieces(spark, monkeypatch):
     assert one < many and sums.keys() == expected.keys()
     for kind, x in sums.items():
         np.testing.assert_allclose(x, expected[kind], atol=1e-9, err_msg=kind)
+
+
+def test_rows_and_not_sums_go_to_nodes(spark, capsys):
+    """Features of nodes are those by sums of the features of edges, and the rows of a node meet before they become features."""
+    df = D.transactions(spark, "/root/testdata/sf0.001", number_rows=True, nulls=True)
+    graph, names = preprocess.build_graph(df)
+    graph.node_features.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("REBALANCE_PARTITIONS_BY_COL") >= 2
+    features, same = E.edge_features(df.withColumnsRenamed({"debit_account_masked": "src", "bene_account_masked": "dst"}), keep=("src", "dst"))
+    assert names == same
+    wide = N.node_feature_names(len(names))
+    expected = {r["account"]: [r[c] for c in wide] for r in N.node_features(features, names, ("src", "dst"), "account").collect()}
+    got = {r["account"]: r["features"] for r in graph.node_features.join(graph.nodes, "node_id").collect()}
+    assert got.keys() == expected.keys()
+    for name, values in expected.items():
+        np.testing.assert_allclose(got[name], values, atol=1e-9, err_msg=name)
+
+
+def test_weights_come_with_the_ids(spark):
+    ends = spark.createDataFrame([(0, "a", "x"), (1, "b", "x"), (2, "a", "y"), (3, "a", "a"), (4, "y", "b"), (5, "a", "x")], "edge_id bigint, src string, dst string")
+    nodes = G.weighted_nodes(ends)
+    key = lambda r: (r["edge_id"] is None, r["edge_id"] or 0, r["src_id"])
+    found = sorted(G.weighted_index(ends, nodes).collect(), key=key)
+    plain = G.nodes(ends)
+    assert sorted(map(tuple, nodes.select("node_id", "account").collect())) == sorted(map(tuple, plain.collect()))
+    assert found == sorted(G.weighted(G.looped(G.edge_index(ends, plain), plain)).collect(), key=key)
+
+
+@pytest.mark.parametrize("most", [1 << 62, 10])
+def test_categories_are_packed(spark, most):
+    df = spark.range(60).selectExpr("id as edge_id", "if(id % 7 = 0, null, concat('m', id % 5)) as mop", "concat('c', id % 9) as payment_channel")
+    tables, _ = E.category_tables(df, ["mop", "payment_channel"])
+    packed, words, numbers = E.packed_categories(df, tables, most=most)
+    assert packed.columns == ["edge_id", *words] and len(words) == (1 if most > 10 else 2)
+    found = E.joined_categories(packed, tables, numbers=numbers).orderBy("edge_id").drop(*words).collect()
+    assert found == E.joined_categories(df, tables).orderBy("edge_id").drop("mop", "payment_channel").collect() and len(found) == 60
