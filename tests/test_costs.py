@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from payflux.functions.vectors import layer_norm
+from payflux.operators import profile as P
 
 
 def plan_of(df, capsys) -> str:
@@ -29,3 +30,30 @@ def test_layer_norm_of_odd_vectors(spark):
     assert all(math.isnan(x) for v in found[3:5] for x in v)
     assert found[5] == [0.0]
     assert found[6] == found[7] == [pytest.approx(x) for x in (-1 / root, 0.0, 1 / root)]
+
+
+#: Nulls, texts that are equal or empty, zeros of both signs, NaN, and a row that comes twice.
+ODD = [(None, None, None, None), ("", 0.0, 1, "x"), ("null", -0.0, 1, "x"), ("a", math.nan, None, "x"), ("a", math.nan, 2, "x"), ("a", 1.5, 2, None), ("a", 1.5, 2, None)]
+ODD_TYPES = "s string, d double, n int, u string"
+
+
+def counted_beside_each_other(df):
+    ones = [df.agg(F.lit(c), F.count("*"), F.count_if(F.col(c).isNull()), F.count_distinct(F.col(c))).first() for c in df.columns]
+    return [tuple(r) for r in ones]
+
+
+@pytest.mark.parametrize("rows", [ODD, ODD[:1], []])
+def test_overview_of_odd_rows(spark, rows):
+    df = spark.createDataFrame(rows, ODD_TYPES).withColumn("t", F.when(F.col("n") == 2, F.lit("2024-01-01").cast("timestamp")))
+    found = P.overview(df)
+    assert found.dtypes == [("name", "string"), ("rows", "bigint"), ("missing", "bigint"), ("different", "bigint")]
+    assert [tuple(r) for r in found.collect()] == counted_beside_each_other(df)
+
+
+def test_overview_holds_no_rows_as_wide_as_the_table(spark, capsys):
+    df = spark.createDataFrame(ODD, ODD_TYPES)
+    df = df.select(*(F.col(c).alias(f"{c}_{i}") for c in df.columns for i in range(4)))
+    plan = plan_of(P.overview(df), capsys)
+    physical = plan[plan.index("== Physical Plan ==") :]
+    keys = [line.split("keys=[", 1)[1].split("]", 1)[0] for line in physical.splitlines() if "HashAggregate(keys=[" in line]
+    assert "Expand" not in physical and max(len(k.split(", ")) for k in keys) == 4  # the place, and a value of each of three types
