@@ -61,7 +61,7 @@ def _run(spark: SparkSession, config: MainConfig) -> dict:
     weights = io.BytesIO()
     training.save(model, weights, history)
     save_bytes(spark, weights.getvalue(), f"{out}/model.npz")
-    summary = A.summary(own, scores, p).first().asDict() | {
+    summary = A.summary(own, scores, p, stored=True).first().asDict() | {
         "config": asdict(config), "parameters": training.parameters(model), "epochs": len(history), "report": text,
         "top": [r.asDict() for r in A.top(scores, 100).collect()], "preprocessing": load_json(spark, f"{config.preprocessed_dir}/report") is not None,
     }

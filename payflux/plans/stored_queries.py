@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from payflux.config import COLUMNS, MainConfig, PreprocessConfig
-from payflux.functions.numbering import materialised, scratch
+from payflux.functions.numbering import scratch
 from payflux.functions.scalars import timestamp
 from payflux.operators import anomalies as A
 from payflux.operators import graph as G
@@ -162,8 +162,7 @@ def detected_sql(level: str = "edge") -> str:
 def detected(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Scores of accounts and transactions by the model's reconstruction errors."""
     features, edges = MQ.model_graph(spark, d, CONFIG, number_rows=True)
-    scores = rounded(training.node_errors(MQ.seeded(MQ.GCN), features, edges))
-    return materialised(scores), edges
+    return rounded(training.node_errors(MQ.seeded(MQ.GCN), features, edges)), edges  # of a table already
 
 
 @query("a14_detected", f"with {MQ.graph_sql(CONFIG)}, {MQ.passed_sql(MQ.seeded(MQ.GCN), 'x')[0]}, own_scores as (select node_id, {MQ.error_sql()} as score from x join {MQ.passed_sql(MQ.seeded(MQ.GCN), 'x')[1]} o using (node_id)) select edge_id, s.node_id as src_id, t.node_id as dst_id, round(greatest(s.score, t.score), 6) as score from ({D.sql(True)}) tx join ids a on a.account = debit_account_masked join ids b on b.account = bene_account_masked join own_scores s on s.node_id = a.node_id join own_scores t on t.node_id = b.node_id")
@@ -186,7 +185,9 @@ def s12(spark, d):
     path = scratch(spark, "results")
     store.save_tables({"node_scores": scores, "edge_scores": A.edge_scores(edges, scores)}, path)
     own, of_edges = (spark.read.parquet(f"{path}/{t}") for t in ("node_scores", "edge_scores"))
-    store.save_json(spark, A.summary(own, of_edges).first().asDict(), f"{path}/summary")
+    found = A.summary(own, of_edges, stored=True, sizes=True).first().asDict()
+    sizes = found.pop("nodes"), found.pop("edges")
+    store.save_json(spark, found, f"{path}/summary")
     told = store.load_json(spark, f"{path}/summary")
-    row = (told["threshold"], told["anomalies"], told["edge_mean"], own.count(), of_edges.count())
+    row = (told["threshold"], told["anomalies"], told["edge_mean"], *sizes)
     return rounded(spark.createDataFrame([row], "threshold double, anomalies bigint, edge_mean double, nodes bigint, edges bigint"))

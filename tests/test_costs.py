@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from payflux.functions.vectors import layer_norm
+from payflux.operators import anomalies as A
 from payflux.operators import profile as P
+from payflux.plans import stored_queries
 
 
 def plan_of(df, capsys) -> str:
@@ -57,3 +59,23 @@ def test_overview_holds_no_rows_as_wide_as_the_table(spark, capsys):
     physical = plan[plan.index("== Physical Plan ==") :]
     keys = [line.split("keys=[", 1)[1].split("]", 1)[0] for line in physical.splitlines() if "HashAggregate(keys=[" in line]
     assert "Expand" not in physical and max(len(k.split(", ")) for k in keys) == 4  # the place, and a value of each of three types
+
+
+@pytest.mark.parametrize("values", [[1.0, 2.0, 2.0, 4.0, None], [math.nan, 1.0, 3.0], [None]])
+def test_summary_of_stored_scores(spark, tmp_path, values):
+    spark.createDataFrame([(v,) for v in values], "score double").write.parquet(f"{tmp_path}/scores")
+    scores, own = spark.read.parquet(f"{tmp_path}/scores"), spark.createDataFrame([(0.5,), (None,)], "score double")
+    written, read = A.summary(own, scores), A.summary(own, scores, stored=True, sizes=True)
+    assert read.drop("nodes", "edges").first().asDict() == pytest.approx(written.first().asDict(), nan_ok=True)
+    assert read.select("nodes", "edges").first() == (2, len(values))
+
+
+def test_stored_results_are_not_written_again_or_counted_apart(spark, monkeypatch):
+    written, counted = [], []
+    frame, count, kept = type(spark.range(1)), type(spark.range(1)).count, A.materialised
+    monkeypatch.setattr(A, "materialised", lambda df: written.append(df.columns) or kept(df))
+    monkeypatch.setattr(frame, "count", lambda df: counted.append(df.columns) or count(df))
+    d = "/root/testdata/sf0.001"
+    row = stored_queries.QUERIES["s12_stored_results"](spark, d).first()
+    assert (written, counted) == ([], [])
+    assert row["edges"] == count(spark.read.parquet(f"{d}/lineitem.parquet")) and row["nodes"] > 0
